@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality, secret_scan, toxicity
+import public_tokenizers
+
+from quern.llm import bpe, quality, secret_scan, toxicity
 from quern.session import table
 
 
@@ -22,6 +24,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), content), content))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
