@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from quern.llm import bpe, quality, secret_scan, toxicity
+from quern.llm import bpe, quality, rans, secret_scan, toxicity
 from quern.session import table
 
 
@@ -29,6 +29,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), content), content))
 
 
+def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return rans.read(spark, rans.write(table(spark, sf_dir, "documents"), content, end=2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
