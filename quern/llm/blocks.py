@@ -2,8 +2,7 @@
 
 A task cuts its rows into blocks of a few MB. Of each block only the distinct keys travel, packed into one
 cell for each bucket of keys; what comes back is packed in the same order, and the block is put together again from a
-compressed sequence of its keys' numbers. Both the keys and the sequence are computed from the rows, so
-nothing is kept in between and a lost task is simply run again; ``crc`` guards against rows that came in another order.
+compressed sequence of its keys' numbers. Nothing is kept outside the shuffles, so a lost task is simply run again.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text after which a block is closed.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 
 
 def text_rows(documents: DataFrame) -> DataFrame:

@@ -14,9 +14,13 @@ each. Special tokens that stand in a text are ids of their own, as the tokenizer
 from __future__ import annotations
 
 import json
+import os
+import pickle
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -24,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import blocks
+from quern.llm import ans, blocks
 from quern.llm.common import ready
 
 # Fixed value: the pre-token expression of byte-level BPE (as in the public GPT-2 tokenizer).
@@ -45,6 +49,7 @@ class Words:
     """Splitting and encoding with one tokenizer; made once per task."""
 
     def __init__(self, content: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -90,67 +95,66 @@ def piece_table(content: str) -> list[bytes]:
     return out
 
 
-def vocabulary(words: Words, texts: list[str], n: int) -> tuple[list[np.ndarray], list[str], np.ndarray]:
-    """(word numbers of each text, distinct words by bucket and then by word, bucket of each)."""
-    split = [words.split(t) for t in texts]
-    distinct = set().union(*split) if split else set()
-    order = sorted((zlib.crc32(w.encode()) % n, w) for w in distinct)
-    number = {w: i for i, (_, w) in enumerate(order)}
-    return [np.fromiter(map(number.__getitem__, s), np.uint32, len(s)) for s in split], [w for _, w in order], np.array([b for b, _ in order], np.int64)
-
-
-def _cells(names: list[str], bucket: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
-    """(bucket, packed words, crc) of a block's distinct words."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-        if z > a:
-            packed = blocks.pack_words([w.encode() for w in names[a:z]])
-            yield int(bucket[a]), packed, zlib.crc32(packed)
+def numbered(words: Words, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(numbers of all words in order, words of each text, distinct words by bucket, bucket of each)."""
+    first_seen: dict[str, int] = defaultdict(count().__next__)
+    numbers = [np.fromiter(map(first_seen.__getitem__, s), np.uint32, len(s)) for s in map(words.split, texts)]
+    names = [w.encode() for w in first_seen]
+    bucket = np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) % n
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    flat = place[np.concatenate(numbers)] if len(names) else np.empty(0, np.uint32)
+    return flat, np.fromiter(map(len, numbers), np.uint32, len(numbers)), [names[i] for i in order], bucket[order]
 
 
 def encode(documents: DataFrame, content: str) -> DataFrame:
-    """doc_id, ids: array of int, of every row. ``documents`` should be a table scan (it is read twice)."""
+    """doc_id, ids: array of int, of every row; the texts are read and split once.
+
+    A block's word numbers (rANS-coded) and its cells of distinct words leave the scan together. Cells are dealt out by
+    the words' hash, so that each distinct word is encoded in one place, and meet the numbers again by the block.
+    """
     spark = ready(documents.sparkSession)
     n = blocks.buckets(spark)
-    rows = blocks.text_rows(documents)
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(content)
-        for name, _, texts in blocks.of_rows(batches):
-            _, names, bucket = vocabulary(words, texts, n)
-            cells = list(_cells(names, bucket))
-            yield pd.DataFrame({"block": name, "bucket": [b for b, _, _ in cells], "data": [d for _, d, _ in cells]})
+        for name, ids, texts in blocks.of_rows(batches):
+            flat, lengths, names, bucket = numbered(words, texts, n)
+            coded = [flat.tobytes()] if not len(flat) else [pickle.dumps(ans.pack_segment(flat))]
+            rows = [(zlib.crc32(name.encode()) % n, -1, blocks.join([blocks.pack_ids(ids), blocks.pack(lengths), *coded]))]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                if z > a:
+                    rows.append((int(bucket[a]), int(bucket[a]), blocks.pack_words(names[a:z])))
+            yield pd.DataFrame(rows, columns=["target", "bucket", "data"]).assign(block=name)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, known = Words(content), {}
         for batch in batches:
             out = []
-            for data in batch["data"]:
-                cell = [w.decode() for w in blocks.unpack_words(data)]
+            for bucket, data in zip(batch["bucket"], batch["data"], strict=True):
+                if bucket < 0:
+                    out.append(data)
+                    continue
+                cell = blocks.unpack_words(data)
                 new = [w for w in cell if w not in known]
-                known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in words.encode(new)), strict=True))
+                known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in words.encode([w.decode() for w in new])), strict=True))
                 ids = [known[w] for w in cell]
                 lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                out.append(blocks.join([np.uint32(zlib.crc32(data)).tobytes(), blocks.pack(lengths), blocks.pack(np.frombuffer(b"".join(ids), np.uint32))]))
+                out.append(blocks.join([blocks.pack(lengths), blocks.pack(np.frombuffer(b"".join(ids), np.uint32))]))
             yield pd.DataFrame({"block": batch["block"], "bucket": batch["bucket"], "data": out})
 
-    def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(content)
-        for name, ids, texts in blocks.of_rows(batches):
-            numbers, names, bucket = vocabulary(words, texts, n)
-            crc = zlib.crc32(b"".join(np.uint32(c).tobytes() for _, _, c in _cells(names, bucket)))
-            flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
-            data = blocks.join([blocks.pack_ids(ids), blocks.pack(np.fromiter(map(len, numbers), np.uint32, len(numbers))), blocks.pack(flat), np.uint32(crc).tobytes()])
-            yield pd.DataFrame({"block": [name], "bucket": [-1], "data": [data]})
-
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket")
         first, *cells = [blocks.split(d) for d in pdf["data"]]
-        doc_ids, lengths, seq = blocks.unpack_ids(first[0]), blocks.unpack(first[1], np.uint32), blocks.unpack(first[2], np.uint32)
-        if zlib.crc32(b"".join(c[0] for c in cells)) != int(np.frombuffer(first[3], np.uint32)[0]):
-            raise RuntimeError("the rows of a block came in another order; encode() needs a stable scan")
-        counts = np.concatenate([blocks.unpack(c[1], np.uint32) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
-        flat = np.concatenate([blocks.unpack(c[2], np.uint32) for c in cells]).astype(np.int32) if cells else np.empty(0, np.int32)
+        doc_ids, lengths = blocks.unpack_ids(first[0]), blocks.unpack(first[1], np.uint32)
+        seq = np.empty(0, np.uint32)
+        if cells:
+            coded = pickle.loads(first[2])
+            seq = ans.unpack_segment(coded["symbols"], coded["frequencies"], coded["blocks"])
+        counts = np.concatenate([blocks.unpack(c[0], np.uint32) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
+        flat = np.concatenate([blocks.unpack(c[1], np.uint32) for c in cells]).astype(np.int32) if cells else np.empty(0, np.int32)
         starts = np.cumsum(counts) - counts
         out, at = [], 0
         for k in lengths.tolist():
@@ -161,9 +165,9 @@ def encode(documents: DataFrame, content: str) -> DataFrame:
             out.append(flat[shift + np.arange(len(shift))])
         return pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "ids": out})
 
-    cell = "block string, bucket int, data binary"
-    table = rows.mapInPandas(distinct, cell).repartition(n, "bucket").mapInPandas(encoded, cell)
-    return rows.mapInPandas(sequences, cell).unionByName(table).groupBy("block").applyInPandas(assemble, "doc_id long, ids array<int>")
+    leaving = blocks.text_rows(documents).mapInPandas(distinct, "target int, bucket int, data binary, block string")
+    back = leaving.repartition(n, "target").mapInPandas(encoded, "block string, bucket int, data binary")
+    return back.groupBy("block").applyInPandas(assemble, "doc_id long, ids array<int>")
 
 
 def word_table(documents: DataFrame, content: str) -> DataFrame:
