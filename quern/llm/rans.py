@@ -2,12 +2,10 @@
 
 Rows are put in ascending doc_id order by a range shuffle on (doc_id, hash of the text), so that one id with very many rows still
 spreads. Each range encodes its texts, and every segment of some million ids gets one frequency table, shared by the
-segment's blocks. A block of BLOCK_IDS ids is coded in LANES interleaved streams and depends on nothing but
-the table: its directory entry (the checkpoint: count, first states, words) and crc32 let any block be decoded alone. All blocks
-of a group are coded in lockstep with numpy.
+segment's independent interleaved blocks (``ans``). A block's directory entry (the checkpoint: count, first states, words) and
+crc32 let any block be decoded alone.
 
 Files are Parquet tables written by Spark, a row for each segment, so that a lost task leaves nothing half-written.
-State: 64 bits, renormalised by 32-bit words; frequencies add up to 2**SCALE.
 
 Nulls: a null text counts as empty (it still gets the end id); null doc_ids come first. Rows with the same id keep one row each, in the
 order of their texts' hash. An empty table gives no segment and an empty result. Other columns are ignored.
@@ -15,6 +13,7 @@ order of their texts' hash. An empty table gives no segment and an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,31 +25,53 @@ from pyspark.sql import functions as F
 
 from quern.llm import blocks
 from quern.llm.ans import pack_segment, unpack_segment
-from quern.llm.bpe import Words
+from quern.llm.bpe import PATTERN, SETTLED, Words, piece_table
 from quern.llm.common import cut, ready
 
 #: A segment (one frequency table) is closed at the first document end after so many ids.
-SEGMENT_IDS = 4 << 20
-#: A worker's table of words is emptied beyond so many.
-CACHE = 300_000
+SEGMENT_IDS = 2 << 20
 
 SCHEMA = "range int, segment int, first long, n_ids long, doc_ids binary, lengths binary, symbols binary, frequencies binary, blocks array<struct<n: int, states: binary, words: binary, crc32: long>>"
 
 
 class Encoder:
-    """Texts to ids; each distinct word is encoded once as long as a worker remembers it."""
+    """Whole texts to ids, the same as the tokenizers library's.
+
+    The vocabulary of the tokenizer's file is handed to tiktoken, whose merging is several times faster. Texts with characters that
+    Unicode versions class differently go to the tokenizers library itself, special tokens are cut out first, and each
+    batch's first text is encoded by both, which must agree.
+    """
 
     def __init__(self, content: str):
-        self.words, self.known = Words(content), {}
+        import tiktoken
+
+        self.words = Words(content)
+        ranks = {piece: i for i, piece in enumerate(piece_table(content)) if piece}
+        special = {t["content"]: t["id"] for t in json.loads(content).get("added_tokens", [])}
+        for name in special:
+            ranks.pop(name.encode(), None)
+        self.special = special
+        self.fast = tiktoken.Encoding("words", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def one(self, text: str) -> np.ndarray:
+        if not SETTLED.fullmatch(text):
+            return self.library(text)
+        if self.words.special and self.words.special.search(text):
+            parts = self.words.special.split(text)
+            return np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else self.plain(p) for k, p in enumerate(parts)])
+        return self.plain(text)
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.words.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known, split = self.known, [self.words.split(t) for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        new = [w for w in set().union(*split) if w not in known]
-        known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in self.words.encode(new)), strict=True))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
+        out = [self.one(t) for t in texts]
+        if texts and not np.array_equal(out[0], self.library(texts[0])):
+            raise RuntimeError("the two encoders disagree")
+        return out
 
 
 ENCODERS: dict[int, Encoder] = {}

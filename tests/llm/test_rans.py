@@ -3,44 +3,53 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quern.llm import bpe, rans
+from quern.llm import ans, bpe, rans
 from tests.conftest import frame
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 CONTENT = bpe.load(PATH)
 TOKENIZER = Tokenizer.from_file(PATH)
+ENCODER = rans.Encoder(CONTENT)
 
 
-@pytest.mark.parametrize("n", [1, 63, 64, 65, 1000, rans.BLOCK_IDS, rans.BLOCK_IDS + 1, 3 * rans.BLOCK_IDS + 777])
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 1000, ans.BLOCK_IDS, ans.BLOCK_IDS + 1, 3 * ans.BLOCK_IDS + 777])
 @pytest.mark.parametrize("kind", ["skewed", "uniform", "constant"])
 def test_segments_round_trip(n, kind):
     g = np.random.default_rng(n)
     ids = {"skewed": lambda: (g.pareto(1.0, n) * 3).astype(np.uint32) % 50257, "uniform": lambda: g.integers(0, 50257, n).astype(np.uint32), "constant": lambda: np.full(n, 7, np.uint32)}[kind]()
-    p = rans.pack_segment(ids)
-    assert (rans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"]) == ids).all()
+    p = ans.pack_segment(ids)
+    assert (ans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"]) == ids).all()
     assert sum(b["n"] for b in p["blocks"]) == n
 
 
 def test_one_block_alone_and_checksum():
-    ids = np.arange(3 * rans.BLOCK_IDS, dtype=np.uint32) % 999
-    p = rans.pack_segment(ids)
-    assert (rans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"][1:2]) == ids[rans.BLOCK_IDS : 2 * rans.BLOCK_IDS]).all()
+    ids = np.arange(3 * ans.BLOCK_IDS, dtype=np.uint32) % 999
+    p = ans.pack_segment(ids)
+    assert (ans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"][1:2]) == ids[ans.BLOCK_IDS : 2 * ans.BLOCK_IDS]).all()
     p["blocks"][0]["crc32"] ^= 1
     with pytest.raises(ValueError, match="checksum"):
-        rans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"])
+        ans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"])
 
 
 def test_size_is_near_the_entropy():
     ids = (np.random.default_rng(0).pareto(1.0, 500_000) * 3).astype(np.uint32) % 5000
-    p = rans.pack_segment(ids)
+    p = ans.pack_segment(ids)
     c = np.bincount(ids)
     c = c[c > 0] / len(ids)
     coded = sum(len(b["words"]) + len(b["states"]) for b in p["blocks"])
     assert coded < 1.02 * len(ids) * -(c * np.log2(c)).sum() / 8 + 8 * 512
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="ab'sdl 1\n\t!<|>endoftx²éß \x85\x1c͸՘", max_size=60), st.sampled_from(["a<|endoftext|>b", "<|endoftext|>", ""])))
+def test_ids_are_the_librarys(text):
+    assert ENCODER.one(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def test_files(spark, monkeypatch):
     monkeypatch.setattr(rans, "SEGMENT_IDS", 50)
     rows = [(i * 7 % 101, f"text {i} of some words " * (i % 5)) for i in range(101)] + [(5, None), (5, "again"), (None, "no id")]
