@@ -53,6 +53,16 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).reshape(n)
 
 
+def pack_small(a: np.ndarray) -> bytes:
+    """Numbers as they stand, compressed; in 16 bits where all fit."""
+    narrow = not len(a) or int(a.max()) < 1 << 16
+    return bytes([narrow]) + zstandard.ZstdCompressor(level=3).compress(a.astype(np.uint16 if narrow else np.uint32).tobytes())
+
+
+def unpack_small(b: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint16 if b[0] else np.uint32)
+
+
 def join(parts: list[bytes]) -> bytes:
     """Several byte strings as one."""
     return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
@@ -65,7 +75,7 @@ def split(b: bytes) -> list[bytes]:
 
 
 def pack_words(words: list[bytes]) -> bytes:
-    return join([pack(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.ZstdCompressor(level=3).compress(b"".join(words))])
+    return join([pack(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.ZstdCompressor(level=9).compress(b"".join(words))])
 
 
 def unpack_words(b: bytes) -> list[bytes]:

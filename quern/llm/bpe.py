@@ -45,6 +45,10 @@ def load(path: str) -> str:
         return f.read()
 
 
+#: Characters of a block: larger ones repeat fewer distinct words in the shuffle.
+BLOCK_CHARS = 8 << 20
+
+
 class Words:
     """Splitting and encoding with one tokenizer; made once per task."""
 
@@ -119,7 +123,7 @@ def encode(documents: DataFrame, content: str) -> DataFrame:
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(content)
-        for name, ids, texts in blocks.of_rows(batches):
+        for name, ids, texts in blocks.of_rows(batches, BLOCK_CHARS):
             flat, lengths, names, bucket = numbered(words, texts, n)
             coded = [flat.tobytes()] if not len(flat) else [pickle.dumps(ans.pack_segment(flat))]
             rows = [(zlib.crc32(name.encode()) % n, -1, blocks.join([blocks.pack_ids(ids), blocks.pack(lengths), *coded]))]
@@ -142,7 +146,7 @@ def encode(documents: DataFrame, content: str) -> DataFrame:
                 known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in words.encode([w.decode() for w in new])), strict=True))
                 ids = [known[w] for w in cell]
                 lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                out.append(blocks.join([blocks.pack(lengths), blocks.pack(np.frombuffer(b"".join(ids), np.uint32))]))
+                out.append(blocks.join([blocks.pack(lengths), blocks.pack_small(np.frombuffer(b"".join(ids), np.uint32))]))
             yield pd.DataFrame({"block": batch["block"], "bucket": batch["bucket"], "data": out})
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +158,7 @@ def encode(documents: DataFrame, content: str) -> DataFrame:
             coded = pickle.loads(first[2])
             seq = ans.unpack_segment(coded["symbols"], coded["frequencies"], coded["blocks"])
         counts = np.concatenate([blocks.unpack(c[0], np.uint32) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
-        flat = np.concatenate([blocks.unpack(c[1], np.uint32) for c in cells]).astype(np.int32) if cells else np.empty(0, np.int32)
+        flat = np.concatenate([blocks.unpack_small(c[1]) for c in cells]).astype(np.int32) if cells else np.empty(0, np.int32)
         starts = np.cumsum(counts) - counts
         out, at = [], 0
         for k in lengths.tolist():

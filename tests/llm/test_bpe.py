@@ -25,7 +25,7 @@ def test_words_encode_as_the_library_does(text):
 TEXTS = ["", None, "Hello world, it's 2 o'clock!\n\n  spaced", "a<|endoftext|>b <|endoftext|>", "é²  x \x00\x1c!", "the the the " * 5000, "same", "same", "x" * 5000]
 
 
-def test_round_trip_and_nulls(spark, monkeypatch):
+def test_round_trip_and_nulls(spark):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, "null id", 1)]
     docs = frame(spark, rows, "doc_id long, text string, ids int").repartition(3)
     out = {r["doc_id"]: r for r in bpe.digest(bpe.decode(bpe.encode(bpe_input(spark, docs), CONTENT), CONTENT)).collect()}
@@ -45,9 +45,7 @@ def bpe_input(spark, docs):
 
 def test_many_blocks(spark, monkeypatch):
     docs = frame(spark, [(i, f"word{i % 7} and more{i} text") for i in range(200)], "doc_id long, text string")
-    small = lambda batches, size=300: ORIGINAL(batches, size)
-    ORIGINAL = blocks.of_rows
-    monkeypatch.setattr(blocks, "of_rows", small)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 300)
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(bpe_input(spark, docs), CONTENT).collect()}
     assert got == {i: TOKENIZER.encode(f"word{i % 7} and more{i} text").ids for i in range(200)}
 
