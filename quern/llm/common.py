@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,12 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results have been written: they go with the driver's garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (the hold-out rule); null ids count as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

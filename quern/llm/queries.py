@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from quern.llm import bpe, decontam, fingerprints, line_dedup, minhash, quality, rans, secret_scan, toxicity
+from quern.llm import bpe, decontam, fingerprints, line_dedup, lm, minhash, quality, rans, secret_scan, toxicity
 from quern.session import table
 
 
@@ -28,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
