@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import bpe, common, decontam, line_dedup, minhash, toxicity
 from quern.session import table
@@ -20,8 +21,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove later occurrences of repeated three-line passages."""
-    return line_dedup.clean(docs)
+    """Remove later occurrences of repeated three-line passages; n_chars follows the text."""
+    return line_dedup.clean(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
