@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +30,12 @@ def fold(text: str | None) -> list[str]:
 
 
 def _folded(c: Column) -> Column:
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
+    from pyspark.sql.functions import pandas_udf
 
-    def run(texts):
+    def run(texts: pd.Series) -> pd.Series:
         return texts.map(fold)
 
-    return pandas_udf(run, "array<string>", PandasUDFType.SCALAR)(c)
+    return pandas_udf(run, "array<string>")(c)
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {

@@ -434,3 +434,32 @@ class Engine:
         if not dry:
             self._publish(t, parts, gone[0] if gone else None)
         return total
+
+    # indexes
+
+    def index(self, name: str) -> DataFrame:
+        """The derived rows of an index of this schema: (keys, primary key), or the grouped aggregate it is defined by."""
+        from quern.operators.indexes import check_unique, value_index
+
+        found = [i for i in self.schema.indexes if i["name"] == name.upper()]
+        if not found:
+            raise SQLError("42F01", name)
+        i = found[0]
+        if "query" in i:
+            return self._frame(self.binder().query(i["query"])[0])
+        t = self.table([i["table"]])
+        for c in i["columns"]:
+            if c not in [n for n, _, _ in t.columns]:
+                raise SQLError("42703", c)
+        rows = t.frame(self.spark)
+        if i["unique"]:
+            check_unique(rows, i["columns"])
+        return value_index(rows, i["columns"] + i.get("partition", []), t.pk).orderBy(*i["columns"])
+
+    # functions
+
+    def function(self, name: str, run, kind: str) -> None:
+        """Register a scalar function of batches (a pandas UDF) under a name of Spark SQL's."""
+        from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+        self.spark.udf.register(name, pandas_udf(run, kind, PandasUDFType.SCALAR))
