@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import blocks
-from quern.llm.common import cut, ready
+from quern.llm.common import cut, ready, streaming
 
 #: Sampled steps of a fingerprint, at most about so many.
 MOST = 256
@@ -201,7 +201,7 @@ def chain(documents: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in RESULT.split(", ")]
     rows = blocks.text_rows(documents).withColumn("hash", F.xxhash64("text"))
     ordered = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-    found = cut(ordered.select("doc_id", "text").mapInPandas(run, RESULT + ", part int, kind string, text string"), "fingerprints")
+    found = cut(ordered.select("doc_id", "text").mapInPandas(streaming(run), RESULT + ", part int, kind string, text string"), "fingerprints")
     firsts = found.where("kind = 'first'").select(F.col("part").alias("first_part"), F.col("text").alias("after"))
     parts = sorted(r["first_part"] for r in firsts.select("first_part").collect())  # one number for each range
     follows = spark.createDataFrame([(a, b) for a, b in zip(parts, parts[1:] + parts[:1], strict=True)], "part int, first_part int")
@@ -212,7 +212,7 @@ def chain(documents: DataFrame) -> DataFrame:
             for i, text, after in zip(batch["doc_id"], batch["text"], batch["after"], strict=True):
                 yield compare([(None if pd.isna(i) else int(i), text)], [after])
 
-    return found.where("kind is null").drop("part", "kind", "text").unionByName(lasts.mapInPandas(ends, RESULT))
+    return found.where("kind is null").drop("part", "kind", "text").unionByName(lasts.mapInPandas(streaming(ends), RESULT))
 
 
 @lru_cache(64)
@@ -259,10 +259,11 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def near_duplicates(documents: DataFrame, most: float = 0.1) -> DataFrame:
-    """doc_id, match_id, distance: verified pairs of each document with the least id that shares a band with it.
+    """doc_id, match_id (the smaller id), distance: verified pairs of documents that share a band.
 
-    Pairs are not expanded within a band: every document meets the least id of each of its bands only, so a band of n
-    documents gives n - 1 candidates. Verified: an edit distance of at most ``most`` of the longer text. Null ids are left out.
+    Pairs are not expanded within a band's group: every document meets one pivot of each of its bands, so a group of n
+    documents gives n - 1 candidates. Each group draws its pivot by a hash of (band, id), so near documents meet many different
+    ones. Verified: an edit distance of at most ``most`` of the longer text. Null ids are left out.
     """
     ready(documents.sparkSession)
     rows = blocks.text_rows(documents).where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -272,9 +273,10 @@ def near_duplicates(documents: DataFrame, most: float = 0.1) -> DataFrame:
             out = [(i, level, b, s) for i, f in zip(batch["doc_id"], fingerprints(batch["text"].tolist()), strict=True) for level, b, s in bands(f)]
             yield pd.DataFrame(out, columns=["doc_id", "level", "band", "key"])
 
-    keys = cut(rows.mapInPandas(banded, "doc_id long, level int, band int, key binary"), "bands")
-    least = keys.groupBy("level", "band", "key").agg(F.min("doc_id").alias("match_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(least, ["level", "band", "key"]).where("match_id < doc_id").select("doc_id", "match_id").distinct()
+    keys = cut(rows.mapInPandas(streaming(banded), "doc_id long, level int, band int, key binary"), "bands")
+    pivots = keys.groupBy("level", "band", "key").agg(F.min_by("doc_id", F.xxhash64("band", "doc_id")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = keys.join(pivots, ["level", "band", "key"]).where("pivot <> doc_id")
+    pairs = met.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("match_id")).distinct()
     left = pairs.join(rows, "doc_id")
     both = left.join(rows.select(F.col("doc_id").alias("match_id"), F.col("text").alias("other")), "match_id")
 
@@ -284,4 +286,4 @@ def near_duplicates(documents: DataFrame, most: float = 0.1) -> DataFrame:
             found = [edit_distance(a, b, k) for a, b, k in zip(batch["text"], batch["other"], allowed, strict=True)]
             yield batch[["doc_id", "match_id"]].assign(distance=found)[[d <= k for d, k in zip(found, allowed, strict=True)]]
 
-    return both.mapInPandas(verify, "doc_id long, match_id long, distance long")
+    return both.mapInPandas(streaming(verify), "doc_id long, match_id long, distance long")
