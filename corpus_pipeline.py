@@ -38,7 +38,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again for the digests."""
     content = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
-    return bpe.digest(bpe.decode(bpe.encode(docs, content), content))
+    return bpe.digest(bpe.encode(docs, content, with_text=True))
 
 
 STAGES = [("toxicity", toxic_out), ("line_dedup", lines_once), ("minhash", one_of_each), ("decontamination", no_benchmark), ("bpe", encoded)]

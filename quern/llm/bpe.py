@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import ans, blocks
-from quern.llm.common import ready
+from quern.llm.common import grouped, ready, streaming
 
 # Fixed value: the pre-token expression of byte-level BPE (as in the public GPT-2 tokenizer).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -53,14 +54,20 @@ class Words:
     """Splitting and encoding with one tokenizer; made once per task."""
 
     def __init__(self, content: str):
+        self.content = content
+        special = sorted((t["content"] for t in json.loads(content).get("added_tokens", [])), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+
+    @cached_property
+    def tokenizer(self):
+        """Made only where something is encoded; splitting seldom needs it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        special = sorted((t["content"] for t in json.loads(content).get("added_tokens", [])), key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        out = Tokenizer.from_str(self.content)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
@@ -99,6 +106,18 @@ def piece_table(content: str) -> list[bytes]:
     return out
 
 
+def piece_array(content: str) -> np.ndarray:
+    """The id-to-piece table as an array: joining ids to it is one look-up by position."""
+    pieces = piece_table(content)
+    out = np.empty(len(pieces), dtype=object)
+    out[:] = pieces
+    return out
+
+
+def text_of(ids, pieces: np.ndarray) -> str:
+    return b"".join(pieces[np.asarray(ids, dtype=np.int64)].tolist()).decode("utf-8", "replace")
+
+
 def numbered(words: Words, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """(numbers of all words in order, words of each text, distinct words by bucket, bucket of each)."""
     first_seen: dict[str, int] = defaultdict(count().__next__)
@@ -112,8 +131,8 @@ def numbered(words: Words, texts: list[str], n: int) -> tuple[np.ndarray, np.nda
     return flat, np.fromiter(map(len, numbers), np.uint32, len(numbers)), [names[i] for i in order], bucket[order]
 
 
-def encode(documents: DataFrame, content: str) -> DataFrame:
-    """doc_id, ids: array of int, of every row; the texts are read and split once.
+def encode(documents: DataFrame, content: str, with_text: bool = False) -> DataFrame:
+    """doc_id, ids: array of int, of every row; the texts are read and split once. ``with_text``: also the text decoded from the ids.
 
     A block's word numbers (rANS-coded) and its cells of distinct words leave the scan together. Cells are dealt out by
     the words' hash, so that each distinct word is encoded in one place, and meet the numbers again by the block.
@@ -160,18 +179,22 @@ def encode(documents: DataFrame, content: str) -> DataFrame:
         counts = np.concatenate([blocks.unpack(c[0], np.uint32) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
         flat = np.concatenate([blocks.unpack_small(c[1]) for c in cells]).astype(np.int32) if cells else np.empty(0, np.int32)
         starts = np.cumsum(counts) - counts
-        out, at = [], 0
+        pieces = piece_array(content) if with_text else None
+        out, texts, at = [], [], 0
         for k in lengths.tolist():
             s = seq[at : at + k]
             at += k
             c = counts[s]
             shift = np.repeat(starts[s] - (np.cumsum(c) - c), c)
             out.append(flat[shift + np.arange(len(shift))])
-        return pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "ids": out})
+            if with_text:
+                texts.append(text_of(out[-1], pieces))
+        frame = pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "ids": out})
+        return frame.assign(text=pd.Series(texts, dtype=object)) if with_text else frame
 
-    leaving = blocks.text_rows(documents).mapInPandas(distinct, "target int, bucket int, data binary, block string")
-    back = leaving.repartition(n, "target").mapInPandas(encoded, "block string, bucket int, data binary")
-    return back.groupBy("block").applyInPandas(assemble, "doc_id long, ids array<int>")
+    leaving = blocks.text_rows(documents).mapInPandas(streaming(distinct), "target int, bucket int, data binary, block string")
+    back = leaving.repartition(n, "target").mapInPandas(streaming(encoded), "block string, bucket int, data binary")
+    return back.groupBy("block").applyInPandas(grouped(assemble), "doc_id long, ids array<int>" + ", text string" * with_text)
 
 
 def word_table(documents: DataFrame, content: str) -> DataFrame:
@@ -188,22 +211,20 @@ def word_table(documents: DataFrame, content: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"word": batch["word"], "ids": [np.array(i, np.int32) for i in words.encode(batch["word"].tolist())]})
 
-    return blocks.text_rows(documents).mapInPandas(split, "word string").distinct().mapInPandas(run, "word string, ids array<int>")
+    return blocks.text_rows(documents).mapInPandas(streaming(split), "word string").distinct().mapInPandas(streaming(run), "word string, ids array<int>")
 
 
 def decode(encoded: DataFrame, content: str) -> DataFrame:
     """The rows of ``encoded`` (doc_id, ids) and their text: every id is joined to its piece where the rows are."""
     ready(encoded.sparkSession)
-    pieces = piece_table(content)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.empty(len(pieces), dtype=object)
-        table[:] = pieces
+        pieces = piece_array(content)
         for batch in batches:
-            texts = [b"".join(table[np.asarray(i, dtype=np.int64)].tolist()).decode("utf-8", "replace") if len(i) else "" for i in batch["ids"]]
+            texts = [text_of(i, pieces) for i in batch["ids"]]
             yield batch[["doc_id", "ids"]].assign(doc_id=batch["doc_id"].astype("Int64"), text=texts)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(streaming(run), "doc_id long, ids array<int>, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,35 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Give free memory back to the system: idle Python workers stay for the next task and should not hold what the last one used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def streaming(run):
+    """A function over a task's batches that tidies up at its end."""
+
+    def tidied(batches):
+        yield from run(batches)
+        tidy()
+
+    return tidied
+
+
+def grouped(run):
+    """A function over a group's rows that tidies up after each."""
+
+    def tidied(pdf):
+        out = run(pdf)
+        tidy()
+        return out
+
+    return tidied
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (the hold-out rule); null ids count as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import blocks
-from quern.llm.common import ready
+from quern.llm.common import ready, streaming
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -171,7 +171,7 @@ def prepare(documents: DataFrame, items: Items) -> Items:
                 found.update(set(items.hits(text, items.every)[2].tolist()))
         yield pd.DataFrame({"code": [-1, *found], "n": [n, *found.values()]})
 
-    rows = blocks.text_rows(documents).select("text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.text_rows(documents).select("text").mapInPandas(streaming(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     df = {r["code"]: r["n"] for r in rows}  # at most PART_SEEDS + 1 rows
     items.keep_rare(df, df.get(-1, 0))
     return items
@@ -198,7 +198,7 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "item_id": [r[1] for r in rows], "score": [r[2] for r in rows], "last_word": [r[3] for r in rows]})
 
-        found = blocks.text_rows(documents).mapInPandas(run, schema)
+        found = blocks.text_rows(documents).mapInPandas(streaming(run), schema)
         out = found if k == 0 else out.unionByName(found)
     return out
 
@@ -223,5 +223,5 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep.append(not (len(hits[1]) and matches(*hits, items)))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, documents.schema)
+        out = out.mapInArrow(streaming(run), documents.schema)
     return out

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, labelled_sample, ready
+from quern.llm.common import crc_mod, labelled_sample, ready, streaming
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCS = 4000
@@ -126,7 +126,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             x = inputs([sizes(t, compressors) for t in batch["text"]]) if compressors else np.zeros((len(batch), 4))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": own.score(x)})
 
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(streaming(run), "doc_id long, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, most: int = TRAIN_DOCS) -> DataFrame:

@@ -46,7 +46,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), content), content))
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), content, with_text=True))
 
 
 def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm import blocks
 from quern.llm.ans import pack_segment, unpack_segment
 from quern.llm.bpe import PATTERN, SETTLED, Words, piece_table
-from quern.llm.common import cut, ready
+from quern.llm.common import cut, ready, streaming
 
 #: A segment (one frequency table) is closed at the first document end after so many ids.
 SEGMENT_IDS = 2 << 20
@@ -107,7 +107,7 @@ def write(documents: DataFrame, content: str, end: int) -> DataFrame:
 
     rows = blocks.text_rows(documents).withColumn("hash", F.xxhash64("text"))
     ordered = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-    return cut(ordered.select("doc_id", "text").mapInPandas(run, SCHEMA), "rans")
+    return cut(ordered.select("doc_id", "text").mapInPandas(streaming(run), SCHEMA), "rans")
 
 
 def read(spark: SparkSession, files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -133,4 +133,4 @@ def read(spark: SparkSession, files: DataFrame, with_ids: bool = False) -> DataF
                 yield out.assign(ids=[e.astype(np.int32) for e in each]) if with_ids else out
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return files.select("range", "first", "doc_ids", "lengths", "symbols", "frequencies", "blocks").mapInPandas(run, schema)
+    return files.select("range", "first", "doc_ids", "lengths", "symbols", "frequencies", "blocks").mapInPandas(streaming(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import trigrams
-from quern.llm.common import ready
+from quern.llm.common import ready, streaming
 
 #: A segment is closed beyond so many bytes of text.
 SEGMENT_BYTES = 4 << 20
@@ -114,7 +114,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     "spans": [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in f] for f in found],
                 })
 
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(streaming(run), "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def build_index(documents: DataFrame, wanted: set[int] | None = None) -> DataFrame:
@@ -135,7 +135,7 @@ def build_index(documents: DataFrame, wanted: set[int] | None = None) -> DataFra
                     name = hashlib.sha256(ids.tobytes()).hexdigest()[:16]
                     yield pd.DataFrame({"segment": name, "trigram": codes[np.r_[0, cuts]].astype(np.int32), "doc_ids": [np.unique(ids[d]) for d in np.split(docs, cuts)]})
 
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "segment string, trigram int, doc_ids array<long>")
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(streaming(run), "segment string, trigram int, doc_ids array<long>")
 
 
 def search(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

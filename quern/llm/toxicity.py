@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import pickle
 import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, labelled_sample, ready
+from quern.llm.common import crc_mod, labelled_sample, ready, tidy, streaming
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCS = 6000
@@ -33,7 +35,7 @@ LONGEST = 60
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
 #: A worker forgets its words' weights beyond so many.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -113,7 +115,7 @@ def train(bags: list[list[list[str]]], y: np.ndarray, most: int = FEATURES, epoc
     names = sorted((f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= 4), key=lambda f: (-telling(f), f))[:most]
     number = {f: i for i, f in enumerate(names)}
     of_word: dict[str, list[int]] = {}
-    flat, sentence_of, doc_of = [], [], []
+    flat, sentence_of, doc_of = array("i"), array("i"), array("i")
     for d, bag in enumerate(bags):
         for words in bag:
             s = len(doc_of)
@@ -122,9 +124,9 @@ def train(bags: list[list[list[str]]], y: np.ndarray, most: int = FEATURES, epoc
                 ids = of_word.get(w)
                 if ids is None:
                     ids = of_word[w] = [number[f] for f in parts(w) if f in number]
-                flat += ids
-                sentence_of += [s] * len(ids)
-    flat, sentence_of, doc_of = np.array(flat, dtype=np.int64), np.array(sentence_of, dtype=np.int64), np.array(doc_of, dtype=np.int64)
+                flat.extend(ids)
+                sentence_of.extend([s] * len(ids))
+    flat, sentence_of, doc_of = (np.frombuffer(a, np.int32) if len(a) else np.empty(0, np.int32) for a in (flat, sentence_of, doc_of))
     w, b = np.zeros(len(names)), -4.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, epochs + 1):
@@ -145,7 +147,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     """Fit on at most ``most`` labelled documents outside the hold-out fold."""
     ready(documents.sparkSession)
     rows = sorted(labelled_sample(documents, labels, label, folds, most).collect())
-    return train([[words for _, _, words in sentences(r["text"])] for r in rows], np.array([r["y"] for r in rows], dtype=float))
+    y = np.array([r["y"] for r in rows], dtype=float)
+    bags = [[[sys.intern(w) for w in words] for _, _, words in sentences(r["text"])] for r in rows]
+    del rows
+    model = train(bags, y)
+    del bags
+    tidy()
+    return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -160,7 +168,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": [s for s, _ in scored], "offending": [[{"start": a, "end": b, "p": p} for a, b, p in o] for _, o in scored]})
 
     schema = "doc_id long, score double, offending array<struct<start: long, end: long, p: double>>"
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(streaming(run), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, most: int = TRAIN_DOCS) -> DataFrame:
@@ -184,4 +192,4 @@ def keep(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
             clean = [own.document(t or "")[0] < threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(clean))
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(streaming(run), schema)

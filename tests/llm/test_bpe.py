@@ -37,6 +37,11 @@ def test_round_trip_and_nulls(spark):
         assert out[i]["decoded_sha256"] == hashlib.sha256(TOKENIZER.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_text_in_one_pass(spark):
+    docs = bpe_input(spark, frame(spark, [(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in bpe.encode(docs, CONTENT, with_text=True).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+
+
 def bpe_input(spark, docs):
     from quern.llm.common import cut
 
