@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import ans, blocks
-from quern.llm.common import crc_mod, cut, ready, release
+from quern.llm.common import crc_mod, cut, grouped, ready, release, streaming
 
 END = b"\n"
 K = 5
@@ -84,12 +84,12 @@ class Unigrams:
 
 
 def numbered(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(word numbers of all texts in order, tokens of each, distinct words by bucket and then by word, bucket of each)."""
+    """(word numbers of all texts in order, tokens of each, distinct words by bucket and then as first seen, bucket of each)."""
     first: dict[bytes, int] = defaultdict(counter().__next__)
     seqs = [np.fromiter(map(first.__getitem__, t), np.uint32, len(t)) for t in map(tokens, texts)]
     names = list(first)
     bucket = np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) % n
-    order = np.array(sorted(range(len(names)), key=lambda i: (bucket[i], names[i])), np.int64)
+    order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
     return place[np.concatenate(seqs)], np.fromiter(map(len, seqs), np.int64, len(seqs)), [names[i] for i in order], bucket[order].astype(np.int64)
@@ -121,14 +121,14 @@ class Block:
         self.counts = np.concatenate([blocks.unpack(c[2], np.int64) for _, c in cells])
 
     def pairs(self, total: int, n: int) -> None:
-        """Distinct (history, word) pairs by target bucket, history and word; ``inverse``: the pair of each token."""
+        """Distinct (history, word) pairs by target bucket, then by history; ``inverse``: the pair of each token."""
         history, v = np.r_[self.end, self.seq[:-1]], len(self.ids)
         code, inverse = np.unique(history * v + self.seq, return_inverse=True)
         one, two = code // v, code % v
         spread = np.maximum(1, -(-self.counts[one] * n // max(total, 1)))
         shift = ((self.ids[two].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % spread
         target = (self.ids[one] + shift) % n
-        order = np.lexsort((self.ids[two], self.ids[one], target))
+        order = np.argsort(target.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")  # a radix sort for 16 bits
         self.one, self.two, self.target = one[order], two[order], target[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -145,7 +145,7 @@ def scan_words(documents: DataFrame, n: int) -> DataFrame:
             counts = np.bincount(seq[train], minlength=len(names))
             yield rows_frame([("words", name, b, blocks.join([blocks.pack_words(names[a:z]), blocks.pack(counts[a:z])])) for b, a, z in slices(bucket)])
 
-    return blocks.text_rows(documents).mapInPandas(run, CELL)
+    return blocks.text_rows(documents).mapInPandas(streaming(run), CELL)
 
 
 def scan_tokens(documents: DataFrame, n: int) -> DataFrame:
@@ -158,7 +158,7 @@ def scan_tokens(documents: DataFrame, n: int) -> DataFrame:
             data = [blocks.pack_ids(ids), blocks.pack(lengths), pickle.dumps(ans.pack_segment(seq)), np.uint32(names.index(END)).tobytes(), np.uint32(zlib.crc32(crc)).tobytes()]
             yield rows_frame([("tokens", name, -1, blocks.join(data))])
 
-    return blocks.text_rows(documents).mapInPandas(run, CELL)
+    return blocks.text_rows(documents).mapInPandas(streaming(run), CELL)
 
 
 def count_words(cells: DataFrame, n: int) -> DataFrame:
@@ -187,7 +187,7 @@ def count_words(cells: DataFrame, n: int) -> DataFrame:
         out.append(("stats", None, bucket, pickle.dumps((counts_of_counts(counts), int(counts.sum()), len(known)))))
         return rows_frame(out)
 
-    return cells.groupBy("bucket").applyInPandas(run, CELL)
+    return cells.groupBy("bucket").applyInPandas(grouped(run), CELL)
 
 
 def counts_of_counts(c: np.ndarray) -> list[int]:
@@ -218,14 +218,14 @@ def scan_pairs(documents: DataFrame, words: DataFrame, total: int, n: int) -> Da
         counts = np.bincount(own.inverse[train], minlength=len(own.one))
         out = []
         for b, a, z in slices(own.target):
-            one, starts = np.unique(own.ids[own.one[a:z]], return_index=True)
+            starts = np.flatnonzero(np.r_[True, np.diff(own.one[a:z]) != 0])
             first = own.one[a:z][starts]
             two = own.two[a:z]
-            out.append(("pairs", pdf["block"].iloc[0], b, blocks.join([blocks.pack(one), blocks.pack(own.counts[first]), blocks.pack(np.diff(np.r_[starts, z - a])), blocks.pack(own.ids[two]), blocks.pack(own.counts[two]), blocks.pack(counts[a:z])])))
+            out.append(("pairs", pdf["block"].iloc[0], b, blocks.join([blocks.pack(own.ids[first]), blocks.pack(own.counts[first]), blocks.pack(np.diff(np.r_[starts, z - a])), blocks.pack(own.ids[two]), blocks.pack(own.counts[two]), blocks.pack(counts[a:z])])))
         return rows_frame(out)
 
     both = scan_tokens(documents, n).unionByName(words.where("kind = 'word'"))
-    return both.groupBy("block").applyInPandas(run, CELL)
+    return both.groupBy("block").applyInPandas(grouped(run), CELL)
 
 
 def count_pairs(cells: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def count_pairs(cells: DataFrame) -> DataFrame:
         out.append(("stats", None, bucket, pickle.dumps((counts_of_counts(total), int(total.sum()), len(total)))))
         return rows_frame(out)
 
-    return cells.groupBy("bucket").applyInPandas(run, CELL)
+    return cells.groupBy("bucket").applyInPandas(grouped(run), CELL)
 
 
 def weight(c: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +282,7 @@ def backoff(pairs: DataFrame, unigrams: Unigrams, d: np.ndarray, total: int, n:
                     out.append(("part", None, bucket, pickle.dumps((one[wide], of_one[wide], seen[wide], lower[wide]))))
             yield rows_frame(out)
 
-    return pairs.where("kind = 'model'").select("bucket", "data").mapInPandas(run, CELL)
+    return pairs.where("kind = 'model'").select("bucket", "data").mapInPandas(streaming(run), CELL)
 
 
 def spread(weights: DataFrame) -> dict[int, tuple[float, int]]:
@@ -318,7 +318,7 @@ def hand_out(words: DataFrame, weights: DataFrame) -> DataFrame:
             out.append(("alpha", block, bucket, blocks.join([blocks.pack(a.astype(np.float32)), blocks.pack(m)])))
         return rows_frame(out)
 
-    return words.where("kind = 'word'").unionByName(weights.where("kind = 'alpha'")).groupBy("bucket").applyInPandas(run, CELL)
+    return words.where("kind = 'word'").unionByName(weights.where("kind = 'alpha'")).groupBy("bucket").applyInPandas(grouped(run), CELL)
 
 
 class Fitted:
@@ -377,7 +377,7 @@ def score(documents: DataFrame, model: Fitted) -> DataFrame:
         })
 
     answers = model.words.where("kind = 'word'").unionByName(hand_out(model.words, model.weights)).unionByName(model.pairs.where("kind = 'pair'"))
-    return scan_tokens(documents, n).unionByName(answers).groupBy("block").applyInPandas(run, RESULT)
+    return scan_tokens(documents, n).unionByName(answers).groupBy("block").applyInPandas(grouped(run), RESULT)
 
 
 def score_corpus(documents: DataFrame) -> DataFrame:
