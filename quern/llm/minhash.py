@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import blocks
-from quern.llm.common import cut, drop, ready
+from quern.llm.common import cut, drop, ready, streaming
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -45,7 +45,7 @@ CANDIDATE = 0.7
 CHUNK = 1024
 WORD = re.compile(r"\w+")
 #: A worker forgets its words' hashes beyond so many.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -196,7 +196,7 @@ def sign(documents: DataFrame) -> DataFrame:
             keys, sig = signatures(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": batch["node"], "keys": list(keys), "sig": [s.tobytes() for s in sig]})
 
-    return blocks.text_rows(documents).withColumn("node", node_of(F.col("text"))).mapInPandas(run, "doc_id long, node binary, keys array<long>, sig binary")
+    return blocks.text_rows(documents).withColumn("node", node_of(F.col("text"))).mapInPandas(streaming(run), "doc_id long, node binary, keys array<long>, sig binary")
 
 
 def _spanning(members: DataFrame, n_buckets: int) -> tuple[list[DataFrame], DataFrame]:
@@ -224,7 +224,7 @@ def _spanning(members: DataFrame, n_buckets: int) -> tuple[list[DataFrame], Data
     while True:
         chunks = F.ceil(F.col("n") / CHUNK).cast("int")
         dealt = members.select("key", "node", "sig", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-        found = cut(dealt.repartition(n_buckets, "key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInPandas(run, "key long, node binary, sig binary, a binary, b binary"), "spanning")
+        found = cut(dealt.repartition(n_buckets, "key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInPandas(streaming(run), "key long, node binary, sig binary, a binary, b binary"), "spanning")
         tables.append(found)
         central = found.where("node is not null").select("key", "node", "sig")
         if central.isEmpty():
@@ -246,7 +246,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary, similarity double")
+    return both.select("a", "b", "ta", "tb").mapInPandas(streaming(run), "a binary, b binary, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,30 +267,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, tested: DataFrame, most: int | None, n_buckets: int) -> DataFrame:
-    """Untested pairs of different components in one bucket that may reach the threshold; ``most``: of a text and a component."""
+def _crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, most: int | None, n_buckets: int) -> DataFrame:
+    """Untested pairs of different components in one bucket that may reach the threshold; ``most``: of two components.
+
+    A pair that shares several bands is given by the first of them alone.
+    """
     named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     named = cut(named, "named")
     counted = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    rows = named.join(mixed, "key").join(sigs, "node")
+    rows = named.join(mixed, "key").join(nodes.select("node", "sig", "keys"), "node")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = rows.select("key", "node", "label", "sig", chunks.alias("chunks"), (F.col("label") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("own"))
+    rows = rows.select("key", "node", "label", "sig", "keys", chunks.alias("chunks"), (F.col("label") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("own"))
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, ["key", "chunk"]):
             nodes, label = group["node"].to_numpy(), group["label"].to_numpy()
             sig, out, own = _matrix(group["sig"]), group["out"].to_numpy(bool), (group["own"] == group["chunk"]).to_numpy()
+            key, keys = group["key"].iloc[0], np.stack(group["keys"].to_numpy())
             found: dict[tuple, float] = {}
             visitors, hosts = np.flatnonzero(out), np.flatnonzero(own)
             for at in range(0, len(visitors), CHUNK):
                 v = visitors[at : at + CHUNK]
                 sim = estimates(sig[v], sig[hosts])
-                for i, j in zip(*np.nonzero(sim >= CANDIDATE), strict=True):
-                    a, b = v[i], hosts[j]
-                    if label[a] != label[b]:
-                        found[(*sorted((nodes[a], nodes[b])), *sorted((label[a], label[b])))] = float(sim[i, j])
+                i, j = np.nonzero(sim >= CANDIDATE)
+                a, b, near = v[i], hosts[j], sim[i, j]
+                apart = label[a] != label[b]
+                a, b, near = a[apart], b[apart], near[apart]
+                same = keys[a] == keys[b]
+                here = keys[a, same.argmax(axis=1)] == key if len(a) else np.zeros(0, bool)
+                for x, y, z in zip(a[here], b[here], near[here], strict=True):
+                    found[(*sorted((nodes[x], nodes[y])), *sorted((label[x], label[y])))] = float(z)
             taken: dict[tuple, int] = {}
             keep = []
             for (a, b, x, y), _ in sorted(found.items(), key=lambda f: (-f[1], f[0])):
@@ -300,7 +308,7 @@ def _crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, tested: Da
             if keep:
                 yield pd.DataFrame(keep, columns=["a", "b"], dtype=object)
 
-    pairs = rows.repartition(n_buckets, "key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInPandas(run, "a binary, b binary").distinct()
+    pairs = rows.repartition(n_buckets, "key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInPandas(streaming(run), "a binary, b binary").distinct()
     out = cut(pairs.join(tested, ["a", "b"], "left_anti"), "crossing")
     drop(named)
     return out
@@ -329,7 +337,7 @@ def group(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = cut(verify(tested, texts), "edges")
     labels = components(edges)
     for most in (3, None):
-        more = _crossing(members, labels, sigs, tested, most, n_buckets)
+        more = _crossing(members, labels, nodes, tested, most, n_buckets)
         if more.isEmpty():
             break
         found = cut(verify(more, texts), "edges")
