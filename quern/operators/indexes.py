@@ -119,13 +119,14 @@ def rank_for_score(rows: DataFrame, by: list[str], score: str, value) -> DataFra
 def leaderboard(rows: DataFrame, key: str, score: str, ts: str, windows: DataFrame | None, high_first: bool = True) -> DataFrame:
     """Best score of each key in each window [start, end) (column ``name``), ranked from 0; one all-time window if none is given.
 
-    Windows may overlap. They are a small configured table; Spark broadcasts it if it is as small as that.
+    Windows may overlap and may be many: rows meet only the windows of their own day, by an equi-join on days.
     """
     if windows is None:
         inside = rows.withColumn("name", F.lit("all time"))
     else:
-        w = windows.select("name", F.col("start").alias("_start"), F.col("end").alias("_end"))
-        inside = rows.join(w, (F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col("_end")))
+        days = F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
+        w = windows.where("start < end").select("name", F.col("start").alias("_start"), F.col("end").alias("_end"), days.alias("_day"))
+        inside = rows.withColumn("_day", F.to_date(F.col(ts))).join(w, "_day").where((F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col("_end")))
     best = inside.groupBy("name", key).agg((F.max if high_first else F.min)(score).alias("best"))
     return ranks(best, ["name"], "best", count_duplicates=True, high_first=high_first)
 

@@ -54,11 +54,31 @@ def nearest_each(rows: DataFrame, embedding: str, target, k: int, by: list[str],
     return ranked.withColumn("row_number", F.row_number().over(Window.partitionBy(*by).orderBy("distance", key)).cast("long")).where(F.col("row_number") <= k)
 
 
+def _cells(column, centroids: list[list[float]], probes: int | None, spread: float) -> Column:
+    """The nearest ``probes`` cells of each vector, or all whose centroid is at most ``spread`` times as far as the nearest one's.
+
+    One matrix product for each batch of vectors; the centroids, a parameter's number of them, travel with the task.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def run(batch: pd.Series) -> pd.Series:
+        c = np.array(centroids)
+        x = np.stack(batch.to_numpy()).astype(float)
+        far = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0)
+        if probes is not None:
+            return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+        return pd.Series([np.flatnonzero(f <= f.min() * spread**2 + 1e-12).astype(np.int32) for f in far])
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return pandas_udf(run, "array<int>")(column)
+
+
 class InvertedFile:
     """Rows by their nearest centroid; a query probes the nearest cells only and ranks their rows exactly.
 
-    Centroids are few (a parameter), so their table is broadcast. ``spread``: a row also enters cells whose centroid is nearly as near
-    (within this factor), which raises recall at cell borders.
+    ``spread``: a row also enters cells whose centroid is nearly as near (within this factor), which raises recall at cell borders.
     """
 
     def __init__(self, centroids: list[list[float]], cells: DataFrame, embedding: str, key: str, metric: str):
@@ -69,14 +89,10 @@ class InvertedFile:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        data = rows.withColumn("_v", array_to_vector(doubles(embedding)))
+        data = rows.select(array_to_vector(doubles(embedding)).alias("_v"))
         model = KMeans(k=n_cells, seed=seed, featuresCol="_v", maxIter=15).fit(data)
         centroids = [[float(x) for x in c] for c in model.clusterCenters()]
-        goal = F.array(*[vector(c) for c in centroids])
-        far = F.transform(goal, lambda c: squared(doubles(embedding), c))
-        near = F.filter(F.transform(far, lambda d, i: F.struct(d.alias("d"), i.alias("i"))), lambda s: s["d"] <= F.array_min(far) * spread**2)
-        cells = rows.withColumn("cell", F.explode(F.transform(near, lambda s: s["i"])))
-        return cls(centroids, cells, embedding, key, metric)
+        return cls(centroids, rows.withColumn("cell", F.explode(_cells(doubles(embedding), centroids, None, spread))), embedding, key, metric)
 
     def search(self, target: list[float], k: int, probes: int) -> DataFrame:
         order = sorted(range(len(self.centroids)), key=lambda c: sum((x - y) ** 2 for x, y in zip(self.centroids[c], target, strict=True)))
@@ -85,9 +101,7 @@ class InvertedFile:
 
     def search_many(self, queries: DataFrame, query_key: str, k: int, probes: int) -> DataFrame:
         """query_key, key, distance, row_number of a table of queries (column ``target``): one equi-join on probed cells."""
-        goal = F.array(*[vector(c) for c in self.centroids])
-        ranked = F.array_sort(F.transform(goal, lambda c, i: F.struct(squared(doubles("target"), c).alias("d"), i.alias("i"))))
-        probed = queries.withColumn("cell", F.explode(F.transform(F.slice(ranked, 1, probes), lambda s: s["i"])))
+        probed = queries.withColumn("cell", F.explode(_cells(doubles("target"), self.centroids, probes, 1.0)))
         pairs = probed.select(query_key, "target", "cell").join(self.cells.select("cell", self.key, self.embedding), "cell").dropDuplicates([query_key, self.key])
         far = pairs.withColumn("distance", distance(self.metric, self.embedding, "target"))
         return far.withColumn("row_number", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", self.key)).cast("long")).where(F.col("row_number") <= k).select(query_key, self.key, "distance", "row_number")
