@@ -31,7 +31,7 @@ dialect("order_limit", "orders", 'SELECT o_orderkey AS "k", o_totalprice AS "p"
 dialect("case_like", "part", "SELECT p_partkey AS \"k\", CASE WHEN p_name LIKE '%a%' THEN 'A' WHEN p_size BETWEEN 10 AND 20 THEN 'M' ELSE 'Z' END AS \"c\" FROM part", "SELECT p_partkey AS k, CASE WHEN p_name LIKE '%a%' THEN 'A' WHEN p_size BETWEEN 10 AND 20 THEN 'M' ELSE 'Z' END AS c FROM part")
 dialect("is_distinct", "orders", "SELECT COUNT(*) AS \"n\" FROM orders WHERE CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END IS DISTINCT FROM 'F'", "SELECT count(*) AS n FROM orders WHERE CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END IS DISTINCT FROM 'F'")
 dialect("count_constant", "orders", 'SELECT COUNT(NULL) AS "n", COUNT(*) AS "m", COUNT(1) AS "o" FROM orders', "SELECT count(*) AS n, count(*) AS m, count(*) AS o FROM orders")
-dialect("functions", "part", "SELECT p_partkey AS \"k\", CONCAT(UPPER(p_brand), NULL, '-', p_size) AS \"c\", LENGTH(p_name) AS \"n\", SUBSTRING(p_type, 2, 3) AS \"t\", CAST(p_retailprice AS BIGINT) AS \"i\", GREATEST(p_size, 25) AS \"g\" FROM part", "SELECT p_partkey AS k, concat(upper(p_brand), '-', p_size) AS c, CAST(length(p_name) AS BIGINT) AS n, substring(p_type, 2, 3) AS t, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS i, greatest(p_size, 25) AS g FROM part")
+dialect("functions", "part", "SELECT p_partkey AS \"k\", CONCAT(UPPER(p_brand), NULL, '-', p_size) AS \"c\", LENGTH(p_name) AS \"n\", SUBSTRING(p_type, 2, 3) AS \"t\", CAST(p_retailprice AS BIGINT) AS \"i\", GREATEST(p_size, 25) AS \"g\" FROM part", "SELECT p_partkey AS k, concat(upper(p_brand), '-', p_size) AS c, CAST(length(p_name) AS BIGINT) AS n, substring(p_type, 2, 3) AS t, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS i, CAST(greatest(p_size, 25) AS BIGINT) AS g FROM part")
 dialect("full_join", "nation region", 'SELECT n.n_name AS "n", r.r_name AS "r" FROM (SELECT * FROM nation WHERE n_regionkey > 1) n FULL OUTER JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey', "SELECT n.n_name AS n, r.r_name AS r FROM (SELECT * FROM nation WHERE n_regionkey > 1) n FULL OUTER JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey")
 dialect("recursive_level", "part", 'WITH RECURSIVE r AS (SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, r.depth + 1 FROM part p JOIN r ON p.p_partkey / 2 = r.id WHERE p.p_partkey <= 60) SELECT id AS "id", depth AS "depth" FROM r', "WITH RECURSIVE r AS (SELECT p_partkey AS id, CAST(0 AS BIGINT) AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, r.depth + 1 FROM part p JOIN r ON p.p_partkey // 2 = r.id WHERE p.p_partkey <= 60) SELECT id, depth FROM r")
 dialect("recursive_distinct", "nation", 'WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 2 UNION SELECT (n.n_nationkey * 3 + 1) % 25 FROM nation n JOIN r ON n.n_nationkey = r.k) SELECT k AS "k" FROM r', "WITH RECURSIVE r AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey = 2 UNION SELECT (n.n_nationkey * 3 + 1) % 25 FROM nation n JOIN r ON n.n_nationkey = r.k) SELECT k FROM r")

@@ -78,7 +78,7 @@ def index_aggregate_view(t: Tables) -> DataFrame:
     return e.index("by_c").select(F.col("C").alias("k"), F.col("N").alias("n"), F.round("S", 2).alias("s"))
 
 
-@query("SELECT event_id, r AS session FROM (SELECT event_id, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (SELECT event_id, user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, FALSE) AS gap FROM events))")
+@query("SELECT event_id, CAST(r AS BIGINT) AS session FROM (SELECT event_id, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (SELECT event_id, user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, FALSE) AS gap FROM events))")
 def ext_sessions(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.coalesce((F.col("ts") - F.lag("ts").over(w)) > F.expr("INTERVAL 6 HOURS"), F.lit(False))
