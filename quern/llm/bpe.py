@@ -20,7 +20,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 from itertools import count
 
 import numpy as np
@@ -106,6 +106,7 @@ def piece_table(content: str) -> list[bytes]:
     return out
 
 
+@lru_cache(1)
 def piece_array(content: str) -> np.ndarray:
     """The id-to-piece table as an array: joining ids to it is one look-up by position."""
     pieces = piece_table(content)

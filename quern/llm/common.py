@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.session import importable
+from quern.sources.tables import shared_dir
 
 #: Rows of one Arrow batch handed to Python; keeps a worker's memory near a few MB of text at a time.
 BATCH_ROWS = 1000
@@ -25,15 +25,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that what follows survives lost executors.
 
@@ -66,9 +57,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder; for the end of a job, when their results are no longer read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def tidy() -> None:
     """Give free memory back to the system: idle Python workers stay for the next task and should not hold what the last one used."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -9,9 +9,9 @@ as soon as it is later than every register of its document.
 
 Registers are hashed in bands; texts that share a band are candidates, and candidates are verified by the exact overlap of their multisets.
 A band's bucket never yields all of its pairs: a maximum spanning tree over estimated similarities (chunk by chunk, then
-over the chunks' most central texts) gives as many edges as texts. The verified edges' components are then compared again: in buckets
-that still hold several components, texts outside the largest one meet all others, and what may reach the threshold
-is verified too, at first the closest, in the end everything. So no link between different components is lost but to the signature's own error.
+over the chunks' most central texts) gives as many edges as texts. All edges together make families, the verified ones components. In a
+family of several components, every text outside the largest one is then compared with all others, by exact overlaps in
+inverted indexes of chunks, which give links only. So no link between different components is lost but to the signature's own error.
 Components come from label propagation over written tables; nothing of it goes to the driver.
 
 Exact copies share one node (md5 of the text), so a group of any number of copies is one row from the first shuffle on.
@@ -102,10 +102,10 @@ def registers(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> np.n
     low = np.where(level == 0, 0, width)
     seed = mix(h + mix((level + 1).astype(np.uint64)))
     out = np.full(n * REGISTERS, np.inf)
-    time, step = np.zeros(len(h)), np.uint64(0)
+    time, step = np.zeros(len(h)), 0
     while len(doc):
-        a, b = mix(seed + (step + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), mix(seed + (step + np.uint64(2)) * np.uint64(0xC2B2AE3D27D4EB4F))
-        step += np.uint64(2)
+        a, b = (mix(seed + np.uint64((step + k) * odd % 2**64)) for k, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)))
+        step += 2
         time = time - np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (REGISTERS * width)
         register = ((b >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
         cell = low + 1 + ((b & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width).astype(np.int64)
@@ -267,49 +267,59 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, most: int | None, n_buckets: int) -> DataFrame:
-    """Untested pairs of different components in one bucket that may reach the threshold; ``most``: of two components.
+def overlaps(bag: tuple[np.ndarray, np.ndarray], index: tuple, sizes: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of one bag with every host of an index (distinct shingles, begin of each one's postings, hosts, counts)."""
+    distinct, begin, hosts, counts = index
+    at = np.minimum(np.searchsorted(distinct, bag[0]), len(distinct) - 1)
+    hit = distinct[at] == bag[0]
+    at, own = at[hit], bag[1][hit]
+    n = begin[at + 1] - begin[at]
+    place = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    both = np.bincount(hosts[place], np.minimum(counts[place], np.repeat(own, n)), len(sizes))
+    return both / (int(bag[1].sum()) + sizes - both)
 
-    A pair that shares several bands is given by the first of them alone.
+
+def _remaining(families: DataFrame, labels: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
+    """a, b: links between different components of one family, by the exact overlap of every text that may still have one.
+
+    In a family with several components the texts outside its largest one visit all chunks of the family; a chunk's texts stand in
+    an inverted index of their shingles, and a visitor gives the best link to each other component. So nothing but links leaves a chunk.
     """
-    named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    named = cut(named, "named")
-    counted = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    rows = named.join(mixed, "key").join(nodes.select("node", "sig", "keys"), "node")
+    named = cut(families.withColumnRenamed("label", "family").join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")), "named")
+    counted = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counted.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    rows = named.join(mixed, "family").join(texts, "node")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = rows.select("key", "node", "label", "sig", "keys", chunks.alias("chunks"), (F.col("label") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("own"))
+    rows = rows.select("family", "node", "label", "text", chunks.alias("chunks"), (F.col("label") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("own"))
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs(batches, ["key", "chunk"]):
+        for group in runs(batches, ["family", "chunk"]):
             nodes, label = group["node"].to_numpy(), group["label"].to_numpy()
-            sig, out, own = _matrix(group["sig"]), group["out"].to_numpy(bool), (group["own"] == group["chunk"]).to_numpy()
-            key, keys = group["key"].iloc[0], np.stack(group["keys"].to_numpy())
-            found: dict[tuple, float] = {}
-            visitors, hosts = np.flatnonzero(out), np.flatnonzero(own)
-            for at in range(0, len(visitors), CHUNK):
-                v = visitors[at : at + CHUNK]
-                sim = estimates(sig[v], sig[hosts])
-                i, j = np.nonzero(sim >= CANDIDATE)
-                a, b, near = v[i], hosts[j], sim[i, j]
-                apart = label[a] != label[b]
-                a, b, near = a[apart], b[apart], near[apart]
-                same = keys[a] == keys[b]
-                here = keys[a, same.argmax(axis=1)] == key if len(a) else np.zeros(0, bool)
-                for x, y, z in zip(a[here], b[here], near[here], strict=True):
-                    found[(*sorted((nodes[x], nodes[y])), *sorted((label[x], label[y])))] = float(z)
-            taken: dict[tuple, int] = {}
-            keep = []
-            for (a, b, x, y), _ in sorted(found.items(), key=lambda f: (-f[1], f[0])):
-                if most is None or taken.get((x, y), 0) < most:
-                    taken[(x, y)] = taken.get((x, y), 0) + 1
-                    keep.append((a, b))
-            if keep:
-                yield pd.DataFrame(keep, columns=["a", "b"], dtype=object)
-
-    pairs = rows.repartition(n_buckets, "key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInPandas(streaming(run), "a binary, b binary").distinct()
-    out = cut(pairs.join(tested, ["a", "b"], "left_anti"), "crossing")
+            doc, h, count = shingles(group["text"].tolist())
+            cuts = np.searchsorted(doc, np.arange(len(nodes) + 1))
+            host = (group["own"] == group["chunk"]).to_numpy()
+            mine = host[doc]
+            order = np.argsort(h[mine], kind="stable")
+            hs = h[mine][order]
+            new = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]) if len(hs) else np.empty(0, np.int64)
+            if not len(hs):
+                continue
+            index = (hs[new], np.r_[new, len(hs)], doc[mine][order], count[mine][order])
+            sizes = np.where(host, np.bincount(doc, count, len(nodes)), np.inf)
+            links = []
+            for v in np.flatnonzero(group["out"].to_numpy(bool)):
+                sim = overlaps((h[cuts[v] : cuts[v + 1]], count[cuts[v] : cuts[v + 1]]), index, sizes)
+                best: dict[bytes, int] = {}
+                for j in np.flatnonzero(sim >= SIMILARITY):
+                    if label[j] != label[v] and (label[j] not in best or sim[j] > sim[best[label[j]]]):
+                        best[label[j]] = j
+                links += [tuple(sorted((nodes[v], nodes[j]))) for j in best.values()]
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"], dtype=object)
+
+    found = rows.repartition(n_buckets, "family", "chunk").sortWithinPartitions("family", "chunk", "node").mapInPandas(streaming(run), "a binary, b binary").distinct()
+    out = cut(found, "links")
     drop(named)
     return out
 
@@ -335,17 +345,11 @@ def group(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     involved = members.select("node").distinct()
     texts = cut(documents.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(involved, "node", "left_semi").dropDuplicates(["node"]), "texts")
     edges = cut(verify(tested, texts), "edges")
-    labels = components(edges)
-    for most in (3, None):
-        more = _crossing(members, labels, nodes, tested, most, n_buckets)
-        if more.isEmpty():
-            break
-        found = cut(verify(more, texts), "edges")
-        tested = tested.unionByName(more)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            drop(labels)
-            labels = components(edges)
+    labels, families = components(edges), components(tested)
+    more = _remaining(families, labels, texts, n_buckets)
+    if not more.isEmpty():
+        drop(labels)
+        labels = components(edges.select("a", "b").unionByName(more))
     drop(members, texts)
     return rows, nodes.select("node", "first", "copies").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "copies")
 

@@ -64,6 +64,20 @@ def brute_components(rows):
     return sorted((d if d is not None else -1, min((x if x is not None else -1) for x in least[find(i)])) for i, (d, _) in enumerate(rows))
 
 
+def test_overlaps():
+    g = random.Random(3)
+    texts = [prose(g, 40) for _ in range(5)]
+    texts += [edit(g, t, 2) for t in texts] + [texts[0] + " " + texts[0]]
+    doc, h, count = mh.shingles(texts)
+    order = np.argsort(h, kind="stable")
+    new = np.flatnonzero(np.r_[True, np.diff(h[order].astype(np.int64)) != 0])
+    index = (h[order][new], np.r_[new, len(h)], doc[order], count[order])
+    for i, t in enumerate(texts):
+        own = doc == i
+        got = mh.overlaps((h[own], count[own]), index, np.bincount(doc, count, len(texts)))
+        assert np.allclose(got, [exact(t, o) for o in texts])
+
+
 def corpus(g):
     rows = [(i, prose(g, g.randint(30, 90))) for i in range(30)]
     base = prose(g, 150)
