@@ -20,11 +20,14 @@ STATES = {
     "42703": "undefined column",
     "42803": "grouping error",
     "42804": "datatype mismatch",
+    "42809": "wrong object type",
     "42883": "undefined function",
     "42F01": "undefined table",
     "42F04": "database already exists",
     "42F06": "schema already exists",
     "42F07": "table already exists",
+    "42712": "duplicate alias",
+    "42F10": "a column list of the wrong length",
     "42F64": "union branches have different numbers of columns",
     "42F65": "union branches have incompatible types",
     "54F01": "recursion limit exceeded",

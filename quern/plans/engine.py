@@ -317,9 +317,9 @@ class Engine:
                 raise SQLError("23502", f"{name}.{n}")
             return f"cast(NULL AS {spark_type(kind)})"
         if family(x.kind) != family(kind) and not (x.kind == "string" and kind in ("date", "timestamp_ntz")) and not (x.kind.startswith("array") and kind.startswith("array")):
-            raise SQLError("42804", f"{x.kind} for {n} {kind}")
+            raise SQLError("22000", f"{x.kind} for {n} {kind}")
         if kind in INTEGERS and x.kind in ("double", "float"):
-            raise SQLError("42804", f"{x.kind} for {n} {kind}")
+            raise SQLError("22000", f"{x.kind} for {n} {kind}")
         if kind == "int" and x.kind == "bigint":
             return f"(CASE WHEN {x.sql} NOT BETWEEN -2147483648L AND 2147483647L THEN cast(raise_error('[SQLSTATE=22003] out of range of INTEGER') AS int) ELSE cast({x.sql} AS int) END)"
         if kind == "uuid":

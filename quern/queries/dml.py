@@ -79,7 +79,7 @@ def dml_dry_run(t: Tables) -> DataFrame:
     return e.query(READ)
 
 
-@query("SELECT * FROM (VALUES ('23502'), ('23505'), ('42601'), ('42703'), ('42804')) v(state)")
+@query("SELECT * FROM (VALUES ('23502'), ('23505'), ('42601'), ('42703'), ('22000')) v(state)")
 def dml_constraints(t: Tables) -> DataFrame:
     """The codes of statements that break a rule; none of them leaves a trace."""
     e = engine(t)

@@ -50,12 +50,12 @@ def test_ieee_division(db):
 @pytest.mark.parametrize(
     ("sql", "state"),
     [
-        ("SELECT 1", "0AF00"), ("SELECT -(a) FROM t", "42601"), ("SELECT a <=> b FROM t", "42601"), ("SELECT 6 >> 1 FROM t", "42883"), ("SELECT id FROM t WHERE a = '5'", "42804"), ("SELECT id FROM t WHERE 's' || 't' = 'st'", "42804"), ("SELECT id FROM t WHERE a IN (1, NULL)", "42804"),
+        ("SELECT 1", "0AF00"), ("SELECT -(a) FROM t", "42601"), ("SELECT a <=> b FROM t", "42601"), ("SELECT 6 >> 1 FROM t", "42883"), ("SELECT id FROM t WHERE a = '5'", "42804"), ("SELECT id FROM t WHERE 's' || 't' = 'st'", "42804"), ("SELECT id FROM t WHERE a IN (1, NULL)", "42809"),
         ("SELECT id FROM t WHERE a IN ()", "42601"), ("SELECT id FROM t WHERE a IN (SELECT a FROM t)", "0AF00"), ("SELECT id FROM t WHERE (a, b) = (1, 2)", "0AF00"), ("SELECT nope FROM t", "42703"), ("SELECT id FROM nope", "42F01"), ("SELECT id FROM t x, t y", "42702"), ("SELECT NOW() FROM t", "42883"),
-        ("SELECT a, COUNT(*) FROM t", "42803"), ("SELECT a, b FROM t GROUP BY a", "42803"), ("SELECT COUNT(DISTINCT a) FROM t", "0A000"), ("SELECT MAX(s) FROM t", "42804"), ("SELECT SUM(SUM(a)) FROM t", "42803"), ("SELECT ROW_NUMBER() OVER (ORDER BY a) FROM t", "42883"), ("SELECT a FROM t UNION SELECT b FROM t", "0AF00"),
+        ("SELECT a, COUNT(*) FROM t", "42803"), ("SELECT a, b FROM t GROUP BY a", "42803"), ("SELECT COUNT(DISTINCT a) FROM t", "0A000"), ("SELECT MAX(s) FROM t", "42804"), ("SELECT SUM(SUM(a)) FROM t", "0A000"), ("SELECT ROW_NUMBER() OVER (ORDER BY a) FROM t", "42883"), ("SELECT a FROM t UNION SELECT b FROM t", "0AF00"),
         ("SELECT a FROM t UNION ALL SELECT a, b FROM t", "42F64"), ("SELECT a FROM t UNION ALL SELECT s FROM t", "42F65"), ("SELECT a FROM t INTERSECT SELECT b FROM t", "42601"), ("SELECT a FROM t ORDER BY 3", "22023"), ("SELECT a FROM t ORDER BY a, a", "42701"), ("SELECT a FROM t LIMIT -1", "42601"), ("SELECT a AS x FROM t GROUP BY x", "42703"),
         ("SELECT SQRT(a - 100) FROM t WHERE id = 1", "22023"), ("SELECT a / b FROM t WHERE id = 2", "22012"), ("SELECT 9223372036854775807 + 1 FROM t", "22003"), ("SELECT CAST('x' AS BIGINT) FROM t", "22F3H"), ("SELECT CAST('yes' AS BOOLEAN) FROM t", "22F3H"), ("SELECT NULLIF(a, b) FROM t", "42883"), ("SELECT id FROM t WHERE a ILIKE 'x'", "42601"),
-        ("SELECT id FROM t WHERE a = (SELECT a FROM t)", "21000"), ("SELECT (SELECT a, b FROM t) FROM t", "42601"), ("SELECT id FROM t WHERE a IS UNKNOWN", "42601"), ("WITH RECURSIVE r AS (SELECT id FROM t) SELECT * FROM r", "0A000"), ("SELECT TRIM(BOTH 'x' FROM s) FROM t", "0AF00"), ("SELECT id FROM t GROUP BY 7", "22023"),
+        ("SELECT id FROM t WHERE a = (SELECT a FROM t)", "21000"), ("SELECT (SELECT a, b FROM t) FROM t", "42601"), ("SELECT id FROM t WHERE a IS UNKNOWN", "42601"), ("WITH RECURSIVE r AS (SELECT id FROM t) SELECT * FROM r", "0A000"), ("SELECT TRIM(BOTH 'x' FROM s) FROM t", "0AF00"), ("SELECT id FROM t GROUP BY 7", "22023"), ("SELECT id FROM t OFFSET 2", "42601"), ("SELECT id WHERE id = 2 FROM t", "42601"), ("SELECT 1e400 FROM t", "22003"), ("WITH c (x, y) AS (SELECT id FROM t) SELECT x FROM c", "42F10"), ("WITH c AS (SELECT id FROM t), c AS (SELECT a FROM t) SELECT * FROM c", "42712"),
     ],
 )
 def test_errors(db, sql, state):
@@ -80,6 +80,7 @@ def test_order_and_limits(db):
     assert db.rows("SELECT a FROM t ORDER BY a") == [(None,), (4,), (6,)]
     assert db.rows("SELECT a FROM t ORDER BY a DESC") == [(6,), (4,), (None,)]
     assert db.rows("SELECT a AS z FROM t ORDER BY z DESC NULLS FIRST LIMIT 2 OFFSET 1") == [(6,), (4,)]
+    assert db.rows("SELECT DISTINCT x.a FROM t AS x ORDER BY x.a DESC") == [(6,), (4,), (None,)]
     assert db.rows("SELECT parent, COUNT(*) FROM kid GROUP BY parent HAVING COUNT(*) > 1 ORDER BY COUNT(*) DESC, parent") == [(1, 2), (2, 2)]
 
 
@@ -95,7 +96,7 @@ def test_recursion(db):
 
 def test_changes(db):
     assert db.execute("INSERT INTO u VALUES (1, 'a', 10), (2, NULL, 20), (3, NULL, 30)") == 3
-    for sql, state in [("INSERT INTO u VALUES (1, 'z', 1)", "23505"), ("INSERT INTO u VALUES (9, 'a', 1)", "23505"), ("INSERT INTO u (code) VALUES ('q')", "23502"), ("INSERT INTO u VALUES (9, 'q', 3000000000)", "22003"), ("INSERT INTO u VALUES (9, 5, 1)", "42804"), ("INSERT INTO u VALUES (9, 'q')", "42601"), ("UPDATE u SET nope = 1", "42703"), ("UPDATE u SET id = 9", "0A000"), ("UPDATE u SET code = 'a' WHERE id > 1", "23505"), ("UPDATE u SET n = DEFAULT", "0AF00"), ("DELETE FROM u LIMIT 1", "0AF00"), ("SELECT id FROM u", "0A000")]:
+    for sql, state in [("INSERT INTO u VALUES (1, 'z', 1)", "23505"), ("INSERT INTO u VALUES (9, 'a', 1)", "23505"), ("INSERT INTO u (code) VALUES ('q')", "23502"), ("INSERT INTO u VALUES (9, 'q', 3000000000)", "22003"), ("INSERT INTO u VALUES (9, 5, 1)", "22000"), ("INSERT INTO u VALUES (9, 'q', 1.5)", "22000"), ("INSERT INTO u VALUES (9, 'q')", "42601"), ("UPDATE u SET nope = 1", "42703"), ("UPDATE u SET id = 9", "0A000"), ("UPDATE u SET code = 'a' WHERE id > 1", "23505"), ("UPDATE u SET n = DEFAULT", "0AF00"), ("DELETE FROM u LIMIT 1", "0AF00"), ("SELECT id FROM u", "0A000")]:
         with pytest.raises(SQLError) as e:
             db.execute(sql)
         assert e.value.state == state, sql
