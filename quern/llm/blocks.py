@@ -74,8 +74,13 @@ def split(b: bytes) -> list[bytes]:
     return [b[a:z] for a, z in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=False)][:n]
 
 
+def pack_lengths(lengths: np.ndarray, data: bytes) -> bytes:
+    """Byte strings given by their lengths and their bytes."""
+    return join([pack(lengths.astype(np.uint32)), zstandard.ZstdCompressor(level=9).compress(data)])
+
+
 def pack_words(words: list[bytes]) -> bytes:
-    return join([pack(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.ZstdCompressor(level=9).compress(b"".join(words))])
+    return pack_lengths(np.fromiter(map(len, words), np.uint32, len(words)), b"".join(words))
 
 
 def unpack_words(b: bytes) -> list[bytes]:

@@ -25,10 +25,11 @@ import pickle
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count as counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,16 +84,48 @@ class Unigrams:
         return np.where(c > 0, discounted(c, self.d) * self.scale / max(self.total, 1), self.unknown)
 
 
-def numbered(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(word numbers of all texts in order, tokens of each, distinct words by bucket and then as first seen, bucket of each)."""
-    first: dict[bytes, int] = defaultdict(counter().__next__)
-    seqs = [np.fromiter(map(first.__getitem__, t), np.uint32, len(t)) for t in map(tokens, texts)]
-    names = list(first)
-    bucket = np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) % n
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each byte string, from sums of bytes times powers of an odd number, all strings at once."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    powers = np.cumprod(np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    inverse = np.cumprod(np.full(len(data) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
+    h = (sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def numbered(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(word numbers of all texts in order, tokens of each, distinct words by bucket and then as first seen, bucket of each).
+
+    The same tokens as ``tokens`` gives, split and numbered by Arrow's kernels.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+    offsets, words = lists.offsets.to_numpy(), lists.flatten()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word
+    words = words.filter(pa.array(full))
+    coded = words.dictionary_encode()
+    names = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+    own = np.diff(np.concatenate(([0], np.cumsum(full)))[offsets - offsets[0]])
+    bucket = (hashes(names) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    return place[np.concatenate(seqs)], np.fromiter(map(len, seqs), np.int64, len(seqs)), [names[i] for i in order], bucket[order].astype(np.int64)
+    flat = np.empty(len(words) + len(texts), np.uint32)
+    ends = np.cumsum(own + 1) - 1
+    inner = np.ones(len(flat), bool)
+    inner[ends] = False
+    flat[inner] = place[coded.indices.to_numpy()]
+    flat[ends] = place[-1]
+    return flat, own + 1, names.take(pa.array(order)), bucket[order]
+
+
+def cell_words(names: pa.Array, a: int, z: int) -> tuple[np.ndarray, bytes]:
+    """(lengths, bytes) of a run of the words."""
+    offsets = np.frombuffer(names.buffers()[1], np.int32)[names.offset + a : names.offset + z + 1]
+    return np.diff(offsets), names.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes()
 
 
 def slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -143,7 +176,7 @@ def scan_words(documents: DataFrame, n: int) -> DataFrame:
             seq, lengths, names, bucket = numbered(texts, n)
             train = np.repeat(np.array([not is_held_out(i) for i in ids]), lengths)
             counts = np.bincount(seq[train], minlength=len(names))
-            yield rows_frame([("words", name, b, blocks.join([blocks.pack_words(names[a:z]), blocks.pack(counts[a:z])])) for b, a, z in slices(bucket)])
+            yield rows_frame([("words", name, b, blocks.join([blocks.pack_lengths(*cell_words(names, a, z)), blocks.pack(counts[a:z])])) for b, a, z in slices(bucket)])
 
     return blocks.text_rows(documents).mapInPandas(streaming(run), CELL)
 
@@ -154,8 +187,8 @@ def scan_tokens(documents: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, ids, texts in blocks.of_rows(batches, BLOCK_CHARS):
             seq, lengths, names, bucket = numbered(texts, n)
-            crc = b"".join(np.uint32(zlib.crc32(b"\n".join(names[a:z]))).tobytes() for _, a, z in slices(bucket))
-            data = [blocks.pack_ids(ids), blocks.pack(lengths), pickle.dumps(ans.pack_segment(seq)), np.uint32(names.index(END)).tobytes(), np.uint32(zlib.crc32(crc)).tobytes()]
+            crc = b"".join(np.uint32(zlib.crc32(cell_words(names, a, z)[1])).tobytes() for _, a, z in slices(bucket))
+            data = [blocks.pack_ids(ids), blocks.pack(lengths), pickle.dumps(ans.pack_segment(seq)), np.uint32(seq[-1]).tobytes(), np.uint32(zlib.crc32(crc)).tobytes()]
             yield rows_frame([("tokens", name, -1, blocks.join(data))])
 
     return blocks.text_rows(documents).mapInPandas(streaming(run), CELL)
@@ -179,7 +212,7 @@ def count_words(cells: DataFrame, n: int) -> DataFrame:
         out = []
         for block, data in zip(pdf["block"], pdf["data"], strict=True):
             words = blocks.unpack_words(blocks.split(data)[0])
-            crc = np.uint32(zlib.crc32(b"\n".join(words))).tobytes()
+            crc = np.uint32(zlib.crc32(b"".join(words))).tobytes()
             out.append(("word", block, bucket, blocks.join([crc, blocks.pack(np.fromiter(map(ids.__getitem__, words), np.int64, len(words))), blocks.pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))])))
         known = [w for w in order if total[w] > 0]
         counts = np.array([total[w] for w in known], np.int64)

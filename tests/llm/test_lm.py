@@ -3,6 +3,8 @@ import random
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quern.llm import lm
 from tests.conftest import frame
@@ -72,6 +74,25 @@ def test_probabilities_add_up():
         assert sum(prob(a, b) for b in [*uni, b"unknown word"]) == pytest.approx(1)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aBc \t\n\v\f\r\x1c\x85\xa0É\u2003", max_size=20), min_size=1, max_size=6))
+def test_numbering_follows_the_tokens(texts):
+    flat, lengths, names, bucket = lm.numbered(texts, 7)
+    names = names.to_pylist()
+    assert [names[i] for i in flat] == [w for t in texts for w in lm.tokens(t)]
+    assert lengths.tolist() == [len(lm.tokens(t)) for t in texts] and sorted(bucket.tolist()) == bucket.tolist()
+
+
+def test_hashes_depend_on_the_bytes_alone():
+    import pyarrow as pa
+
+    words = [b"a", b"", b"ab", b"ba", b"a", b"a\0", b"\0", "é".encode()]
+    h = lm.hashes(pa.array(words, pa.binary())).tolist()
+    assert h[0] == h[4] and len(set(h)) == 7
+    assert lm.hashes(pa.array(words[::-1], pa.binary())).tolist() == h[::-1]
+    assert lm.hashes(pa.array(words, pa.binary()).slice(2, 3)).tolist() == h[2:5]
+
+
 def test_empty_and_untrained(spark):
     schema = "doc_id long, text string"
     assert lm.score_corpus(frame(spark, [], schema)).count() == 0
