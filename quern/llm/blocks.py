@@ -56,7 +56,7 @@ def unpack(b: bytes, dtype) -> np.ndarray:
 def pack_small(a: np.ndarray) -> bytes:
     """Numbers as they stand, compressed; in 16 bits where all fit."""
     narrow = not len(a) or int(a.max()) < 1 << 16
-    return bytes([narrow]) + zstandard.ZstdCompressor(level=3).compress(a.astype(np.uint16 if narrow else np.uint32).tobytes())
+    return bytes([narrow]) + zstandard.ZstdCompressor(level=9).compress(a.astype(np.uint16 if narrow else np.uint32).tobytes())
 
 
 def unpack_small(b: bytes) -> np.ndarray:
@@ -76,7 +76,7 @@ def split(b: bytes) -> list[bytes]:
 
 def pack_lengths(lengths: np.ndarray, data: bytes) -> bytes:
     """Byte strings given by their lengths and their bytes."""
-    return join([pack(lengths.astype(np.uint32)), zstandard.ZstdCompressor(level=9).compress(data)])
+    return join([pack(lengths.astype(np.uint32)), zstandard.ZstdCompressor(level=12).compress(data)])
 
 
 def pack_words(words: list[bytes]) -> bytes:

@@ -25,6 +25,8 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,12 +122,13 @@ def text_of(ids, pieces: np.ndarray) -> str:
 
 
 def numbered(words: Words, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(numbers of all words in order, words of each text, distinct words by bucket, bucket of each)."""
+    """(numbers of all words in order, words of each text, distinct words by bucket and alphabet, bucket of each)."""
     first_seen: dict[str, int] = defaultdict(count().__next__)
     numbers = [np.fromiter(map(first_seen.__getitem__, s), np.uint32, len(s)) for s in map(words.split, texts)]
     names = [w.encode() for w in first_seen]
     bucket = np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) % n
-    order = np.argsort(bucket, kind="stable")
+    # neighbours in the alphabet share letters and pieces, which makes cells smaller
+    order = pc.sort_indices(pa.table({"bucket": bucket, "name": pa.array(names, pa.binary())}), sort_keys=[("bucket", "ascending"), ("name", "ascending")]).to_numpy()
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
     flat = place[np.concatenate(numbers)] if len(names) else np.empty(0, np.uint32)
