@@ -80,6 +80,8 @@ def test_order_and_limits(db):
     assert db.rows("SELECT a FROM t ORDER BY a") == [(None,), (4,), (6,)]
     assert db.rows("SELECT a FROM t ORDER BY a DESC") == [(6,), (4,), (None,)]
     assert db.rows("SELECT a AS z FROM t ORDER BY z DESC NULLS FIRST LIMIT 2 OFFSET 1") == [(6,), (4,)]
+    assert db.rows("SELECT up, COUNT(*) FROM kid GROUP BY parent AS up ORDER BY up") == [(None, 1), (1, 2), (2, 2), (3, 1)]
+    assert db.rows("SELECT CURRENT_TIMESTAMP = LOCALTIME, CURRENT_USER, YEAR(CURRENT_DATE) > 2000, CURRENT_DATE IS NULL FROM t WHERE id = 1") == [(True, "", True, False)]
     assert db.rows("SELECT DISTINCT x.a FROM t AS x ORDER BY x.a DESC") == [(6,), (4,), (None,)]
     assert db.rows("SELECT parent, COUNT(*) FROM kid GROUP BY parent HAVING COUNT(*) > 1 ORDER BY COUNT(*) DESC, parent") == [(1, 2), (2, 2)]
 
