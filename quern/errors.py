@@ -11,6 +11,7 @@ STATES = {
     "22003": "numeric value out of range",
     "22012": "division by zero",
     "22023": "invalid parameter value",
+    "22F03": "invalid binary representation",
     "22F3H": "invalid cast",
     "23502": "not-null constraint violated",
     "23505": "unique constraint violated",

@@ -363,7 +363,11 @@ class Engine:
                     raise SQLError("42601", "as many values as columns")
                 given = dict(zip(names, r, strict=True))
                 lines.append("(" + ", ".join(self._fit(t.name, c, binder.expr(given[c[0]], Scope()) if c[0] in given else Expr("NULL", "null")) for c in t.columns) + ")")
-            sql = f"SELECT * FROM VALUES {', '.join(lines)} AS v({', '.join(q(n) for n, _, _ in t.columns)})"
+            names = ", ".join(q(n) for n, _, _ in t.columns)
+            if "raise_error" in "".join(lines):  # not for inline tables, which are evaluated as they are read
+                sql = f"SELECT * FROM ({' UNION ALL '.join(f'SELECT {line[1:-1]}' for line in lines)}) AS v({names})"
+            else:
+                sql = f"SELECT * FROM VALUES {', '.join(lines)} AS v({names})"
         else:
             inner, got = binder.query(query)
             if len(got) != len(t.columns):

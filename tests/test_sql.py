@@ -55,7 +55,7 @@ def test_ieee_division(db):
         ("SELECT a, COUNT(*) FROM t", "42803"), ("SELECT a, b FROM t GROUP BY a", "42803"), ("SELECT COUNT(DISTINCT a) FROM t", "0A000"), ("SELECT MAX(s) FROM t", "42804"), ("SELECT SUM(SUM(a)) FROM t", "0A000"), ("SELECT ROW_NUMBER() OVER (ORDER BY a) FROM t", "42883"), ("SELECT a FROM t UNION SELECT b FROM t", "0AF00"),
         ("SELECT a FROM t UNION ALL SELECT a, b FROM t", "42F64"), ("SELECT a FROM t UNION ALL SELECT s FROM t", "42F65"), ("SELECT a FROM t INTERSECT SELECT b FROM t", "42601"), ("SELECT a FROM t ORDER BY 3", "22023"), ("SELECT a FROM t ORDER BY a, a", "42701"), ("SELECT a FROM t LIMIT -1", "42601"), ("SELECT a AS x FROM t GROUP BY x", "42703"),
         ("SELECT SQRT(a - 100) FROM t WHERE id = 1", "22023"), ("SELECT a / b FROM t WHERE id = 2", "22012"), ("SELECT 9223372036854775807 + 1 FROM t", "22003"), ("SELECT CAST('x' AS BIGINT) FROM t", "22F3H"), ("SELECT CAST('yes' AS BOOLEAN) FROM t", "22F3H"), ("SELECT NULLIF(a, b) FROM t", "42883"), ("SELECT id FROM t WHERE a ILIKE 'x'", "42601"),
-        ("SELECT id FROM t WHERE a = (SELECT a FROM t)", "21000"), ("SELECT (SELECT a, b FROM t) FROM t", "42601"), ("SELECT id FROM t WHERE a IS UNKNOWN", "42601"), ("WITH RECURSIVE r AS (SELECT id FROM t) SELECT * FROM r", "0A000"), ("SELECT TRIM(BOTH 'x' FROM s) FROM t", "0AF00"), ("SELECT id FROM t GROUP BY 7", "22023"), ("SELECT id FROM t OFFSET 2", "42601"), ("SELECT COUNT(*) FROM t GROUP BY a AS x, b AS x", "42702"), ("SELECT id WHERE id = 2 FROM t", "42601"), ("SELECT 1e400 FROM t", "22003"), ("WITH c (x, y) AS (SELECT id FROM t) SELECT x FROM c", "42F10"), ("WITH c AS (SELECT id FROM t), c AS (SELECT a FROM t) SELECT * FROM c", "42712"),
+        ("SELECT id FROM t WHERE a = (SELECT a FROM t)", "21000"), ("SELECT (SELECT a, b FROM t) FROM t", "42601"), ("SELECT id FROM t WHERE a IS UNKNOWN", "42601"), ("WITH RECURSIVE r AS (SELECT id FROM t) SELECT * FROM r", "0A000"), ("SELECT TRIM(BOTH 'x' FROM s) FROM t", "0AF00"), ("SELECT id FROM t GROUP BY 7", "22023"), ("SELECT id FROM t OFFSET 2", "42601"), ("SELECT wrong.* FROM t", "42F01"), ("SELECT x'0' FROM t", "22F03"), ("SELECT COUNT(*) FROM t GROUP BY a AS x, b AS x", "42702"), ("SELECT id WHERE id = 2 FROM t", "42601"), ("SELECT 1e400 FROM t", "22003"), ("WITH c (x, y) AS (SELECT id FROM t) SELECT x FROM c", "42F10"), ("WITH c AS (SELECT id FROM t), c AS (SELECT a FROM t) SELECT * FROM c", "42712"),
     ],
 )
 def test_errors(db, sql, state):
@@ -80,6 +80,9 @@ def test_order_and_limits(db):
     assert db.rows("SELECT a FROM t ORDER BY a") == [(None,), (4,), (6,)]
     assert db.rows("SELECT a FROM t ORDER BY a DESC") == [(6,), (4,), (None,)]
     assert db.rows("SELECT a AS z FROM t ORDER BY z DESC NULLS FIRST LIMIT 2 OFFSET 1") == [(6,), (4,)]
+    assert db.rows("SELECT parent FROM kid GROUP BY parent HAVING SUM(id) > 2 ORDER BY SUM(id) * 2 DESC") == [(2,), (3,), (1,)]
+    assert db.rows("SELECT b FROM t ORDER BY b + 1, b + 1") == [(0,), (2,), (3,)] and db.rows("SELECT GREATEST(a) FROM t WHERE id = 1") == [(6,)]
+    assert db.rows("SELECT id FROM t WHERE id = 1 AND b64'yv4=' = x'cafe'") == [(1,)]
     assert db.rows("SELECT COUNT(NULLIF(a, 6)), SUM(NULLIF(b, 0)) FROM t") == [(1, 5)]
     assert db.rows("SELECT up, COUNT(*) FROM kid GROUP BY parent AS up ORDER BY up") == [(None, 1), (1, 2), (2, 2), (3, 1)]
     assert db.rows("SELECT CURRENT_TIMESTAMP = LOCALTIME, CURRENT_USER, YEAR(CURRENT_DATE) > 2000, CURRENT_DATE IS NULL FROM t WHERE id = 1") == [(True, "", True, False)]
@@ -110,6 +113,7 @@ def test_changes(db):
     assert sorted(db.rows("SELECT id, code, n FROM u")) == [(1, "a", 10), (2, "b", 21), (3, None, 31)]
     assert db.execute("WITH big AS (SELECT id FROM u WHERE n > 20) DELETE FROM u WHERE EXISTS (SELECT 1 FROM big WHERE big.id = u.id)") == 2
     assert db.execute("INSERT INTO u SELECT id + 10, s, 7 FROM t") == 3
+    assert db.execute("INSERT INTO u VALUES (20, 'sum', 1 + 1)") == 1 and db.execute("DELETE FROM u WHERE id = 20") == 1
     assert db.execute("DELETE FROM u WHERE id > 10; INSERT INTO u VALUES (5, 'e', 5)") == 4
     assert sorted(db.rows("SELECT id FROM u")) == [(1,), (5,)]
 
