@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the three-word sequences of the test items. A first pass counts in how many documents each occurs; an item
-keeps its rare seeds, and the rarer half of its own in any case, so an item that leaked into very many documents is
-still found. A second pass joins the documents' passages to the items at the seeds, and every passage around a seed is
-aligned with the item word by word (local alignment, so replaced, dropped and inserted words only cost points). A match is a score of
-at least THRESHOLD of the score of a verbatim copy.
+Seeds are the three-word sequences of the test items, common ones too: an edited copy may keep no rare one. One pass joins the
+documents to the items at the seeds. For every (document, item) pair that shares any seed, the stretches of the document that hold
+enough of the item's words for a match are aligned with the item word by word (local alignment, so replaced, dropped and inserted
+words only cost points); the bounds lose no alignment. A match is a score of at least THRESHOLD of the score of a verbatim copy.
 
 The items are a query set: they travel to the documents in parts of at most PART_SEEDS seeds (their size is checked), and each part
-scans the documents anew. Documents are not shuffled; only seed counts are, summed within each task first.
+scans the documents anew. Nothing is shuffled.
 
 Nulls: null texts count as empty; items with a null id or fewer than three words match nothing. Null doc_ids are carried through.
 Repeated rows and repeated items give one result row each. Empty tables give an empty result. Other columns are ignored.
@@ -16,14 +15,13 @@ Repeated rows and repeated items give one result row each. Empty tables give an
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, floor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm import blocks
 from quern.llm.common import ready, streaming
@@ -31,8 +29,8 @@ from quern.llm.common import ready, streaming
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-#: A seed is rare if at most this share of the documents has it.
-RARE = 0.001
+#: Steps of the numbers of common words for which passages are sought.
+SCALES = 4
 #: Seeds that travel with a task at once, at most.
 PART_SEEDS = 500_000
 WORD = re.compile(r"\w+")
@@ -56,8 +54,17 @@ class Items:
         self.base = len(self.vocabulary) + 1
         seeds = [self.codes(w) for w in self.words]
         self.every = np.unique(np.concatenate(seeds)) if seeds else np.empty(0, np.int64)
-        self.seeds = seeds
-        self.where: dict[int, list[tuple[int, int]]] = {}
+        self.own, self.times = [], []
+        for w in self.words:
+            own, times = np.unique(w, return_counts=True)
+            self.own.append(own)
+            self.times.append(times)
+        self.scales = [scales(len(w)) for w in self.words]
+        self.slot = np.zeros(self.base, np.int64)
+        self.where: dict[int, list[int]] = defaultdict(list)
+        for item, codes in enumerate(seeds):
+            for c in np.unique(codes).tolist():
+                self.where[c].append(item)
 
     def codes(self, numbers: np.ndarray) -> np.ndarray:
         """The code of the N-gram at each place."""
@@ -66,13 +73,13 @@ class Items:
             out = out * self.base + numbers[k : len(numbers) - N + 1 + k]
         return out
 
-    def hits(self, text: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers of the text's words, -1 for words of no item; places of the seeds among ``codes``; their codes)."""
+    def hits(self, text: str) -> tuple[np.ndarray, list[int]]:
+        """(numbers of the text's words, -1 for words of no item; the items that share a seed with the text)."""
         get = self.vocabulary.get
         words = WORD.findall(text.lower())
         numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         if len(numbers) < N:
-            return numbers, np.empty(0, np.int64), np.empty(0, np.int64)
+            return numbers, []
         known = numbers >= 0
         at = known[: len(known) - N + 1].copy()
         for k in range(1, N):
@@ -81,21 +88,9 @@ class Items:
         code = numbers[at]
         for k in range(1, N):
             code = code * self.base + numbers[at + k]
-        place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        found = codes[place] == code
-        return numbers, at[found], code[found]
-
-    def keep_rare(self, df: dict[int, int], documents: int) -> None:
-        """Choose each item's seeds by their document counts."""
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, codes in enumerate(self.seeds):
-            order = sorted(range(len(codes)), key=lambda p: (df.get(int(codes[p]), 0), p))
-            for k, p in enumerate(order):
-                c = int(codes[p])
-                if k < ceil(len(order) / 2) or df.get(c, 0) <= RARE * documents:
-                    where[c].append((item, p))
-        self.where = dict(where)
-        self.chosen = np.array(sorted(where), np.int64)
+        place = np.minimum(np.searchsorted(self.every, code), len(self.every) - 1)
+        found = np.unique(code[self.every[place] == code])
+        return numbers, sorted({item for c in found.tolist() for item in self.where[c]})
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -112,37 +107,69 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def passages(numbers: np.ndarray, at: np.ndarray, code: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
-    """(item, begin, end) of the passages around the seeds, merged where they overlap."""
-    around: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, c in zip(at.tolist(), code.tolist(), strict=True):
-        for item, q in items.where[c]:
-            n = len(items.words[item])
-            slack = n // 2 + N
-            around[item].append((max(0, p - q - slack), min(len(numbers), p - q + n + slack)))
-    for item, spans in around.items():
-        spans.sort()
-        begin, end = spans[0]
-        for b, e in spans[1:]:
-            if b > end:
-                yield item, begin, end
-                begin, end = b, e
-            end = max(end, e)
-        yield item, begin, end
-
-
-def matches(numbers: np.ndarray, at: np.ndarray, code: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
-    """(item id, best score as a share of a verbatim copy's, last word of it) of the items that a text holds."""
+def in_windows(held: np.ndarray, width: int) -> np.ndarray:
+    """How many of ``held`` are true in the window of ``width`` from each place at which a whole one begins."""
+    total = np.concatenate(([0], np.cumsum(held)))
+    return total[width:] - total[:-width]
+
+
+def scales(n: int) -> list[tuple[int, int]]:
+    """(words, width): a match with an item of n words has for one of these at least so many common words in such a window.
+
+    With m common words, gaps and mismatches cost at most what m matches have above the threshold, so the match's length is bounded;
+    m goes from the threshold to n in a few steps.
+    """
+    least = ceil(THRESHOLD * n)
+    out, step = [], max(1, ceil((n + 1 - least) / SCALES))
+    for m in range(least, n + 1, step):
+        most = min(n, m + step - 1)
+        out.append((m, most + floor((most - THRESHOLD * n) * MATCH / min(-GAP, -MISMATCH))))
+    return out
+
+
+def passages(numbers: np.ndarray, item: int, items: Items) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the stretches of a text outside of which no alignment with the item is a match.
+
+    Common words are counted in windows, each at most as often as the item has it.
+    """
+    own, times, windows = items.own[item], items.times[item], items.scales[item]
+    slot = items.slot
+    slot[own] = np.arange(1, len(own) + 1)
+    at = slot[numbers]  # 0 for words that the item does not have; -1 reads the last slot
+    slot[own] = 0
+    counts = np.bincount(at, minlength=len(own) + 1)
+    counts[0] = 0
+    if int(np.minimum(counts[1:], times).sum()) < windows[0][0]:
+        return
+    often = np.flatnonzero(counts[1:] > times) + 1
+    plain = at > 0
+    plain &= ~np.isin(at, often)
+    cover = np.zeros(len(at) + 1, np.int64)
+    for least, width in windows:
+        width = min(width, len(at))
+        here = in_windows(at > 0, width) >= least
+        if not here.any():
+            continue
+        common = in_windows(plain, width)
+        for k in often.tolist():
+            common += np.minimum(in_windows(at == k, width), times[k - 1])
+        begins = np.flatnonzero(common >= least)
+        cover[begins] += 1
+        np.subtract.at(cover, begins + width, 1)
+    inside = np.diff(np.concatenate(([0], np.cumsum(cover) > 0, [0])).astype(np.int8))
+    yield from zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True)
+
+
+def matches(numbers: np.ndarray, shared: list[int], items: Items) -> list[tuple[int, float, int]]:
+    """(item id, best score as a share of a verbatim copy's, last word of it) of the items of ``shared`` that a text holds."""
     best: dict[int, tuple[float, int]] = {}
-    for item, begin, end in passages(numbers, at, code, items):
-        words, passage = items.words[item], numbers[begin:end]
-        need = THRESHOLD * MATCH * len(words)
-        _, have = np.unique(passage[passage >= 0], return_counts=True)
-        if MATCH * min(int(have.sum()), len(words)) < need or MATCH * int(np.isin(words, passage).sum()) < need:
-            continue  # not enough common words for any alignment
-        score, stop = align(passage, words)
-        if score >= need and score / (MATCH * len(words)) > best.get(item, (0.0, 0))[0]:
-            best[item] = (score / (MATCH * len(words)), begin + stop)
+    for item in shared:
+        words = items.words[item]
+        for begin, end in passages(numbers, item, items):
+            score, stop = align(numbers[begin:end], words)
+            share = score / (MATCH * len(words))
+            if share >= THRESHOLD and share > best.get(item, (0.0, 0))[0]:
+                best[item] = (share, begin + stop)
     return [(items.ids[i], s, e) for i, (s, e) in sorted(best.items())]
 
 
@@ -160,23 +187,6 @@ def parts(benchmark: DataFrame, most: int = PART_SEEDS) -> Iterator[list[tuple[i
         yield held
 
 
-def prepare(documents: DataFrame, items: Items) -> Items:
-    """Count the seeds' documents and choose the rare ones."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, n = Counter(), 0
-        for batch in batches:
-            n += len(batch)
-            for text in batch["text"]:
-                found.update(set(items.hits(text, items.every)[2].tolist()))
-        yield pd.DataFrame({"code": [-1, *found], "n": [n, *found.values()]})
-
-    rows = blocks.text_rows(documents).select("text").mapInPandas(streaming(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    df = {r["code"]: r["n"] for r in rows}  # at most PART_SEEDS + 1 rows
-    items.keep_rare(df, df.get(-1, 0))
-    return items
-
-
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, last_word: the test items that each document holds, verbatim or edited."""
     spark = ready(documents.sparkSession)
@@ -186,15 +196,12 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Items(part)
         if not len(items.every):
             continue
-        prepare(documents, items)
 
         def run(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = []
                 for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    hits = items.hits(text, items.chosen)
-                    if len(hits[1]):
-                        rows += [(None if pd.isna(i) else int(i), *m) for m in matches(*hits, items)]
+                    rows += [(None if pd.isna(i) else int(i), *m) for m in matches(*items.hits(text), items)]
                 if rows:
                     yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "item_id": [r[1] for r in rows], "score": [r[2] for r in rows], "last_word": [r[3] for r in rows]})
 
@@ -211,16 +218,12 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Items(part)
         if not len(items.every):
             continue
-        prepare(documents, items)
 
         def run(batches, items: Items = items):
             import pyarrow as pa
 
             for batch in batches:
-                keep = []
-                for text in batch.column("text").to_pylist():
-                    hits = items.hits(text or "", items.chosen)
-                    keep.append(not (len(hits[1]) and matches(*hits, items)))
+                keep = [not matches(*items.hits(text or ""), items) for text in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(streaming(run), documents.schema)

@@ -73,6 +73,42 @@ def test_hot_item_is_found(spark):
     assert dc.find(docs, frame(spark, [(1, item)], "item_id long, text string")).count() == 50
 
 
+def test_edited_hot_item_is_found(spark):
+    """Words 3 and 8 of 12 replaced: 6 of the 10 seeds occur nowhere, the other 4 in more than 0.1 % of the documents."""
+    g = random.Random(5)
+    item = prose(g, 12)
+    w = item.split()
+    w[3], w[8] = "xx", "yy"
+    for copies, others in ((50, 100), (5, 1500)):
+        docs = frame(spark, [(i, prose(g, 20) + (" " + " ".join(w) if i < copies else "")) for i in range(copies + others)], "doc_id long, text string")
+        found = dc.find(docs, frame(spark, [(1, item)], "item_id long, text string")).collect()
+        assert {(r["doc_id"], r["score"]) for r in found} == {(i, 0.75) for i in range(copies)}
+        assert dc.clean(docs, frame(spark, [(1, item)], "item_id long, text string")).count() == others
+
+
+def test_pair_with_a_shared_seed_is_aligned_everywhere():
+    """The passage itself keeps no seed, the one shared seed stands far from it; insertions all before the first kept words."""
+    g = random.Random(6)
+    words = prose(g, 20).split()
+    items = dc.Items([(1, " ".join(words))])
+    edited = [w if k % 3 else "zz" for k, w in enumerate(words)]
+    text = " ".join([*edited, *prose(g, 400).split(), *words[:3]])
+    numbers, shared = items.hits(text)
+    assert shared == [0]
+    assert slow_align(dc.words_of(text), words) == dc.align(numbers, items.words[0])[0] >= dc.THRESHOLD * dc.MATCH * 20
+    assert [i for i, *_ in dc.matches(numbers, shared, items)] == [1]
+
+
+def test_bounds_lose_no_alignment():
+    g = random.Random(7)
+    for _ in range(300):
+        item, text = ([g.choice("abcdefgh") for _ in range(n)] for n in (g.randint(3, 12), g.randint(1, 80)))
+        items = dc.Items([(1, " ".join(item))])
+        numbers, shared = items.hits(" ".join(text))
+        best = slow_align(text, item) / (dc.MATCH * len(item))
+        assert [(i, s) for i, s, _ in dc.matches(numbers, shared, items)] == ([(1, best)] if shared and best >= dc.THRESHOLD else [])
+
+
 def test_empty(spark):
     docs, none = frame(spark, [(1, "a b c")], "doc_id long, text string"), frame(spark, [], "item_id long, text string")
     assert dc.find(docs, none).count() == 0 and dc.clean(docs, none).count() == 1
