@@ -2,6 +2,7 @@
 
 A block of BLOCK_IDS numbers is coded in LANES streams and depends on nothing but the table. Blocks of a group are
 coded in lockstep with numpy. State: 64 bits, renormalised by 32-bit words; frequencies add up to 2**SCALE.
+A segment of more than 2**SCALE different numbers has no table; its blocks hold the numbers plainly.
 """
 
 from __future__ import annotations
@@ -124,6 +125,11 @@ def pack_segment(ids: np.ndarray) -> dict:
     """Table and blocks of a run of ids; ids should be small, as token ids and word numbers are."""
     counts = np.bincount(ids)
     symbols = np.flatnonzero(counts)
+    crc = [zlib.crc32(ids[i : i + BLOCK_IDS].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK_IDS)]
+    if len(symbols) > 1 << SCALE:
+        runs = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
+        none = blocks.pack(np.empty(0, np.uint32))
+        return {"symbols": none, "frequencies": none, "blocks": [{"n": len(r), "states": b"", "words": blocks.pack(r.astype(np.uint32)), "crc32": c} for r, c in zip(runs, crc, strict=True)]}
     counts, place = counts[symbols], np.empty(len(counts), np.uint32)
     place[symbols] = np.arange(len(symbols), dtype=np.uint32)
     numbers = place[ids]
@@ -131,7 +137,6 @@ def pack_segment(ids: np.ndarray) -> dict:
     table, coded = Table(symbols, freq), []
     for i in range(0, len(numbers), GROUP * BLOCK_IDS):
         coded += encode_group(numbers[i : i + GROUP * BLOCK_IDS], table)
-    crc = [zlib.crc32(ids[i : i + BLOCK_IDS].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK_IDS)]
     return {"symbols": blocks.pack(symbols.astype(np.uint32)), "frequencies": blocks.pack(freq.astype(np.uint32)), "blocks": [{"n": n, "states": s, "words": w, "crc32": c} for (n, s, w), c in zip(coded, crc, strict=True)]}
 
 
@@ -141,7 +146,10 @@ def unpack_segment(symbols: bytes, freq: bytes, coded: list) -> np.ndarray:
     out = []
     for i in range(0, len(coded), GROUP):
         group = coded[i : i + GROUP]
-        ids = table.symbols[decode_group([(b["n"], b["states"], b["words"]) for b in group], table)]
+        if len(table.symbols):
+            ids = table.symbols[decode_group([(b["n"], b["states"], b["words"]) for b in group], table)]
+        else:
+            ids = np.concatenate([blocks.unpack(b["words"], np.uint32) for b in group])
         for k, b in enumerate(group):
             if zlib.crc32(ids[k * BLOCK_IDS : k * BLOCK_IDS + b["n"]].astype("<u4").tobytes()) != b["crc32"]:
                 raise ValueError("a block's checksum does not match")

@@ -1,4 +1,5 @@
 import hashlib
+from itertools import islice, product
 
 import public_tokenizers
 import pytest
@@ -55,6 +56,13 @@ def test_many_blocks(spark, monkeypatch):
     assert got == {i: TOKENIZER.encode(f"word{i % 7} and more{i} text").ids for i in range(200)}
 
 
+def test_text_of_very_many_distinct_words(spark):
+    """More distinct words in one text than a frequency table has room for."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join("".join(w) for w in islice(product(letters, repeat=5), (1 << 20) + 5))
+    assert bpe.encode(bpe_input(spark, frame(spark, [(1, text)], "doc_id long, text string")), CONTENT, with_text=True).first()["text"] == text
+
+
 def test_empty_table(spark):
     assert bpe.encode(frame(spark, [], "doc_id long, text string"), CONTENT).count() == 0
 

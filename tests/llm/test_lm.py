@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from itertools import islice, product
 
 import pytest
 from hypothesis import given, settings
@@ -99,3 +100,9 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if lm.is_held_out(i))
     r = lm.score_corpus(frame(spark, [(held, "a b")], schema)).collect()[0]
     assert (r["held_out"], r["n_known"], r["train_tokens"], r["score"]) == (True, 0, 0, 0.0)
+
+
+def test_text_of_very_many_distinct_words(spark):
+    """More distinct words in one text than a frequency table has room for."""
+    text = " ".join("".join(w) for w in islice(product("abcdefghijklmnopqrstuvwxyz", repeat=5), (1 << 20) + 5))
+    assert lm.score_corpus(frame(spark, [(1, text)], "doc_id long, text string")).count() == 1

@@ -26,6 +26,16 @@ def test_segments_round_trip(n, kind):
     assert sum(b["n"] for b in p["blocks"]) == n
 
 
+def test_more_numbers_than_a_table_holds():
+    ids = np.random.default_rng(1).permutation((1 << ans.SCALE) + 1).astype(np.uint32)
+    p = ans.pack_segment(ids)
+    assert (ans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"]) == ids).all()
+    assert (ans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"][1:2]) == ids[ans.BLOCK_IDS : 2 * ans.BLOCK_IDS]).all()
+    p["blocks"][0]["crc32"] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        ans.unpack_segment(p["symbols"], p["frequencies"], p["blocks"])
+
+
 def test_one_block_alone_and_checksum():
     ids = np.arange(3 * ans.BLOCK_IDS, dtype=np.uint32) % 999
     p = ans.pack_segment(ids)
