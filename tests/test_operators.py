@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from quern.operators import recursive as rec
 from quern.operators import relational as R
 from quern.operators import text as X
 from quern.operators import vectors as V
+from quern.queries import QUERIES
 from quern.sources import tables as T
 from tests.conftest import SF, frame
 
@@ -95,6 +97,18 @@ def test_inverted_file_recall(spark):
     assert one.count() == 3
 
 
+def test_inverted_file_recall_of_the_query(spark):
+    """With the registered query's own cells and probes, on more vectors."""
+    sf = SF.replace("0.001", "0.01")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, points = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64)
+    got = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_inverted_file"](spark, sf).collect()}
+    want = set()
+    for i, p in zip(ids[ids % 20 == 0], points[ids % 20 == 0], strict=True):
+        want |= {(i, j) for j in ids[np.argsort(((points - p) ** 2).sum(axis=1), kind="stable")[:10]]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_spatial_keys_are_local(spark):
     rows = spark.range(64).select((F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y"))
     keyed = rows.withColumn("z", I.z_key(["x", "y"], [0, 0], [7, 7], bits=3))
