@@ -14,17 +14,33 @@ from pyspark.sql import functions as F
 from quern.session import importable
 from quern.sources.tables import shared_dir
 
-#: Rows of one Arrow batch handed to Python; keeps a worker's memory near a few MB of text at a time.
-BATCH_ROWS = 1000
+#: Bounds of one Arrow batch handed to Python, in rows and in bytes: many short texts or few long ones. A single longer text is a batch of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Settings for operators that run Python: workers can import this package, batches are small."""
+    """What operators that run Python need: workers can import this package, batches are small.
+
+    Results are evaluated after an operator has returned, so the bounds stay in the session; a bound that the session already has is left alone.
+    """
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    have = spark.conf.getAll
+    for key, bound in BATCH.items():
+        if key not in have:
+            spark.conf.set(key, bound)
     return spark
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """One column ``row`` that holds the caller's columns, so that an operator's own names cannot clash with them."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame, documents: DataFrame, **new: Column) -> DataFrame:
+    """The caller's columns again, some of them replaced."""
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+
+
 def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that what follows survives lost executors.
 

@@ -9,9 +9,10 @@ as soon as it is later than every register of its document.
 
 Registers are hashed in bands; texts that share a band are candidates, and candidates are verified by the exact overlap of their multisets.
 A band's bucket never yields all of its pairs: a maximum spanning tree over estimated similarities (chunk by chunk, then
-over the chunks' most central texts) gives as many edges as texts. All edges together make families, the verified ones components. In a
-family of several components, every text outside the largest one is then compared with all others, by exact overlaps in
-inverted indexes of chunks, which give links only. So no link between different components is lost but to the signature's own error.
+over the chunks' most central texts) gives as many edges as texts. All edges together make families, the verified ones components; all
+texts of a bucket of several chunks are one family. In a family of several components, every text outside the largest one is then compared
+with all others, by exact overlaps of bags in memory, which give links only. So a link is lost only to the signature's error: where no band holds the
+pair, or where a bucket's estimates leave its texts in different families.
 Components come from label propagation over written tables; nothing of it goes to the driver.
 
 Exact copies share one node (md5 of the text), so a group of any number of copies is one row from the first shuffle on.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import blocks
-from quern.llm.common import cut, drop, ready, streaming
+from quern.llm.common import cut, drop, packed, ready, streaming, unpacked
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -43,6 +44,8 @@ REGISTERS = BANDS * ROWS
 CANDIDATE = 0.7
 #: Texts of a bucket that are compared in memory at once.
 CHUNK = 1024
+#: Bytes of bags (8 for each shingle) of a family that are compared in memory at once.
+FAMILY_BYTES = 32 << 20
 WORD = re.compile(r"\w+")
 #: A worker forgets its words' hashes beyond so many.
 CACHE = 150_000
@@ -144,19 +147,18 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / a.shape[1] - 1 / 256) / (1 - 1 / 256)
 
 
-def tree(sim: np.ndarray) -> list[tuple[int, int]]:
-    """The edges of a maximum spanning forest that reach CANDIDATE."""
+def tree(sim: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """A maximum spanning tree: its edges that reach CANDIDATE, and the weaker ones, which hold its parts together."""
     best, to, inside = sim[0].copy(), np.zeros(len(sim), np.int64), np.zeros(len(sim), bool)
     inside[0] = True
-    out = []
+    strong, weak = [], []
     for _ in range(len(sim) - 1):
         i = int(np.argmax(np.where(inside, -np.inf, best)))
-        if best[i] >= CANDIDATE:
-            out.append((int(to[i]), i))
+        (strong if best[i] >= CANDIDATE else weak).append((int(to[i]), i))
         inside[i] = True
         closer = ~inside & (sim[i] > best)
         best[closer], to[closer] = sim[i][closer], i
-    return out
+    return strong, weak
 
 
 def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -199,38 +201,45 @@ def sign(documents: DataFrame) -> DataFrame:
     return blocks.text_rows(documents).withColumn("node", node_of(F.col("text"))).mapInPandas(streaming(run), "doc_id long, node binary, keys array<long>, sig binary")
 
 
-def _spanning(members: DataFrame, n_buckets: int) -> tuple[list[DataFrame], DataFrame]:
-    """Candidate pairs (a, b) of buckets (key, n, node, sig) by spanning trees; all tables written on the way."""
+def _spanning(members: DataFrame, n_buckets: int) -> list[DataFrame]:
+    """Edges (a, b, strong) of buckets (key, n, node, sig); all tables written on the way.
+
+    A bucket of CHUNK texts or fewer gives the strong edges of its spanning tree. A larger one is dealt into chunks by the node's
+    and the bucket's hash, whose most central texts meet again; its weak edges are kept too, so that all of its texts are of one family, and
+    pairs in different chunks are compared there.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for group in runs(batches, ["key", "chunk"]):
-            nodes, sigs = group["node"].tolist(), group["sig"].tolist()
-            if len(nodes) == 2 and group["chunks"].iloc[0] == 1:
-                out.append((None, None, None, *sorted(nodes)))
+            nodes, sigs, split = group["node"].tolist(), group["sig"].tolist(), bool(group["split"].iloc[0])
+            if len(nodes) == 2 and not split:
+                out.append((None, None, None, *sorted(nodes), True))
             else:
                 sim = estimates(m := _matrix(sigs), m) if len(nodes) > 1 else np.ones((1, 1))
-                out += [(None, None, None, *sorted((nodes[a], nodes[b]))) for a, b in tree(sim)]
+                strong, weak = tree(sim)
+                out += [(None, None, None, *sorted((nodes[a], nodes[b])), True) for a, b in strong]
+                out += [(None, None, None, *sorted((nodes[a], nodes[b])), False) for a, b in weak if split]
                 if group["chunks"].iloc[0] > 1:  # the most central text goes on to the next level
                     c = int(sim.sum(axis=0).argmax())
-                    out.append((int(group["key"].iloc[0]), nodes[c], sigs[c], None, None))
+                    out.append((int(group["key"].iloc[0]), nodes[c], sigs[c], None, None, None))
             if len(out) > 2000:
                 yield pd.DataFrame(out, columns=names, dtype=object)
                 out = []
         yield pd.DataFrame(out, columns=names, dtype=object)
 
-    names = ["key", "node", "sig", "a", "b"]
-    tables = []
+    names = ["key", "node", "sig", "a", "b", "strong"]
+    tables, split = [], False
     while True:
         chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        dealt = members.select("key", "node", "sig", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-        found = cut(dealt.repartition(n_buckets, "key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInPandas(streaming(run), "key long, node binary, sig binary, a binary, b binary"), "spanning")
+        dealt = members.select("key", "node", "sig", chunks.alias("chunks"), (F.lit(split) | (chunks > 1)).alias("split"), F.pmod(F.xxhash64("key", "node"), chunks).cast("int").alias("chunk"))
+        found = cut(dealt.repartition(n_buckets, "key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInPandas(streaming(run), "key long, node binary, sig binary, a binary, b binary, strong boolean"), "spanning")
         tables.append(found)
         central = found.where("node is not null").select("key", "node", "sig")
         if central.isEmpty():
-            return tables, None
+            return tables
         sizes = central.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        members = central.join(sizes, "key").where("n > 1")
+        members, split = central.join(sizes, "key").where("n > 1"), True
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -267,60 +276,99 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def overlaps(bag: tuple[np.ndarray, np.ndarray], index: tuple, sizes: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard of one bag with every host of an index (distinct shingles, begin of each one's postings, hosts, counts)."""
-    distinct, begin, hosts, counts = index
-    at = np.minimum(np.searchsorted(distinct, bag[0]), len(distinct) - 1)
-    hit = distinct[at] == bag[0]
-    at, own = at[hit], bag[1][hit]
-    n = begin[at + 1] - begin[at]
-    place = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    both = np.bincount(hosts[place], np.minimum(counts[place], np.repeat(own, n)), len(sizes))
-    return both / (int(bag[1].sum()) + sizes - both)
+def elements(text: str) -> np.ndarray:
+    """The multiset of a text's shingles as a sorted set: one 64-bit number for each (shingle, occurrence)."""
+    _, h, count = shingles([text])
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.unique(mix(np.repeat(h, count) + mix(nth.astype(np.uint64) + np.uint64(1))))
+
+
+class Bags:
+    """Bags that meet in memory: exact overlaps of any of them with all.
+
+    Elements that one bag in DENSE or more has are columns of a matrix, so that their overlaps are a matrix product; the others
+    are looked up in postings, which are short. Either takes a small multiple of the bags' own memory.
+    """
+
+    DENSE = 4
+
+    def __init__(self, bags: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+        owner = np.repeat(np.arange(len(bags)), self.sizes)
+        flat = np.concatenate(bags) if len(bags) else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+        times = np.diff(np.r_[new, len(flat)])
+        many = times * self.DENSE > len(bags)
+        dense, rare = np.repeat(many & (times > 1), times), np.repeat(~many & (times > 1), times)
+        column = np.repeat(np.cumsum(many & (times > 1)) - 1, times)
+        self.matrix = np.zeros((len(bags), int((many & (times > 1)).sum())), np.float32)
+        self.matrix[owner[dense], column[dense]] = 1
+        self.hosts = owner[rare]  # the postings of rare elements, one after another
+        kept = times[~many & (times > 1)]
+        self.begin = np.concatenate(([0], np.cumsum(kept)))
+        of = np.repeat(np.arange(len(kept)), kept)
+        by_owner = np.argsort(self.hosts, kind="stable")
+        self.own, self.own_at = of[by_owner], np.searchsorted(self.hosts[by_owner], np.arange(len(bags) + 1))
+
+    def similarities(self, which: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard of the bags ``which`` (rows) with every other bag; not with themselves, whose own elements are left out."""
+        both = (self.matrix[which] @ self.matrix.T).astype(np.float64)
+        for row, i in enumerate(which.tolist()):
+            own = self.own[self.own_at[i] : self.own_at[i + 1]]
+            n = self.begin[own + 1] - self.begin[own]
+            place = np.repeat(self.begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both[row] += np.bincount(self.hosts[place], minlength=len(self.sizes))
+        return both / np.maximum(self.sizes[which][:, None] + self.sizes[None, :] - both, 1)
+
+
+def links(bags: list[np.ndarray], label: np.ndarray, visitor: np.ndarray, host: np.ndarray) -> list[tuple[int, int]]:
+    """Each visitor's best link (SIMILARITY or more) to every other component that a host is of."""
+    met, out = Bags(bags), []
+    who = np.flatnonzero(visitor)
+    for at in range(0, len(who), 256):
+        which = who[at : at + 256]
+        sim = np.where(host[None, :] & (label[which][:, None] != label[None, :]), met.similarities(which), 0.0)
+        for row in np.flatnonzero((sim >= SIMILARITY).any(axis=1)).tolist():
+            hits = np.flatnonzero(sim[row] >= SIMILARITY)
+            hits = hits[np.argsort(-sim[row][hits], kind="stable")]
+            out += [(int(which[row]), int(hits[k])) for k in np.unique(label[hits], return_index=True)[1]]
+    return out
 
 
 def _remaining(families: DataFrame, labels: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
     """a, b: links between different components of one family, by the exact overlap of every text that may still have one.
 
-    In a family with several components the texts outside its largest one visit all chunks of the family; a chunk's texts stand in
-    an inverted index of their shingles, and a visitor gives the best link to each other component. So nothing but links leaves a chunk.
+    In a family with several components the texts outside its largest one visit all chunks of the family, as bags; a chunk
+    has FAMILY_BYTES of them, so all but the widest families are one chunk and a row for each text. A visitor gives the best
+    link to each other component, so nothing but links leaves a chunk.
     """
     named = cut(families.withColumnRenamed("label", "family").join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")), "named")
     counted = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counted.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    rows = named.join(mixed, "family").join(texts, "node")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = rows.select("family", "node", "label", "text", chunks.alias("chunks"), (F.col("label") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("own"))
+    mixed = counted.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+
+    def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["node", "family", "label", "main"]].assign(bag=[elements(t).tobytes() for t in batch["text"]])
+
+    bags = named.join(mixed, "family").join(texts, "node").select("node", "family", "label", "main", "text")
+    bags = cut(bags.mapInPandas(streaming(bag), "node binary, family binary, label binary, main binary, bag binary"), "bags")
+    sizes = bags.groupBy("family").agg(F.ceil(F.sum(F.length("bag")) / FAMILY_BYTES).cast("int").alias("chunks"))
+    rows = bags.join(sizes, "family").select("family", "node", "label", "bag", "chunks", (F.col("label") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("own"))
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, ["family", "chunk"]):
-            nodes, label = group["node"].to_numpy(), group["label"].to_numpy()
-            doc, h, count = shingles(group["text"].tolist())
-            cuts = np.searchsorted(doc, np.arange(len(nodes) + 1))
-            host = (group["own"] == group["chunk"]).to_numpy()
-            mine = host[doc]
-            order = np.argsort(h[mine], kind="stable")
-            hs = h[mine][order]
-            new = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]) if len(hs) else np.empty(0, np.int64)
-            if not len(hs):
-                continue
-            index = (hs[new], np.r_[new, len(hs)], doc[mine][order], count[mine][order])
-            sizes = np.where(host, np.bincount(doc, count, len(nodes)), np.inf)
-            links = []
-            for v in np.flatnonzero(group["out"].to_numpy(bool)):
-                sim = overlaps((h[cuts[v] : cuts[v + 1]], count[cuts[v] : cuts[v + 1]]), index, sizes)
-                best: dict[bytes, int] = {}
-                for j in np.flatnonzero(sim >= SIMILARITY):
-                    if label[j] != label[v] and (label[j] not in best or sim[j] > sim[best[label[j]]]):
-                        best[label[j]] = j
-                links += [tuple(sorted((nodes[v], nodes[j]))) for j in best.values()]
-            if links:
-                yield pd.DataFrame(links, columns=["a", "b"], dtype=object)
+            nodes = group["node"].tolist()
+            label = np.unique(np.array([x.hex() for x in group["label"]]), return_inverse=True)[1]
+            found = links([np.frombuffer(b, np.uint64) for b in group["bag"]], label, group["out"].to_numpy(bool), (group["own"] == group["chunk"]).to_numpy())
+            if found:
+                yield pd.DataFrame([tuple(sorted((nodes[a], nodes[b]))) for a, b in found], columns=["a", "b"], dtype=object)
 
     found = rows.repartition(n_buckets, "family", "chunk").sortWithinPartitions("family", "chunk", "node").mapInPandas(streaming(run), "a binary, b binary").distinct()
     out = cut(found, "links")
-    drop(named)
+    drop(named, bags)
     return out
 
 
@@ -336,21 +384,22 @@ def group(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(exploded.join(shared, "key"), "members")
     sigs = nodes.select("node", "sig")
-    tables, _ = _spanning(members.join(sigs, "node"), n_buckets)
+    tables = _spanning(members.join(sigs, "node"), n_buckets)
     pairs = tables[0]
     for t in tables[1:]:
         pairs = pairs.unionByName(t)
-    tested = cut(pairs.where("a is not null").select("a", "b").distinct(), "pairs")
+    together = cut(pairs.where("a is not null").groupBy("a", "b").agg(F.max("strong").alias("strong")), "pairs")
     drop(*tables)
+    tested = together.where("strong").select("a", "b")
     involved = members.select("node").distinct()
     texts = cut(documents.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(involved, "node", "left_semi").dropDuplicates(["node"]), "texts")
     edges = cut(verify(tested, texts), "edges")
-    labels, families = components(edges), components(tested)
+    labels, families = components(edges), components(together)
     more = _remaining(families, labels, texts, n_buckets)
     if not more.isEmpty():
         drop(labels)
         labels = components(edges.select("a", "b").unionByName(more))
-    drop(members, texts)
+    drop(members, texts, together, edges)
     return rows, nodes.select("node", "first", "copies").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "copies")
 
 
@@ -365,7 +414,7 @@ def classes(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each class: the one with the least doc_id (null first, ties by the text's hash)."""
     _, nodes = group(documents)
-    stay = cut(nodes.groupBy("label").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("_node"), F.col("best.first").alias("_first")), "kept")
-    rows = documents.withColumn("_own", node_of(F.col("text")))
-    kept = rows.join(stay, (F.col("_own") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_own"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    stay = cut(nodes.groupBy("label").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("node"), F.col("best.first").alias("first")), "kept")
+    rows = packed(documents).withColumn("node", node_of(F.col("row.text")))
+    kept = rows.join(stay, "node").where(F.col("row.doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
+    return unpacked(kept, documents)

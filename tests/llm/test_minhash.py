@@ -67,15 +67,13 @@ def brute_components(rows):
 def test_overlaps():
     g = random.Random(3)
     texts = [prose(g, 40) for _ in range(5)]
-    texts += [edit(g, t, 2) for t in texts] + [texts[0] + " " + texts[0]]
-    doc, h, count = mh.shingles(texts)
-    order = np.argsort(h, kind="stable")
-    new = np.flatnonzero(np.r_[True, np.diff(h[order].astype(np.int64)) != 0])
-    index = (h[order][new], np.r_[new, len(h)], doc[order], count[order])
-    for i, t in enumerate(texts):
-        own = doc == i
-        got = mh.overlaps((h[own], count[own]), index, np.bincount(doc, count, len(texts)))
-        assert np.allclose(got, [exact(t, o) for o in texts])
+    texts += [edit(g, t, 2) for t in texts] + [texts[0] + " " + texts[0], "", "a b", prose(g, 9000)]
+    met = mh.Bags([mh.elements(t) for t in texts])
+    others = ~np.eye(len(texts), dtype=bool)
+    want = np.array([[exact(t, o) for o in texts] for t in texts])
+    assert np.allclose(met.similarities(np.arange(len(texts)))[others], want[others])
+    assert np.allclose(met.similarities(np.array([3, 11]))[others[[3, 11]]], want[[3, 11]][others[[3, 11]]])
+    assert mh.links([], np.empty(0, int), np.empty(0, bool), np.empty(0, bool)) == []
 
 
 def corpus(g):
@@ -95,6 +93,32 @@ def test_classes_against_brute_force(spark, monkeypatch):
         assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["class_id"] if r["class_id"] is not None else -1) for r in got) == brute_components(rows)
 
 
+def family(g, n, clusters):
+    """Texts around one template that are about 0.75 alike, and close copies of some of them."""
+    base = prose(g, 200)
+    rows = [edit(g, base, 3) for _ in range(n)]
+    return rows + [edit(g, rows[i], 1) for i in range(clusters) for _ in range(3)]
+
+
+def test_several_clusters_of_one_large_bucket(spark, monkeypatch):
+    rows = list(enumerate(family(random.Random(17), 50, 8)))
+    want = brute_components(rows)
+    assert 5 < len({c for _, c in want}) < 55
+    docs = frame(spark, rows, "doc_id long, text string").repartition(3)
+    for chunk, size in ((1024, 1 << 30), (8, 20_000)):
+        monkeypatch.setattr(mh, "CHUNK", chunk)
+        monkeypatch.setattr(mh, "FAMILY_BYTES", size)
+        assert sorted((r["doc_id"], r["class_id"]) for r in mh.classes(docs).collect()) == want
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = "row node first _own _node _first keys sig label text_1".split()
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in ((1, "a b c d e f g"), (2, "a b c d e f g"), (3, None))]
+    docs = frame(spark, rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = mh.keep_one(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
 def test_keep_one(spark):
     rows = corpus(random.Random(7))
     docs = frame(spark, [(*r, 0) for r in [*rows, (5, rows[5][1])]], "doc_id long, text string, label int")
