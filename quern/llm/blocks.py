@@ -100,6 +100,14 @@ def unpack_ids(b: bytes) -> list:
     return [None if z else i for i, z in zip(unpack(a, np.int64).tolist(), unpack(nulls, np.uint8).tolist(), strict=True)]
 
 
-def buckets(spark) -> int:
-    """How many buckets the keys are dealt into: as many as the session has shuffle partitions, which grow with the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Text whose keys one bucket holds, at most about so much on average.
+BUCKET_BYTES = 16 << 20
+
+
+def buckets(spark, documents: DataFrame | None = None) -> int:
+    """How many buckets keys are dealt into: the session's shuffle partitions, and one for every BUCKET_BYTES of ``documents`` at least."""
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if documents is None:
+        return least
+    size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-size // BUCKET_BYTES))

@@ -48,6 +48,8 @@ def load(path: str) -> str:
         return f.read()
 
 
+#: A task forgets the ids of its words beyond so many; they are then encoded again where they come up.
+KNOWN = 500_000
 #: Characters of a block: larger ones repeat fewer distinct words in the shuffle.
 BLOCK_CHARS = 8 << 20
 
@@ -142,7 +144,7 @@ def encode(documents: DataFrame, content: str, with_text: bool = False) -> DataF
     the words' hash, so that each distinct word is encoded in one place, and meet the numbers again by the block.
     """
     spark = ready(documents.sparkSession)
-    n = blocks.buckets(spark)
+    n = blocks.buckets(spark, documents)
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(content)
@@ -165,6 +167,8 @@ def encode(documents: DataFrame, content: str, with_text: bool = False) -> DataF
                     out.append(data)
                     continue
                 cell = blocks.unpack_words(data)
+                if len(known) > KNOWN:
+                    known.clear()
                 new = [w for w in cell if w not in known]
                 known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in words.encode([w.decode() for w in new])), strict=True))
                 ids = [known[w] for w in cell]

@@ -57,14 +57,13 @@ def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Dat
     return out
 
 
-def drop(*frames: DataFrame) -> None:
-    """Delete the tables behind results of ``cut`` that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "quern_path", None)
-        if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete the table behind a result of ``cut`` that nothing reads any more, or one folder of its partitions."""
+    path = getattr(df, "quern_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -9,9 +9,10 @@ d(c) * c / C(history); any other pair falls back to alpha(history) * P(word), ev
 so that the probabilities of the known words and the unknown event add up to 1 after every history. A text is its words and one end
 token; its first word's history is the end token.
 
-Tables (``fit``): word counts, pair counts and backoff weights, each in packed rows by the bucket of the history, written to the
+Tables (``fit``): the documents' token sequences by block (one pass over the documents writes them, and all later steps read them), word counts, pair counts and backoff weights, each in packed rows by the bucket of the history, written to the
 shared folder. A pair is counted in the bucket of its history; a history with more than a bucket's share of all
-tokens is spread over as many buckets as it fills, and its partial sums are added up afterwards (fewer rows than two per bucket). Of a block
+tokens is spread over as many buckets as it fills, and its partial sums are added up afterwards (fewer rows than two per bucket). Buckets are as
+many as the corpus has shares of ``blocks.BUCKET_BYTES``, so a task that holds one keeps to some hundred MB at any size of the corpus. Of a block
 of documents only the distinct words and pairs travel to the tables, and their counts come back in the same order, so what is
 shuffled grows with the distinct pairs of the blocks.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import ans, blocks
-from quern.llm.common import crc_mod, cut, grouped, ready, release, streaming
+from quern.llm.common import crc_mod, cut, drop, grouped, ready, release, streaming
 
 END = b"\n"
 K = 5
@@ -148,10 +149,8 @@ class Block:
         coded = pickle.loads(payload[2])
         self.seq = ans.unpack_segment(coded["symbols"], coded["frequencies"], coded["blocks"]).astype(np.int64)
         self.end = int(np.frombuffer(payload[3], np.uint32)[0])
-        if zlib.crc32(b"".join(c[0] for _, c in cells)) != int(np.frombuffer(payload[4], np.uint32)[0]):
-            raise RuntimeError("the rows of a block came in another order; the documents need a stable scan")
-        self.ids = np.concatenate([blocks.unpack(c[1], np.int64) for _, c in cells])
-        self.counts = np.concatenate([blocks.unpack(c[2], np.int64) for _, c in cells])
+        self.ids = np.concatenate([blocks.unpack(c[0], np.int64) for _, c in cells])
+        self.counts = np.concatenate([blocks.unpack(c[1], np.int64) for _, c in cells])
 
     def pairs(self, total: int, n: int) -> None:
         """Distinct (history, word) pairs by target bucket, then by history; ``inverse``: the pair of each token."""
@@ -168,28 +167,20 @@ class Block:
         self.inverse = place[inverse]
 
 
-def scan_words(documents: DataFrame, n: int) -> DataFrame:
-    """Cells of the distinct words of each block, with their training counts."""
+def scan(documents: DataFrame, n: int) -> DataFrame:
+    """The only pass over the documents: kind tokens: the token sequence of each block; kind words: cells of its distinct words, with their training counts.
+
+    It is written, and everything later reads it, so blocks and their numbering are settled once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, ids, texts in blocks.of_rows(batches, BLOCK_CHARS):
             seq, lengths, names, bucket = numbered(texts, n)
             train = np.repeat(np.array([not is_held_out(i) for i in ids]), lengths)
             counts = np.bincount(seq[train], minlength=len(names))
-            yield rows_frame([("words", name, b, blocks.join([blocks.pack_lengths(*cell_words(names, a, z)), blocks.pack(counts[a:z])])) for b, a, z in slices(bucket)])
-
-    return blocks.text_rows(documents).mapInPandas(streaming(run), CELL)
-
-
-def scan_tokens(documents: DataFrame, n: int) -> DataFrame:
-    """The token sequence of each block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, ids, texts in blocks.of_rows(batches, BLOCK_CHARS):
-            seq, lengths, names, bucket = numbered(texts, n)
-            crc = b"".join(np.uint32(zlib.crc32(cell_words(names, a, z)[1])).tobytes() for _, a, z in slices(bucket))
-            data = [blocks.pack_ids(ids), blocks.pack(lengths), pickle.dumps(ans.pack_segment(seq)), np.uint32(seq[-1]).tobytes(), np.uint32(zlib.crc32(crc)).tobytes()]
-            yield rows_frame([("tokens", name, -1, blocks.join(data))])
+            data = [blocks.pack_ids(ids), blocks.pack(lengths), pickle.dumps(ans.pack_segment(seq)), np.uint32(seq[-1]).tobytes()]
+            cells = [("words", name, b, blocks.join([blocks.pack_lengths(*cell_words(names, a, z)), blocks.pack(counts[a:z])])) for b, a, z in slices(bucket)]
+            yield rows_frame([("tokens", name, -1, blocks.join(data)), *cells])
 
     return blocks.text_rows(documents).mapInPandas(streaming(run), CELL)
 
@@ -212,8 +203,7 @@ def count_words(cells: DataFrame, n: int) -> DataFrame:
         out = []
         for block, data in zip(pdf["block"], pdf["data"], strict=True):
             words = blocks.unpack_words(blocks.split(data)[0])
-            crc = np.uint32(zlib.crc32(b"".join(words))).tobytes()
-            out.append(("word", block, bucket, blocks.join([crc, blocks.pack(np.fromiter(map(ids.__getitem__, words), np.int64, len(words))), blocks.pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))])))
+            out.append(("word", block, bucket, blocks.join([blocks.pack(np.fromiter(map(ids.__getitem__, words), np.int64, len(words))), blocks.pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))])))
         known = [w for w in order if total[w] > 0]
         counts = np.array([total[w] for w in known], np.int64)
         out.append(("model", None, bucket, blocks.join([blocks.pack_words(known), blocks.pack(counts)])))
@@ -241,7 +231,7 @@ def _block_of(pdf: pd.DataFrame) -> Block:
     return Block(blocks.split(pdf.loc[pdf["kind"] == "tokens", "data"].iloc[0]), words)
 
 
-def scan_pairs(documents: DataFrame, words: DataFrame, total: int, n: int) -> DataFrame:
+def scan_pairs(tokens: DataFrame, words: DataFrame, total: int, n: int) -> DataFrame:
     """Cells of the distinct pairs of each block, with their training counts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,7 +247,7 @@ def scan_pairs(documents: DataFrame, words: DataFrame, total: int, n: int) -> Da
             out.append(("pairs", pdf["block"].iloc[0], b, blocks.join([blocks.pack(own.ids[first]), blocks.pack(own.counts[first]), blocks.pack(np.diff(np.r_[starts, z - a])), blocks.pack(own.ids[two]), blocks.pack(own.counts[two]), blocks.pack(counts[a:z])])))
         return rows_frame(out)
 
-    both = scan_tokens(documents, n).unionByName(words.where("kind = 'word'"))
+    both = tokens.unionByName(words.where("kind = 'word'"))
     return both.groupBy("block").applyInPandas(grouped(run), CELL)
 
 
@@ -343,47 +333,49 @@ def hand_out(words: DataFrame, weights: DataFrame) -> DataFrame:
         for kind, block, bucket, data in zip(pdf["kind"], pdf["block"], pdf["bucket"], pdf["data"], strict=True):
             if kind != "word":
                 continue
-            own = blocks.unpack(blocks.split(data)[1], np.int64)
+            own = blocks.unpack(blocks.split(data)[0], np.int64)
             at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
             hit = ids[at] == own if len(ids) else np.zeros(len(own), bool)
             a, m = np.ones(len(own)), np.zeros(len(own), np.int64)
             a[hit], m[hit] = alpha[at[hit]], more[at[hit]]
-            out.append(("alpha", block, bucket, blocks.join([blocks.pack(a.astype(np.float32)), blocks.pack(m)])))
+            out.append(("alpha", block, bucket, blocks.join([blocks.pack(a), blocks.pack(m)])))
         return rows_frame(out)
 
     return words.where("kind = 'word'").unionByName(weights.where("kind = 'alpha'")).groupBy("bucket").applyInPandas(grouped(run), CELL)
 
 
 class Fitted:
-    """The model's tables and totals."""
+    """The model's tables and totals, and the token sequences of the documents that it was fitted over."""
 
-    def __init__(self, words: DataFrame, pairs: DataFrame, weights: DataFrame, unigrams: Unigrams, d: np.ndarray, wide: dict, n: int):
-        self.words, self.pairs, self.weights, self.unigrams, self.d, self.wide, self.n = words, pairs, weights, unigrams, d, wide, n
+    def __init__(self, tokens: DataFrame, words: DataFrame, pairs: DataFrame, weights: DataFrame, unigrams: Unigrams, d: np.ndarray, wide: dict, n: int):
+        self.tokens, self.words, self.pairs, self.weights, self.unigrams, self.d, self.wide, self.n = tokens, words, pairs, weights, unigrams, d, wide, n
 
 
 def fit(documents: DataFrame) -> Fitted:
     """Count the training rows; the tables also answer for every block of ``documents``."""
     spark = ready(documents.sparkSession)
-    n = blocks.buckets(spark)
-    words = cut(count_words(scan_words(documents, n), n), "lm-words", ["kind"])
+    n = blocks.buckets(spark, documents)
+    scanned = cut(scan(documents, n), "lm-blocks", ["kind"])
+    tokens = scanned.where("kind = 'tokens'")
+    words = cut(count_words(scanned.where("kind = 'words'"), n), "lm-words", ["kind"])
+    drop(scanned, "kind=words")
     release(spark)
     counts, total, distinct = gathered(words)
     d = discounts(counts)
     mass = total - sum(counts[r] * r * (1 - d[r]) for r in range(1, K + 1))
     unigrams = Unigrams(counts, total, distinct, mass)
-    pairs = cut(count_pairs(scan_pairs(documents, words, total, n)), "lm-pairs", ["kind"])
+    pairs = cut(count_pairs(scan_pairs(tokens, words, total, n)), "lm-pairs", ["kind"])
     release(spark)
     d2 = discounts(gathered(pairs)[0])
     weights = cut(backoff(pairs, unigrams, d2, total, n), "lm-weights", ["kind"])
-    return Fitted(words, pairs, weights, unigrams, d2, spread(weights), n)
+    return Fitted(tokens, words, pairs, weights, unigrams, d2, spread(weights), n)
 
 
 RESULT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(documents: DataFrame, model: Fitted) -> DataFrame:
+def score(model: Fitted) -> DataFrame:
     """Scores of every row of the documents that the model was fitted over."""
-    ready(documents.sparkSession)
     packed = pickle.dumps((model.unigrams, model.d, model.wide))
     n = model.n
 
@@ -394,7 +386,7 @@ def score(documents: DataFrame, model: Fitted) -> DataFrame:
         parts = {kind: sorted((b, x) for k, b, x in zip(pdf["kind"], pdf["bucket"], pdf["data"], strict=True) if k == kind) for kind in ("pair", "alpha")}
         c = np.concatenate([blocks.unpack(x, np.int64) for _, x in parts["pair"]])
         alphas = [blocks.split(x) for _, x in parts["alpha"]]
-        alpha = np.concatenate([blocks.unpack(a, np.float32) for a, _ in alphas]).astype(np.float64)
+        alpha = np.concatenate([blocks.unpack(a, np.float64) for a, _ in alphas])
         more = np.concatenate([blocks.unpack(m, np.int64) for _, m in alphas])
         for k in np.flatnonzero(own.counts * n > words.total):
             alpha[k], more[k] = wide.get(int(own.ids[k]), (1.0, 0))
@@ -410,10 +402,10 @@ def score(documents: DataFrame, model: Fitted) -> DataFrame:
         })
 
     answers = model.words.where("kind = 'word'").unionByName(hand_out(model.words, model.weights)).unionByName(model.pairs.where("kind = 'pair'"))
-    return scan_tokens(documents, n).unionByName(answers).groupBy("block").applyInPandas(grouped(run), RESULT)
+    return model.tokens.unionByName(answers).groupBy("block").applyInPandas(grouped(run), RESULT)
 
 
 def score_corpus(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learnt from the rows that are not held out."""
-    scored = score(documents, fit(documents))
+    scored = score(fit(documents))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -368,7 +368,8 @@ def _remaining(families: DataFrame, labels: DataFrame, texts: DataFrame, n_bucke
 
     found = rows.repartition(n_buckets, "family", "chunk").sortWithinPartitions("family", "chunk", "node").mapInPandas(streaming(run), "a binary, b binary").distinct()
     out = cut(found, "links")
-    drop(named, bags)
+    drop(named)
+    drop(bags)
     return out
 
 
@@ -389,7 +390,8 @@ def group(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     for t in tables[1:]:
         pairs = pairs.unionByName(t)
     together = cut(pairs.where("a is not null").groupBy("a", "b").agg(F.max("strong").alias("strong")), "pairs")
-    drop(*tables)
+    for t in tables:
+        drop(t)
     tested = together.where("strong").select("a", "b")
     involved = members.select("node").distinct()
     texts = cut(documents.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(involved, "node", "left_semi").dropDuplicates(["node"]), "texts")
@@ -399,7 +401,10 @@ def group(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not more.isEmpty():
         drop(labels)
         labels = components(edges.select("a", "b").unionByName(more))
-    drop(members, texts, together, edges)
+    drop(members)
+    drop(texts)
+    drop(together)
+    drop(edges)
     return rows, nodes.select("node", "first", "copies").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "copies")
 
 

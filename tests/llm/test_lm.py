@@ -57,16 +57,59 @@ def corpus(g, n=120):
 
 @pytest.mark.parametrize("chars", [lm.BLOCK_CHARS, 700])
 def test_against_brute_force(spark, monkeypatch, chars):
-    from quern.llm.common import cut
-
     monkeypatch.setattr(lm, "BLOCK_CHARS", chars)
     rows = corpus(random.Random(2))
-    docs = cut(frame(spark, [(*r, 0) for r in rows], "doc_id long, text string, score int").repartition(3), "test-lm")
+    docs = frame(spark, [(*r, 0) for r in rows], "doc_id long, text string, score int").repartition(3)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm.score_corpus(docs).collect())
     want, _, _, _ = brute(rows)
     assert len(got) == len(want)
     for a, b in zip(got, want):
-        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and a[5] == pytest.approx(b[5], rel=1e-6)
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and a[5] == pytest.approx(b[5], rel=1e-9)
+
+
+def test_scans_may_be_split_otherwise_later(spark, tmp_path):
+    rows = corpus(random.Random(4))
+    frame(spark, rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    old = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        model = lm.fit(docs)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["score"]) for r in lm.score(model).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if old is None else spark.conf.set("spark.sql.files.minPartitionNum", old)
+    for a, b in zip(got, brute(rows)[0], strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[5], rel=1e-9)
+
+
+def test_written_tables_are_normalised(spark):
+    """After every history of the written tables, the probabilities of all known words and of the unknown event add up to 1."""
+    model = lm.fit(frame(spark, corpus(random.Random(2)), "doc_id long, text string"))
+    counts = {}
+    for r in model.words.where("kind = 'model'").collect():
+        words, own = lm.blocks.split(r["data"])
+        counts |= {k * model.n + r["bucket"]: c for k, c in enumerate(lm.blocks.unpack(own, lm.np.int64).tolist())}
+    p = {i: float(model.unigrams.p(lm.np.array([c]))[0]) for i, c in counts.items()}
+    assert sum(p.values()) + model.unigrams.unknown == pytest.approx(1, abs=1e-12)
+    seen, of = {}, {}
+    for r in model.pairs.where("kind = 'model'").collect():
+        one, of_one, runs, two, _, c = (lm.blocks.unpack(x, lm.np.int64).tolist() for x in lm.blocks.split(r["data"]))
+        at = 0
+        for h, n, k in zip(one, of_one, runs, strict=True):
+            of[h] = n
+            seen.setdefault(h, {}).update(zip(two[at : at + k], c[at : at + k], strict=True))
+            at += k
+    weights = dict(model.wide)
+    for r in model.weights.where("kind = 'alpha'").collect():
+        ids, alpha, more = lm.blocks.split(r["data"])
+        weights |= dict(zip(lm.blocks.unpack(ids, lm.np.int64).tolist(), zip(lm.blocks.unpack(alpha, lm.np.float64).tolist(), lm.blocks.unpack(more, lm.np.int64).tolist(), strict=True), strict=True))
+    assert set(weights) == set(seen) and model.wide
+    for h, after in seen.items():
+        alpha, more = weights[h]
+        total = sum(lm.discounted(lm.np.array(list(after.values())), model.d)) / (of[h] + more)
+        total += alpha * (sum(x for i, x in p.items() if i not in after) + model.unigrams.unknown)
+        assert total == pytest.approx(1, abs=1e-9)
 
 
 def test_probabilities_add_up():
