@@ -111,12 +111,16 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled training documents, spread by a hash of the id.
+#: Characters of the longest text that a training sample takes. With the bound on its rows, this bounds the sample's bytes.
+SAMPLE_CHARS = 32 << 10
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, most: int, longest: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, y) of at most ``most`` labelled training documents, spread by a hash of the id, of ``longest`` characters at most each.
 
     Only rows of ``labels`` outside the hold-out fold (crc32 modulo ``folds`` is not 0) are read; a
     document labelled more than once takes its larger label, null labels and ids are left out. The
-    sample holds ``most`` ids at most, so it may be broadcast.
+    ids are ``most`` at most, so they may be broadcast. Of several documents with one id, the text with the least hash stands for it.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != 0))
@@ -125,4 +129,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= longest)
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")

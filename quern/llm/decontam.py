@@ -8,7 +8,7 @@ words only cost points); the bounds lose no alignment. A match is a score of at
 The items are a query set: they travel to the documents in parts of at most PART_SEEDS seeds (their size is checked), and each part
 scans the documents anew. Nothing is shuffled.
 
-Nulls: null texts count as empty; items with a null id or fewer than three words match nothing. Null doc_ids are carried through.
+Nulls: null texts count as empty; items with a null id or without words match nothing. Items of one or two words match where they stand word for word. Null doc_ids are carried through.
 Repeated rows and repeated items give one result row each. Empty tables give an empty result. Other columns are ignored.
 """
 
@@ -45,13 +45,22 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.words = [], []
+        self.ids, self.words, short = [], [], []
         for i, text in items:
             words = words_of(text or "")
-            if i is not None and len(words) >= N:
+            if i is None or not words:
+                continue
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)
+            if len(words) >= N:
                 self.ids.append(i)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
+                self.words.append(numbers)
+            else:
+                short.append((i, numbers))
         self.base = len(self.vocabulary) + 1
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, numbers in short:
+            self.short[len(numbers)][int(self.codes(numbers, len(numbers))[0])].append(i)
+        self.short = {n: dict(codes) for n, codes in self.short.items()}
         seeds = [self.codes(w) for w in self.words]
         self.every = np.unique(np.concatenate(seeds)) if seeds else np.empty(0, np.int64)
         self.own, self.times = [], []
@@ -66,11 +75,26 @@ class Items:
             for c in np.unique(codes).tolist():
                 self.where[c].append(item)
 
-    def codes(self, numbers: np.ndarray) -> np.ndarray:
-        """The code of the N-gram at each place."""
-        out = numbers[: len(numbers) - N + 1].copy()
-        for k in range(1, N):
-            out = out * self.base + numbers[k : len(numbers) - N + 1 + k]
+    def __len__(self) -> int:
+        return len(self.words) + sum(len(ids) for codes in self.short.values() for ids in codes.values())
+
+    def codes(self, numbers: np.ndarray, n: int = N) -> np.ndarray:
+        """The code of the n-gram at each place."""
+        out = numbers[: len(numbers) - n + 1].copy()
+        for k in range(1, n):
+            out = out * self.base + numbers[k : len(numbers) - n + 1 + k]
+        return out
+
+    def verbatim(self, numbers: np.ndarray) -> list[tuple[int, float, int]]:
+        """(item id, 1.0, last word of its first place) of the items of fewer than N words that a text holds word for word."""
+        out = []
+        for n, codes in self.short.items():
+            if len(numbers) < n:
+                continue
+            known = np.all([numbers[k : len(numbers) - n + 1 + k] >= 0 for k in range(n)], axis=0)
+            places = np.flatnonzero(known)
+            found, first = np.unique(self.codes(numbers, n)[places], return_index=True)
+            out += [(i, 1.0, int(places[at]) + n) for c, at in zip(found.tolist(), first.tolist(), strict=True) for i in codes.get(c, ())]
         return out
 
     def hits(self, text: str) -> tuple[np.ndarray, list[int]]:
@@ -78,7 +102,7 @@ class Items:
         get = self.vocabulary.get
         words = WORD.findall(text.lower())
         numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        if len(numbers) < N:
+        if len(numbers) < N or not len(self.every):
             return numbers, []
         known = numbers >= 0
         at = known[: len(known) - N + 1].copy()
@@ -170,7 +194,7 @@ def matches(numbers: np.ndarray, shared: list[int], items: Items) -> list[tuple[
             share = score / (MATCH * len(words))
             if share >= THRESHOLD and share > best.get(item, (0.0, 0))[0]:
                 best[item] = (share, begin + stop)
-    return [(items.ids[i], s, e) for i, (s, e) in sorted(best.items())]
+    return [(items.ids[i], s, e) for i, (s, e) in sorted(best.items())] + items.verbatim(numbers)
 
 
 def parts(benchmark: DataFrame, most: int = PART_SEEDS) -> Iterator[list[tuple[int, str]]]:
@@ -194,7 +218,7 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = spark.createDataFrame([], schema)
     for k, part in enumerate(parts(benchmark)):
         items = Items(part)
-        if not len(items.every):
+        if not len(items):
             continue
 
         def run(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
@@ -216,7 +240,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = documents
     for part in parts(benchmark):
         items = Items(part)
-        if not len(items.every):
+        if not len(items):
             continue
 
         def run(batches, items: Items = items):

@@ -5,7 +5,7 @@ keeps its first occurrence, in the order of (doc_id, hash of the text, line); ev
 its three lines, and the union of the covered lines is removed. A line that is removed has an equal line earlier
 that stays. Windows of three blank lines do not count.
 
-Hot windows are counted with partial aggregates, and only repeated windows are joined back; that join's
+Windows are hashed once and written. Hot ones are counted with partial aggregates, and only repeated windows are joined back; that join's
 two sides are plain exchanges, so that adaptive execution can split a window that stands in very many
 texts. All steps are JVM-side.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, packed, unpacked
 
 WINDOW = 3
 
@@ -44,36 +44,35 @@ def windows(documents: DataFrame) -> DataFrame:
 
 def covered(documents: DataFrame) -> DataFrame:
     """doc, mark, starts: where later occurrences of repeated windows begin in each document."""
-    found = windows(documents)
+    found = cut(windows(documents), "windows")
     place = F.struct("doc", "mark", "at")
-    repeated = cut(found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows")
+    repeated = found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = found.join(repeated, ["k1", "k2"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc", "mark").agg(F.collect_set("at").alias("starts"))
 
 
 def dedup(documents: DataFrame) -> DataFrame:
-    """``documents`` with the covered lines removed from ``text``, and ``_n_lines``, ``_n_removed``."""
-    own = documents.columns
-    starts = covered(documents).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts"))
-    rows = documents.withColumn("_key", F.xxhash64("text"))
-    joined = rows.join(starts, (rows["_key"] == starts["_mark"]) & rows["doc_id"].eqNullSafe(starts["_doc"]), "left")
-    lines = joined.withColumn("_lines", lines_of(F.col("text")))
-    out = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))
-    lines = lines.withColumn("_out", F.when(F.col("_starts").isNull(), F.lit(None)).otherwise(out))
-    kept = F.transform(F.array_except(F.expr("sequence(0, size(_lines) - 1)"), F.col("_out")), lambda i: F.get(F.col("_lines"), i))
-    text = F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    """row (the caller's columns), text without the covered lines, n_lines, n_removed."""
+    rows = packed(documents).withColumn("key", F.xxhash64("row.text"))
+    starts = covered(documents)
+    joined = rows.join(starts, (F.col("key") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc")), "left")
+    lines = joined.select("row", "starts", lines_of(F.col("row.text")).alias("lines"))
+    out = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))
+    lines = lines.withColumn("out", F.when(F.col("starts").isNull(), F.lit(None)).otherwise(out))
+    kept = F.transform(F.array_except(F.expr("sequence(0, size(lines) - 1)"), F.col("out")), lambda i: F.get(F.col("lines"), i))
+    text = F.when(F.col("out").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return lines.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in own], count("_lines").alias("_n_lines"), count("_out").alias("_n_removed"))
+    return lines.select("row", text.alias("text"), count("lines").alias("n_lines"), count("out").alias("n_removed"))
 
 
 def clean(documents: DataFrame) -> DataFrame:
     """``documents``, same columns, without repeated three-line passages."""
-    return dedup(documents).drop("_n_lines", "_n_removed")
+    return unpacked(dedup(documents), documents, text=F.col("text"))
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text."""
-    return dedup(documents.select("doc_id", "text")).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return dedup(documents.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_removed", "text")
 
 
 #: The same in SQL, over whole lines instead of hashes.

@@ -13,7 +13,6 @@ order of their texts' hash. An empty table gives no segment and an empty result.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +24,11 @@ from pyspark.sql import functions as F
 
 from quern.llm import blocks
 from quern.llm.ans import pack_segment, unpack_segment
-from quern.llm.bpe import PATTERN, SETTLED, Words, piece_table
+from quern.llm.bpe import Words
 from quern.llm.common import cut, ready, streaming
 
+#: An encoder forgets its words' ids beyond so many.
+KNOWN = 300_000
 #: A segment (one frequency table) is closed at the first document end after so many ids.
 SEGMENT_IDS = 2 << 20
 
@@ -35,43 +36,20 @@ SCHEMA = "range int, segment int, first long, n_ids long, doc_ids binary, length
 
 
 class Encoder:
-    """Whole texts to ids, the same as the tokenizers library's.
-
-    The vocabulary of the tokenizer's file is handed to tiktoken, whose merging is several times faster. Texts with characters that
-    Unicode versions class differently go to the tokenizers library itself, special tokens are cut out first, and each
-    batch's first text is encoded by both, which must agree.
-    """
+    """Whole texts to ids by the tokenizers library: a text's ids are those of its words in order, and each word is encoded once for as long as it is remembered."""
 
     def __init__(self, content: str):
-        import tiktoken
-
-        self.words = Words(content)
-        ranks = {piece: i for i, piece in enumerate(piece_table(content)) if piece}
-        special = {t["content"]: t["id"] for t in json.loads(content).get("added_tokens", [])}
-        for name in special:
-            ranks.pop(name.encode(), None)
-        self.special = special
-        self.fast = tiktoken.Encoding("words", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def one(self, text: str) -> np.ndarray:
-        if not SETTLED.fullmatch(text):
-            return self.library(text)
-        if self.words.special and self.words.special.search(text):
-            parts = self.words.special.split(text)
-            return np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else self.plain(p) for k, p in enumerate(parts)])
-        return self.plain(text)
-
-    def plain(self, text: str) -> np.ndarray:
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
-
-    def library(self, text: str) -> np.ndarray:
-        return np.array(self.words.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.words, self.known = Words(content), {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out = [self.one(t) for t in texts]
-        if texts and not np.array_equal(out[0], self.library(texts[0])):
-            raise RuntimeError("the two encoders disagree")
-        return out
+        parts = [self.words.split(t) for t in texts]
+        new = set().union(*parts) - self.known.keys()
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = set().union(*parts)
+        new = sorted(new)
+        self.known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in self.words.encode(new)), strict=True))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.uint32) for p in parts]
 
 
 ENCODERS: dict[int, Encoder] = {}

@@ -138,8 +138,8 @@ def build_index(documents: DataFrame, wanted: set[int] | None = None) -> DataFra
     return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(streaming(run), "segment string, trigram int, doc_ids array<long>")
 
 
-def search(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """kind, doc_id: candidates of the rules that have mandatory trigrams, from a kept index."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """kind, doc_id: what the kept postings leave of the rules that have mandatory trigrams."""
     queries = {r.kind: q for r in rules if (q := trigrams.query(r.pattern)) != trigrams.ALL}
     named = sorted(set().union(*map(trigrams.named, queries.values())))
 
@@ -151,6 +151,36 @@ def search(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return index.where(F.col("trigram").isin(named)).groupBy("segment").applyInPandas(evaluate, "kind string, doc_id long").distinct()
 
 
+def search(index: DataFrame, documents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, spans (as in ``scan``) of the documents in which a rule matches, by the kept index of the same documents.
+
+    A rule with mandatory trigrams is tried on its candidates only, a rule without any on every text. Rows of one id are all tried; rows
+    without an id are in no index and tried with every rule.
+    """
+    ready(documents.sparkSession)
+    everywhere = {r.kind for r in rules if trigrams.query(r.pattern) == trigrams.ALL}
+    own = candidates(index, rules).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(own, "doc_id", "left" if everywhere else "inner").where("doc_id is not null")
+    if not everywhere:
+        rows = rows.where("kinds is not null")
+    loose = documents.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.array(*[F.lit(r.kind) for r in rules]).alias("kinds"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [r.compiled() for r in rules]
+        for batch in batches:
+            ids, spans = [], []
+            for i, text, kinds in zip(batch["doc_id"], batch["text"], batch["kinds"], strict=True):
+                tried = everywhere | set(kinds if kinds is not None else ())
+                found = sorted((s, k, e) for k, (r, c) in enumerate(zip(rules, compiled, strict=True)) if r.kind in tried for s, e in r.spans(text, c))
+                if found:
+                    ids.append(None if pd.isna(i) else int(i))
+                    spans.append([{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in found])
+            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "spans": pd.Series(spans, dtype=object)})
+
+    return rows.unionByName(loose).mapInPandas(streaming(run), "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+
+
 def digest(found: DataFrame, base: tuple[str, ...] = tuple(r.kind for r in BASE)) -> DataFrame:
     """Per document: spans of each base kind, the sha-256 of the base spans' text, and all spans as text."""
     def text(spans):

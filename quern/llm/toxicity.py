@@ -114,29 +114,38 @@ def train(bags: list[list[list[str]]], y: np.ndarray, most: int = FEATURES, epoc
 
     names = sorted((f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= 4), key=lambda f: (-telling(f), f))[:most]
     number = {f: i for i, f in enumerate(names)}
-    of_word: dict[str, list[int]] = {}
+    of_word: dict[str, int] = {}  # words that have a feature; -1 for others
+    known = 0
+    feature, feature_word = array("i"), array("i")
     flat, sentence_of, doc_of = array("i"), array("i"), array("i")
     for d, bag in enumerate(bags):
         for words in bag:
             s = len(doc_of)
             doc_of.append(d)
             for w in words:
-                ids = of_word.get(w)
-                if ids is None:
-                    ids = of_word[w] = [number[f] for f in parts(w) if f in number]
-                flat.extend(ids)
-                sentence_of.extend([s] * len(ids))
-    flat, sentence_of, doc_of = (np.frombuffer(a, np.int32) if len(a) else np.empty(0, np.int32) for a in (flat, sentence_of, doc_of))
+                k = of_word.get(w)
+                if k is None:
+                    own = [number[f] for f in parts(w) if f in number]
+                    k = of_word[w] = known if own else -1
+                    known += bool(own)
+                    feature.extend(own)
+                    feature_word.extend([k] * len(own))
+                if k >= 0:
+                    flat.append(k)
+                    sentence_of.append(s)
+    flat, sentence_of, doc_of, feature, feature_word = (np.frombuffer(a, np.int32) if len(a) else np.empty(0, np.int32) for a in (flat, sentence_of, doc_of, feature, feature_word))
     w, b = np.zeros(len(names)), -4.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, epochs + 1):
-        z = np.clip(b + np.bincount(sentence_of, w[flat], len(doc_of)), -30, 30)
+        of_words = np.bincount(feature_word, w[feature], known)
+        z = np.clip(b + np.bincount(sentence_of, of_words[flat], len(doc_of)), -30, 30)
         p = 1 / (1 + np.exp(-z))
         none = np.exp(-np.bincount(doc_of, np.logaddexp(0, z), len(y)))  # prod(1 - p)
         both = np.clip(1 - none, 1e-9, 1)
         # d log-likelihood / d z(s): for a clean document -p(s); for a toxic one p(s) * none / (1 - none)
         up = np.where(y == 1, none / both, -1.0)[doc_of] * p
-        g = np.r_[np.bincount(flat, up[sentence_of], len(names)), up.sum()] / len(y) - ridge * np.r_[w, 0]
+        by_word = np.bincount(flat, up[sentence_of], known)
+        g = np.r_[np.bincount(feature, by_word[feature_word], len(names)), up.sum()] / len(y) - ridge * np.r_[w, 0]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * min(1.0, 2 * (1 - step / (epochs + 1)))
         w, b = w + move[:-1], b + move[-1]

@@ -30,7 +30,7 @@ def test_alignment():
 
 
 def setup(g):
-    items = [(i, prose(g, g.randint(12, 40))) for i in range(12)] + [(50, "the"), (51, ""), (52, None), (None, prose(g, 20))]
+    items = [(i, prose(g, g.randint(12, 40))) for i in range(12)] + [(50, "the"), (51, ""), (53, "Zeta!"), (54, "zeta, theta"), (55, "theta zeta"), (52, None), (None, prose(g, 20))]
     docs = [(i, prose(g, 150)) for i in range(40)]
     for k in range(12):
         w = items[k][1].split()
@@ -40,7 +40,7 @@ def setup(g):
             del w[len(w) // 2]
         head, tail = prose(g, 60), prose(g, 70)
         docs.append((100 + k, f"{head} {' '.join(w).upper()}, {tail}"))
-    return items, [*docs, (200, items[0][1]), (201, items[0][1]), (202, ""), (203, None), (None, items[1][1]), (204, prose(g, 20000))]
+    return items, [*docs, (200, items[0][1]), (201, items[0][1]), (202, ""), (203, None), (None, items[1][1]), (204, prose(g, 20000)), (205, "one zeta"), (206, "zeta theta " + prose(g, 50)), (207, "zeta"), (208, "zeta one theta")]
 
 
 def brute(docs, items):
@@ -48,6 +48,8 @@ def brute(docs, items):
     for d, t in docs:
         for i, q in items:
             a, b = dc.words_of(t or ""), dc.words_of(q or "")
+            if i is not None and 0 < len(b) < dc.N and any(a[k : k + len(b)] == b for k in range(len(a))):
+                out.add((d, i))
             if i is not None and len(b) >= dc.N and len(a) < 5000 and slow_align(a, b) >= dc.THRESHOLD * dc.MATCH * len(b):
                 out.add((d, i))
     return out
@@ -57,7 +59,7 @@ def test_against_brute_force(spark, monkeypatch):
     items, docs = setup(random.Random(3))
     d, b = frame(spark, [(*r, 0) for r in docs], "doc_id long, text string, item_id int").repartition(3), frame(spark, items, "item_id long, text string")
     want = brute(docs, items)
-    assert {(100 + k, k) for k in range(12)} <= want
+    assert {(100 + k, k) for k in range(12)} | {(205, 53), (206, 54), (207, 53)} <= want
     for most in (dc.PART_SEEDS, 60):
         monkeypatch.setattr(dc.parts, "__defaults__", (most,))
         assert {(r["doc_id"], r["item_id"]) for r in dc.find(d, b).collect()} == want
@@ -109,6 +111,12 @@ def test_bounds_lose_no_alignment():
         assert [(i, s) for i, s, _ in dc.matches(numbers, shared, items)] == ([(1, best)] if shared and best >= dc.THRESHOLD else [])
 
 
+def test_short_items_alone(spark):
+    docs, items = frame(spark, [(1, "a b a b"), (2, "b a"), (3, None)], "doc_id long, text string"), frame(spark, [(1, "A b"), (2, "c")], "item_id long, text string")
+    assert [tuple(r) for r in dc.find(docs, items).collect()] == [(1, 1, 1.0, 2)]
+    assert sorted(r["doc_id"] for r in dc.clean(docs, items).collect()) == [2, 3]
+
+
 def test_empty(spark):
     docs, none = frame(spark, [(1, "a b c")], "doc_id long, text string"), frame(spark, [], "item_id long, text string")
     assert dc.find(docs, none).count() == 0 and dc.clean(docs, none).count() == 1

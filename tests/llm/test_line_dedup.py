@@ -46,3 +46,11 @@ def test_sql(spark):
     want = sorted(con.sql(line_dedup.SQL).fetchall())
     got = sorted(map(tuple, line_dedup.report(spark.read.parquet(f"{SF}/documents.parquet")).collect()))
     assert got == want and any(r[2] for r in want)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = "row key lines starts out doc mark at _key _lines _starts _out _n_lines n_lines".split()
+    rows = [(i, "a\nb\nc\nd", *[f"{n}{i}" for n in names]) for i in (1, 2)]
+    docs = frame(spark, rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = line_dedup.clean(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], (2, "", *rows[1][2:])]

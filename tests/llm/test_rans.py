@@ -57,7 +57,14 @@ def test_size_is_near_the_entropy():
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="ab'sdl 1\n\t!<|>endoftx²éß \x85\x1c͸՘", max_size=60), st.sampled_from(["a<|endoftext|>b", "<|endoftext|>", ""])))
 def test_ids_are_the_librarys(text):
-    assert ENCODER.one(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert ENCODER([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_an_encoder_forgets_and_encodes_again(monkeypatch):
+    monkeypatch.setattr(rans, "KNOWN", 5)
+    encoder = rans.Encoder(CONTENT)
+    for texts in (["a b c d"], ["e f g a b", "", "h <|endoftext|> i j k l m"], ["a b c d", "e f"]):
+        assert [x.tolist() for x in encoder(texts)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_files(spark, monkeypatch):
