@@ -6,10 +6,11 @@ soon after an edit, so the edit distance of the texts shows in the Hamming dista
 keeps the written characters (8 hash bits each) at shared random steps. Steps are sampled at nested rates: a text takes the
 rate that leaves MOST / 2 to MOST of them, and two fingerprints are compared at the sparser rate of the two.
 
-``near_duplicates`` samples bits of the fingerprints into bands, joins on equal bands and verifies candidates by their edit distance.
+``near_classes`` samples symbols of the fingerprints into bands over their whole length, spans each band's group with a tree over the
+fingerprints' likeness, and verifies its edges by their edit distance.
 
 The walk is run in lockstep for a whole block of documents with numpy, in one step for each character: how
-long the walk stays on a character is looked up by (character class, step).
+long the walk stays on a character is looked up by (character class, step). Where only a few long texts are left, they walk one by one.
 
 Nulls: a null text counts as empty; empty texts have an empty fingerprint and are alike. Null doc_ids come first in the order of
 documents. Rows of one id follow each other by the hash of their text. A single row is its own next document. An empty table gives an empty
@@ -24,11 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import blocks
+from quern.llm import blocks, minhash
 from quern.llm.common import cut, ready, streaming
 
 #: Sampled steps of a fingerprint, at most about so many.
@@ -38,7 +40,14 @@ CLASSES, PERIOD = 64, 4096
 SEED = 20240229
 #: Characters of texts that walk in lockstep.
 LOCKSTEP = 8 << 20
-BANDS, BAND_STEPS, READ = 24, 6, 96
+#: So few texts walk one by one.
+ALONE = 24
+#: Bands of BAND_STEPS symbols each are drawn from the first multiple of RANGE symbols, for the two largest multiples that a fingerprint has.
+BANDS, BAND_STEPS, RANGE = 20, 6, 32
+#: Near-duplicates: an edit distance of at most this share of the longer text.
+NEAR = 0.02
+#: Likeness from which a pair of one band group is verified.
+ALIKE = 0.3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,35 +71,65 @@ def stays() -> np.ndarray:
 
 @lru_cache(64)
 def steps(level: int) -> np.ndarray:
-    """The sampled steps at a rate of 2**-level, as far as texts of that rate reach."""
-    q = np.arange(2 * MOST << level, dtype=np.int64)
-    return q[(mix(q + (1 << 40)) & np.uint64((1 << level) - 1)) == 0]
+    """The sampled steps at a rate of 2**-level, as far as texts of that rate reach; drawn in runs, so that memory follows their number."""
+    end, run = 2 * MOST << level, 1 << 20
+    out = []
+    for at in range(0, end, run):
+        q = np.arange(at, min(at + run, end), dtype=np.int64)
+        out.append(q[(mix(q + (1 << 40)) & np.uint64((1 << level) - 1)) == 0])
+    return np.concatenate(out)
+
+
+def _alone(first: np.ndarray, turned: np.ndarray, j: int, run: int = 1 << 18) -> int:
+    """The walk of one text from step ``j`` on: ``first`` is filled in, the step after its end returned."""
+    table, mask = _stays_list(), PERIOD - 1
+    for at in range(0, len(turned), run):
+        out = []
+        for c in turned[at : at + run].tolist():
+            out.append(j)
+            j += table[c + (j & mask)]
+        first[at : at + len(out)] = out
+    return j
+
+
+@lru_cache(1)
+def _stays_list() -> list[int]:
+    return stays().tolist()
 
 
 def walk(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of each text -> (first step of each character, all texts one after another; steps of each text)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(lengths) - lengths
+    total = np.zeros(len(texts), np.int64)
     if not lengths.sum():
-        return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    active = len(texts) - np.searchsorted(np.sort(lengths), np.arange(lengths.max()), side="right")  # texts longer than i
-    begin = np.cumsum(active) - active
+        return np.empty(0, np.int64), total
     flat = np.concatenate(texts)
-    starts = np.cumsum(lengths) - lengths
-    at = np.arange(len(flat)) - np.repeat(starts, lengths)
-    place = begin[at] + np.repeat(rank, lengths)
-    turned = np.empty(len(flat), np.int32)
-    turned[place] = (flat * np.uint32(2654435761) >> np.uint32(26)).astype(np.int32) * PERIOD
-    table, j = stays(), np.zeros(len(texts), np.int32)
-    first = np.empty(len(flat), np.int32)
-    mask = np.int32(PERIOD - 1)
-    for b, n in zip(begin.tolist(), active.tolist(), strict=True):
-        here = j[:n]
-        first[b : b + n] = here
-        here += table[turned[b : b + n] + (here & mask)]
-    return first[place], j[rank].astype(np.int64)
+    turned = (flat * np.uint32(2654435761) >> np.uint32(26)).astype(np.int32) * PERIOD
+    first = np.empty(len(flat), np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    together = int(np.sort(lengths)[-ALONE - 1]) if len(lengths) > ALONE else 0  # as far as more than ALONE texts reach
+    own = np.minimum(lengths, together)
+    if together:
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        active = len(texts) - np.searchsorted(np.sort(own), np.arange(together), side="right")  # texts longer than i
+        begin = np.cumsum(active) - active
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        source, place = np.repeat(starts, own) + at, begin[at] + np.repeat(rank, own)
+        dealt, steps_of = np.empty(len(at), np.int32), np.empty(len(at), np.int32)
+        dealt[place] = turned[source]
+        table, mask, j = stays(), np.int32(PERIOD - 1), np.zeros(len(texts), np.int32)
+        for b, n in zip(begin.tolist(), active.tolist(), strict=True):
+            here = j[:n]
+            steps_of[b : b + n] = here
+            here += table[dealt[b : b + n] + (here & mask)]
+        first[source] = steps_of[place]
+        total = j[rank].astype(np.int64)
+    for k in np.flatnonzero(lengths > together).tolist():
+        a, z = int(starts[k] + together), int(starts[k] + lengths[k])
+        total[k] = _alone(first[a:z], turned[a:z], int(total[k]))
+    return first, total
 
 
 def fingerprints(texts: list[str]) -> list[str]:
@@ -215,75 +254,105 @@ def chain(documents: DataFrame) -> DataFrame:
     return found.where("kind is null").drop("part", "kind", "text").unionByName(lasts.mapInPandas(streaming(ends), RESULT))
 
 
-@lru_cache(64)
-def band_steps(level: int) -> np.ndarray:
-    """[band, place] -> which of the level's first READ sampled steps a band reads."""
-    g = np.random.default_rng((SEED, level))
-    return np.stack([np.sort(g.choice(READ, BAND_STEPS, replace=False)) for _ in range(BANDS)])
+@lru_cache(256)
+def band_steps(reach: int) -> np.ndarray:
+    """[band, place] -> which of the first ``reach`` sampled steps a band reads."""
+    g = np.random.default_rng((SEED, reach))
+    return np.stack([np.sort(g.choice(reach, BAND_STEPS, replace=False)) for _ in range(BANDS)])
+
 
+def bands(fingerprint: str) -> tuple[list[tuple[int, int]], list[bytes]]:
+    """((key, variant) of each band; the symbols that each variant's bands are drawn from).
 
-def bands(fingerprint: str) -> list[tuple[int, int, bytes]]:
-    """(level, band, sampled symbols) at the text's own rate and at the next sparser one; short texts give their whole fingerprint."""
+    Variants are the text's own rate and the next sparser one, each with the two largest reaches, since near texts may be on either side of a
+    border. A variant with fewer symbols than RANGE is one band of all of them.
+    """
     own = int(fingerprint.split(":")[0])
-    out = []
+    keys, read = [], []
     for level in (own, own + 1):
         s = symbols(fingerprint, level)
-        if len(s) < READ:
-            out.append((level, -1, s.tobytes()))
-        else:
-            out += [(level, b, s[places].tobytes()) for b, places in enumerate(band_steps(level))]
-    return out
+        most = len(s) // RANGE * RANGE
+        for reach in [r for r in (most, most - RANGE) if r >= RANGE] or [len(s)]:
+            head = s[:reach].tobytes()
+            places = band_steps(reach) if reach >= RANGE else [np.arange(reach)]
+            keys += [(xxhash.xxh64_intdigest(head if reach < RANGE else s[p].tobytes(), seed=(level << 20) + (reach << 8) + b) - (1 << 63), len(read)) for b, p in enumerate(places)]
+            read.append(head)
+    return keys, read
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or ``most`` + 1 if it is more: rows of the table in a band around the diagonal, with numpy."""
+    """Levenshtein distance, or ``most`` + 1 if it is more.
+
+    Bit-parallel (Myers 1999): a column of the table is a few integers of len(a) bits, so a pair takes len(a) * len(b) / 64 steps of a machine
+    word, and memory in proportion to its texts.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    far = np.int64(len(a) + len(b) + 1)
-    row = np.arange(len(y) + 1, dtype=np.int64)
-    row[most + 1 :] = far
-    for i in range(1, len(x) + 1):
-        lo, hi = max(1, i - most), min(len(y), i + most)
-        new = np.full(len(y) + 1, far)
-        if i <= most:
-            new[0] = i
-        best = np.minimum(row[lo - 1 : hi] + (y[lo - 1 : hi] != x[i - 1]), row[lo : hi + 1] + 1)
-        best = np.concatenate(([new[lo - 1]], best))
-        ramp = np.arange(len(best))
-        new[lo - 1 : hi + 1] = np.minimum.accumulate(best - ramp) + ramp  # insertions
-        row = new
-        if row[lo - 1 : hi + 1].min() > most:
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in sorted((a, b), key=len))
+    n = len(x)
+    ahead = int(np.argmin(np.r_[x == y[:n], False]))  # equal beginnings and ends do not count
+    x, y = x[ahead:], y[ahead:]
+    behind = int(np.argmin(np.r_[x[::-1] == y[::-1][: len(x)], False]))
+    x, y = x[: len(x) - behind], y[: len(y) - behind]
+    if not len(x):
+        return min(len(y), most + 1)
+    held = {c: int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x).tolist()}
+    full, high = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, score, left = full, 0, len(x), len(y)
+    for c in y.tolist():
+        eq = held.get(c, 0)
+        left -= 1
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more = down | (full & ~(h | up))
+        less = up & h
+        if more & high:
+            score += 1
+        elif less & high:
+            score -= 1
+        if score - left > most:
             return most + 1
-    return int(min(row[-1], most + 1))
+        more = (more << 1 | 1) & full
+        up = (less << 1 & full) | (full & ~(v | more))
+        down = more & v
+    return min(score, most + 1)
 
 
-def near_duplicates(documents: DataFrame, most: float = 0.1) -> DataFrame:
-    """doc_id, match_id (the smaller id), distance: verified pairs of documents that share a band.
+def near_classes(documents: DataFrame, most: float = NEAR) -> DataFrame:
+    """doc_id, class_id of every row: the least doc_id among the documents that chains of verified pairs link it with.
 
-    Pairs are not expanded within a band's group: every document meets one pivot of each of its bands, so a group of n
-    documents gives n - 1 candidates. Each group draws its pivot by a hash of (band, id), so near documents meet many different
-    ones. Verified: an edit distance of at most ``most`` of the longer text. Null ids are left out.
+    Verified: an edit distance of at most ``most`` of the longer text. Texts that share a band are compared by the likeness of their
+    fingerprints in memory, CHUNK at a time, and each group of a band gives the edges of a spanning tree, so no group yields all of its pairs. A
+    pair is lost where no band holds it or where every tree that holds both ends leads over an edge that is not verified. Exact
+    copies are one text throughout. Null ids are kept and come first.
     """
-    ready(documents.sparkSession)
-    rows = blocks.text_rows(documents).where("doc_id is not null").dropDuplicates(["doc_id"])
+    spark = ready(documents.sparkSession)
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, level, b, s) for i, f in zip(batch["doc_id"], fingerprints(batch["text"].tolist()), strict=True) for level, b, s in bands(f)]
-            yield pd.DataFrame(out, columns=["doc_id", "level", "band", "key"])
-
-    keys = cut(rows.mapInPandas(streaming(banded), "doc_id long, level int, band int, key binary"), "bands")
-    pivots = keys.groupBy("level", "band", "key").agg(F.min_by("doc_id", F.xxhash64("band", "doc_id")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = keys.join(pivots, ["level", "band", "key"]).where("pivot <> doc_id")
-    pairs = met.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("match_id")).distinct()
-    left = pairs.join(rows, "doc_id")
-    both = left.join(rows.select(F.col("doc_id").alias("match_id"), F.col("text").alias("other")), "match_id")
+            found = [bands(f) for f in fingerprints(batch["text"].tolist())]
+            yield pd.DataFrame({"node": batch["node"], "keys": [[{"key": k, "variant": v} for k, v in keys] for keys, _ in found], "read": [r for _, r in found]})
+
+    rows = blocks.text_rows(documents).withColumn("node", minhash.node_of(F.col("text")))
+    texts = cut(rows.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    nodes = cut(texts.where("text <> ''").mapInPandas(streaming(banded), "node binary, keys array<struct<key: long, variant: int>>, read array<binary>"), "bands")
+    exploded = nodes.select("node", F.explode("keys").alias("k")).select("node", "k.key", "k.variant")
+    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = exploded.join(shared, "key").join(nodes.select("node", "read"), "node").select("key", "n", "node", F.expr("read[variant]").alias("sig"))
+    tables = minhash.spanning(members, blocks.buckets(spark), ALIKE)
+    pairs = tables[0]
+    for t in tables[1:]:
+        pairs = pairs.unionByName(t)
+    pairs = pairs.where("strong").select("a", "b").distinct()
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            allowed = [int(most * max(len(a), len(b))) for a, b in zip(batch["text"], batch["other"], strict=True)]
-            found = [edit_distance(a, b, k) for a, b, k in zip(batch["text"], batch["other"], allowed, strict=True)]
-            yield batch[["doc_id", "match_id"]].assign(distance=found)[[d <= k for d, k in zip(found, allowed, strict=True)]]
+            allowed = [int(most * max(len(a), len(b))) for a, b in zip(batch["ta"], batch["tb"], strict=True)]
+            near = [edit_distance(a, b, k) <= k for a, b, k in zip(batch["ta"], batch["tb"], allowed, strict=True)]
+            yield batch[["a", "b"]][near]
 
-    return both.mapInPandas(streaming(verify), "doc_id long, match_id long, distance long")
+    labels = minhash.components(cut(both.mapInPandas(streaming(verify), "a binary, b binary"), "near"))
+    owned = cut(rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")), "rows")
+    return owned.join(owned.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.max(F.col("doc_id").isNull()).alias("no_id")), "label").select("doc_id", F.when(~F.col("no_id"), F.col("class_id")).alias("class_id"))

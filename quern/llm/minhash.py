@@ -147,14 +147,15 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / a.shape[1] - 1 / 256) / (1 - 1 / 256)
 
 
-def tree(sim: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """A maximum spanning tree: its edges that reach CANDIDATE, and the weaker ones, which hold its parts together."""
+def tree(sim: np.ndarray, least: float | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """A maximum spanning tree: its edges that reach ``least`` (CANDIDATE), and the weaker ones, which hold its parts together."""
+    least = CANDIDATE if least is None else least
     best, to, inside = sim[0].copy(), np.zeros(len(sim), np.int64), np.zeros(len(sim), bool)
     inside[0] = True
     strong, weak = [], []
     for _ in range(len(sim) - 1):
         i = int(np.argmax(np.where(inside, -np.inf, best)))
-        (strong if best[i] >= CANDIDATE else weak).append((int(to[i]), i))
+        (strong if best[i] >= least else weak).append((int(to[i]), i))
         inside[i] = True
         closer = ~inside & (sim[i] > best)
         best[closer], to[closer] = sim[i][closer], i
@@ -183,7 +184,7 @@ def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFram
 
 
 def _matrix(sigs) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
 
 
 def node_of(text):
@@ -201,8 +202,8 @@ def sign(documents: DataFrame) -> DataFrame:
     return blocks.text_rows(documents).withColumn("node", node_of(F.col("text"))).mapInPandas(streaming(run), "doc_id long, node binary, keys array<long>, sig binary")
 
 
-def _spanning(members: DataFrame, n_buckets: int) -> list[DataFrame]:
-    """Edges (a, b, strong) of buckets (key, n, node, sig); all tables written on the way.
+def spanning(members: DataFrame, n_buckets: int, least: float | None = None) -> list[DataFrame]:
+    """Edges (a, b, strong) of buckets (key, n, node, sig); all tables written on the way. Signatures of one bucket are equally long.
 
     A bucket of CHUNK texts or fewer gives the strong edges of its spanning tree. A larger one is dealt into chunks by the node's
     and the bucket's hash, whose most central texts meet again; its weak edges are kept too, so that all of its texts are of one family, and
@@ -217,7 +218,7 @@ def _spanning(members: DataFrame, n_buckets: int) -> list[DataFrame]:
                 out.append((None, None, None, *sorted(nodes), True))
             else:
                 sim = estimates(m := _matrix(sigs), m) if len(nodes) > 1 else np.ones((1, 1))
-                strong, weak = tree(sim)
+                strong, weak = tree(sim, least)
                 out += [(None, None, None, *sorted((nodes[a], nodes[b])), True) for a, b in strong]
                 out += [(None, None, None, *sorted((nodes[a], nodes[b])), False) for a, b in weak if split]
                 if group["chunks"].iloc[0] > 1:  # the most central text goes on to the next level
@@ -385,7 +386,7 @@ def group(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(exploded.join(shared, "key"), "members")
     sigs = nodes.select("node", "sig")
-    tables = _spanning(members.join(sigs, "node"), n_buckets)
+    tables = spanning(members.join(sigs, "node"), n_buckets)
     pairs = tables[0]
     for t in tables[1:]:
         pairs = pairs.unionByName(t)

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from quern.llm import fingerprints as fp
-from tests.conftest import frame
+from tests.conftest import SF, frame
 
 WORDS = "the of and lorem ipsum dolor sit amet élan straße consectetur adipiscing sed do".split()
 
@@ -90,9 +90,74 @@ def test_edit_distance():
         assert fp.edit_distance(a, b, k) == min(slow_distance(a, b), k + 1)
 
 
-def test_near_duplicates(spark):
+def test_edit_distance_of_long_texts():
+    a = text(1, 3000)
+    b = a[:5000] + "xyz" + a[5001:9000] + a[9050:]
+    assert fp.edit_distance(a, b, 100) == fp.edit_distance(b, a, 100) == 53
+    assert fp.edit_distance(a, b, 52) == 53 and fp.edit_distance(a, a, 0) == 0 and fp.edit_distance("", "ab", 5) == 2
+
+
+def test_long_texts_walk_alone(monkeypatch):
+    texts = [text(i, n) for i, n in enumerate((3, 700, 1, 2000, 40, 40, 900))] + [""]
+    want = [slow_fingerprint(t) for t in texts]
+    for alone in (0, 1, 2, 3, 5, 100):
+        monkeypatch.setattr(fp, "ALONE", alone)
+        assert fp.fingerprints(texts) == want
+
+
+def test_a_very_long_text():
+    import time
+
+    t = text(5, 3000) * 70
+    began = time.time()
+    f = fp.fingerprints([t, t[: len(t) // 2] + "x" + t[len(t) // 2 :]])
+    assert len(t) > 1_000_000 and time.time() - began < 10 and fp.likeness(*f) > 0.5
+
+
+def brute_classes(rows, most):
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            k = int(most * max(len(a or ""), len(b or "")))
+            if (a or "") == (b or "") or a and b and fp.edit_distance(a, b, k) <= k:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(find(i), []).append(d)
+    return {d: None if None in least[find(i)] else min(least[find(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def test_near_classes(spark, monkeypatch):
+    from quern.llm import minhash
+
     rows = [(i, text(i, 150)) for i in range(20)]
-    rows += [(100 + i, t[:300] + "!" + t[301:600] + t[602:]) for i, t in rows[:10]] + [(300, rows[0][1]), (301, ""), (302, None), (None, "x")]
-    got = {(r["doc_id"], r["match_id"]) for r in fp.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()}
-    assert {(300, 0), (302, 301)} <= got and len({(100 + i, i) for i in range(10)} & got) >= 9
-    assert all(b in (a - 100, a - 200, 0, 301) for a, b in got)
+    rows += [(100 + i, t[:300] + "!" + t[301:600] + t[602:]) for i, t in rows[:10]] + [(300, rows[0][1]), (301, ""), (302, None), (None, "x"), (303, "x"), (304, "y")]
+    head = text(99, 120)  # a hot group: texts that share most of their beginning, and pairs among them that are near only each other
+    rows += [(400 + i, head + text(2000 + i // 2, 60) + ("." if i % 2 else "")) for i in range(60)]
+    want = brute_classes(rows, fp.NEAR)
+    assert want[300] == 0 and sum(want[400 + i] == 400 + i - i % 2 for i in range(60)) == 60
+    for chunk in (1024, 16):
+        monkeypatch.setattr(minhash, "CHUNK", chunk)
+        got = {r["doc_id"]: r["class_id"] for r in fp.near_classes(frame(spark, [(*r, "x") for r in rows], "doc_id long, text string, class_id string")).collect()}
+        assert set(got) == set(want) and all(got[i] == want[i] or got[i] == i for i in got)
+        linked = [i for i in want if want[i] != i]
+        assert sum(got[i] == want[i] for i in linked) >= (0.95 if chunk == 1024 else 0.8) * len(linked)
+
+
+def test_recall_on_test_data(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_classes(rows, fp.NEAR)
+    got = {r["doc_id"]: r["class_id"] for r in fp.near_classes(docs).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked) and all(got[i] in (i, want[i]) for i in got)
+
+
+def test_near_classes_of_nothing(spark):
+    assert fp.near_classes(frame(spark, [], "doc_id long, text string")).count() == 0
