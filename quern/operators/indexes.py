@@ -116,6 +116,26 @@ def rank_for_score(rows: DataFrame, by: list[str], score: str, value) -> DataFra
     return rows.select(*by, score).distinct().groupBy(*by).agg(F.count(F.when(F.col(score) < F.lit(value), 1)).alias("rank"))
 
 
+#: Days of windows that travel to the rows; more of them meet the rows in a shuffle.
+BROADCAST_WINDOW_DAYS = 100_000
+
+
+def counts_distinct(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Distinct values of a column in each group: first one row for each value, so that a hot group is counted in parts."""
+    return rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.lit(1).alias("_one")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def score_for_rank_else_skip(rows: DataFrame, by: list[str], score: str, rank: int, high_first: bool = False) -> DataFrame:
+    """Every group with the score at a rank; null where the group has fewer scores."""
+    found = score_for_rank(rows, by, score, rank, high_first).select(*by, score)
+    groups = rows.select(*by).distinct()
+    cond = F.lit(True)
+    right = found.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(score))
+    for c in by:
+        cond = cond & groups[c].eqNullSafe(right[f"_{c}"])
+    return groups.join(right, cond, "left").drop(*[f"_{c}" for c in by])
+
+
 def leaderboard(rows: DataFrame, key: str, score: str, ts: str, windows: DataFrame | None, high_first: bool = True) -> DataFrame:
     """Best score of each key in each window [start, end) (column ``name``), ranked from 0; one all-time window if none is given.
 
@@ -126,6 +146,8 @@ def leaderboard(rows: DataFrame, key: str, score: str, ts: str, windows: DataFra
     else:
         days = F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
         w = windows.where("start < end").select("name", F.col("start").alias("_start"), F.col("end").alias("_end"), days.alias("_day"))
+        if w.limit(BROADCAST_WINDOW_DAYS + 1).count() <= BROADCAST_WINDOW_DAYS:  # no shuffle, so no hot day
+            w = F.broadcast(w)
         inside = rows.withColumn("_day", F.to_date(F.col(ts))).join(w, "_day").where((F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col("_end")))
     best = inside.groupBy("name", key).agg((F.max if high_first else F.min)(score).alias("best"))
     return ranks(best, ["name"], "best", count_duplicates=True, high_first=high_first)

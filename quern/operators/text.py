@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
@@ -103,18 +103,12 @@ def phrase(index: DataFrame, key: str, words: list[str]) -> DataFrame:
 def all_within(index: DataFrame, key: str, words: list[str], distance: int) -> DataFrame:
     """Documents with all the words in a span of at most ``distance`` positions.
 
-    The positions of each word are gathered for a document only, and every occurrence is tried as the span's first.
+    One ordered pass over the positions of the words in each document: the latest place of every word so far is known at each.
     """
-    spots = _wanted(index, words).groupBy(key).agg(F.collect_list(F.struct("token", "pos")).alias("at"))
-
-    def fits(start):
-        ok = F.lit(True)
-        for w in sorted(set(words)):
-            ok = ok & _near(start, w, distance)
-        return ok
-
-    return spots.where(F.exists("at", fits)).select(key)
-
-
-def _near(start: Column, word: str, distance: int) -> Column:
-    return F.exists("at", lambda o: (o["token"] == word) & (o["pos"] >= start["pos"]) & (o["pos"] < start["pos"] + distance))
+    names = sorted(set(words))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    latest = [F.last(F.when(F.col("token") == x, F.col("pos")), ignorenulls=True).over(w) for x in names]
+    seen = _wanted(index, words).select(key, "pos", *[c.alias(f"_at{i}") for i, c in enumerate(latest)])
+    for i in range(len(names)):
+        seen = seen.where((F.col("pos") - F.col(f"_at{i}")) < distance)  # null where the word has not come up yet
+    return seen.select(key).distinct()

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import cut
+
 
 def doubles(c) -> Column:
     return (c if isinstance(c, Column) else F.col(c)).cast("array<double>")
@@ -22,14 +24,15 @@ def squared(a: Column, b: Column) -> Column:
 
 
 def distance(metric: str, a, b) -> Column:
-    """euclidean, euclidean_square, cosine (1 - similarity) or dot_product (the negative product: near means large)."""
+    """euclidean, euclidean_square, cosine (1 - similarity, 1 for a vector of zeros) or dot_product (the negative product: near means large)."""
     x, y = doubles(a), doubles(b)
     if metric == "euclidean":
         return F.sqrt(squared(x, y))
     if metric == "euclidean_square":
         return squared(x, y)
     if metric == "cosine":
-        return 1 - dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+        norms = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+        return F.when(norms == 0, 1.0).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(x, y) / F.nullif(norms, F.lit(0.0)))))
     if metric == "dot_product":
         return -dot(x, y)
     raise ValueError(metric)
@@ -105,3 +108,166 @@ class InvertedFile:
         pairs = probed.select(query_key, "target", "cell").join(self.cells.select("cell", self.key, self.embedding), "cell").dropDuplicates([query_key, self.key])
         far = pairs.withColumn("distance", distance(self.metric, self.embedding, "target"))
         return far.withColumn("row_number", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", self.key)).cast("long")).where(F.col("row_number") <= k).select(query_key, self.key, "distance", "row_number")
+
+
+def exact_many(rows: DataFrame, embedding: str, key: str, queries: DataFrame, query_key: str, k: int, metric: str = "euclidean") -> DataFrame:
+    """query_key, key, distance, row_number: the exact neighbours of a stated query set (column ``target``), in blocks.
+
+    The query set travels to the rows BLOCK_QUERIES at a time; every task keeps the k nearest of its own rows for each
+    query, so k rows for each query and task are all that is shuffled.
+    """
+    import numpy as np
+    import pandas as pd
+
+    schema = f"{query_key} long, {key} long, distance double"
+    goals = [(int(r[query_key]), r["target"]) for r in queries.select(query_key, "target").where("target is not null").toLocalIterator()]
+    found = rows.sparkSession.createDataFrame([], schema)
+    for at in range(0, len(goals), BLOCK_QUERIES):
+        ids, targets = [i for i, _ in goals[at : at + BLOCK_QUERIES]], np.array([t for _, t in goals[at : at + BLOCK_QUERIES]], float)
+
+        def run(batches, ids=ids, targets=targets):
+            best_d, best_k = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                far = distances(metric, targets, np.stack(batch[embedding].to_numpy()).astype(float))
+                best_d = np.concatenate([best_d, far], axis=1)
+                best_k = np.concatenate([best_k, np.broadcast_to(batch[key].to_numpy(np.int64), far.shape)], axis=1)
+                order = np.lexsort((best_k, best_d))[:, :k]
+                best_d, best_k = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_k, order, 1)
+            yield pd.DataFrame({query_key: np.repeat(ids, best_d.shape[1]), key: best_k.reshape(-1), "distance": best_d.reshape(-1)})
+
+        found = found.unionByName(rows.where(F.col(embedding).isNotNull()).select(key, embedding).mapInPandas(run, schema))
+    return found.withColumn("row_number", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key)).cast("long")).where(F.col("row_number") <= k)
+
+
+#: Queries that travel to the rows at once.
+BLOCK_QUERIES = 1024
+
+
+def distances(metric: str, a, b):
+    """Distances of all rows of ``a`` and ``b`` (numpy matrices)."""
+    import numpy as np
+
+    dots = a @ b.T
+    if metric == "dot_product":
+        return -dots
+    if metric == "cosine":
+        norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
+        return np.where(norms == 0, 1.0, 1 - np.clip(dots / np.where(norms == 0, 1, norms), -1, 1))
+    square = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * dots, 0)
+    return square if metric == "euclidean_square" else np.sqrt(square)
+
+
+class Clustered:
+    """A vector index in two levels: coarse cells hold fine cells, a fine cell its rows as quantised codes.
+
+    A query ranks the coarse centroids, the fine centroids of the nearest ones, and the codes of the nearest fine cells; a cell whose
+    centroid is more than ``1 + epsilon`` times as far as the nearest one's is pruned. The nearest RERANK * k codes are
+    ranked again by their exact vectors. Rows lie in files by cell, so a query reads the cells that it probes.
+    """
+
+    RERANK = 4
+    #: Rows that the cells are learnt from, for each cell.
+    SAMPLE = 256
+
+    def __init__(self, table: DataFrame, fine: list, coarse: list, of: list[int], embedding: str, key: str, metric: str):
+        self.table, self.fine, self.coarse, self.of, self.embedding, self.key, self.metric = table, fine, coarse, of, embedding, key, metric
+
+    @classmethod
+    def build(cls, rows: DataFrame, embedding: str, key: str, n_cells: int | None = None, metric: str = "euclidean", seed: int = 7, spread: float = 1.15) -> Clustered:
+        """Cells are learnt from SAMPLE rows for each (a hash of the key picks them); every row is indexed, also in cells nearly as near."""
+        import numpy as np
+        import pandas as pd
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        rows = rows.where(F.col(embedding).isNotNull())
+        n = rows.count()
+        n_cells = max(2, n_cells or min(4096, int(n**0.5 / 2)))
+        share = max(1, n // (cls.SAMPLE * n_cells))
+        sample = rows.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(array_to_vector(doubles(embedding)).alias("v"))
+        fine = [[float(x) for x in c] for c in KMeans(k=n_cells, seed=seed, featuresCol="v", maxIter=15).fit(sample).clusterCenters()] if n else []
+        coarse, of = _grouped(np.array(fine), max(1, int(len(fine) ** 0.5)), seed) if fine else ([], [])
+
+        def quantise(batch: pd.Series) -> pd.DataFrame:
+            x = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.zeros((0, 1))
+            scale = np.maximum(np.abs(x).max(axis=1, initial=0), 1e-30) / 127
+            return pd.DataFrame({"code": [c.tobytes() for c in np.round(x / scale[:, None]).astype(np.int8)], "scale": scale})
+
+        from pyspark.sql.functions import pandas_udf
+
+        quantise.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
+        coded = rows.withColumn("_q", pandas_udf(quantise, "code binary, scale double")(doubles(embedding)))
+        celled = coded.withColumn("cell", F.explode(_cells(doubles(embedding), fine, None, spread))).withColumns({"code": F.col("_q.code"), "scale": F.col("_q.scale")}).drop("_q")
+        return cls(cut(celled.repartition("cell"), "vectors", ["cell"]), fine, coarse, of, embedding, key, metric)
+
+    def probed(self, target, probes: int, epsilon: float) -> list[int]:
+        """The fine cells that a query reads: of the nearest coarse cells, the nearest fine ones that are not pruned."""
+        import numpy as np
+
+        if not self.fine:
+            return [0]
+        t = np.array([target], float)
+        near = np.argsort(distances("euclidean", t, np.array(self.coarse))[0], kind="stable")[: max(1, probes)]
+        held = [i for i, c in enumerate(self.of) if c in set(near.tolist())]
+        far = distances("euclidean", t, np.array(self.fine)[held])[0]
+        order = np.argsort(far, kind="stable")[:probes]
+        return [held[i] for i in order if far[i] <= far[order[0]] * (1 + epsilon) + 1e-12]
+
+    def search(self, target: list[float], k: int, probes: int = 8, epsilon: float = 1.0, where: Column | None = None) -> DataFrame:
+        """The k nearest rows of one target; only the probed cells are read."""
+        queries = self.table.sparkSession.createDataFrame([(0, [float(x) for x in target])], "query_id long, target array<double>")
+        cells = self.probed(target, probes, epsilon)
+        found = self._ranked(self.table.where(F.col("cell").isin(*cells)) if where is None else self.table.where(F.col("cell").isin(*cells)).where(where), queries.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in cells]))), "query_id", k)
+        return found.drop("query_id")
+
+    def search_many(self, queries: DataFrame, query_key: str, k: int, probes: int = 8, epsilon: float = 1.0) -> DataFrame:
+        """query_key, key, distance, row_number of a table of queries (column ``target``), by an equi-join on the probed cells."""
+        import pandas as pd
+        from pyspark.sql.functions import pandas_udf
+
+        def cells(batch: pd.Series) -> pd.Series:
+            return pd.Series([self_probed(t) for t in batch])
+
+        light = Clustered(None, self.fine, self.coarse, self.of, self.embedding, self.key, self.metric)
+        self_probed = lambda t: light.probed(t, probes, epsilon)
+        cells.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+        return self._ranked(self.table, queries.withColumn("cell", F.explode(pandas_udf(cells, "array<int>")(doubles("target")))), query_key, k)
+
+    def _ranked(self, table: DataFrame, probed: DataFrame, query_key: str, k: int) -> DataFrame:
+        import numpy as np
+        import pandas as pd
+        from pyspark.sql.functions import pandas_udf
+
+        metric, key = self.metric, self.key
+
+        def about(target: pd.Series, code: pd.Series, scale: pd.Series) -> pd.Series:
+            if not len(code):
+                return pd.Series([], dtype=float)
+            x = np.frombuffer(b"".join(code), np.int8).reshape(len(code), -1) * scale.to_numpy()[:, None]
+            t = np.stack(target.to_numpy()).astype(float)
+            dots = (t * x).sum(1)
+            if metric == "dot_product":
+                return pd.Series(-dots)
+            if metric == "cosine":
+                return pd.Series(1 - dots / np.maximum(np.sqrt((t * t).sum(1) * (x * x).sum(1)), 1e-300))
+            return pd.Series(((t - x) ** 2).sum(1))
+
+        about.__annotations__ = {"target": pd.Series, "code": pd.Series, "scale": pd.Series, "return": pd.Series}
+        pairs = probed.select(query_key, "target", "cell").join(table.select("cell", key, "code", "scale", self.embedding), "cell")
+        rough = pairs.withColumn("about", pandas_udf(about, "double")(doubles("target"), "code", "scale"))
+        once = rough.groupBy(query_key, key).agg(F.min("about").alias("about"), F.first("target").alias("target"), F.first(self.embedding).alias(self.embedding))
+        kept = once.withColumn("r", F.row_number().over(Window.partitionBy(query_key).orderBy("about", key))).where(F.col("r") <= self.RERANK * k)
+        far = kept.withColumn("distance", distance(metric, self.embedding, "target"))
+        return far.withColumn("row_number", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key)).cast("long")).where(F.col("row_number") <= k).select(query_key, key, "distance", "row_number")
+
+
+def _grouped(points, k: int, seed: int, rounds: int = 20) -> tuple[list, list[int]]:
+    """(centroids, group of each point) of a few thousand points at most, by k-means."""
+    import numpy as np
+
+    g = np.random.default_rng(seed)
+    centroids = points[g.choice(len(points), min(k, len(points)), replace=False)]
+    for _ in range(rounds):
+        own = distances("euclidean", points, centroids).argmin(1)
+        centroids = np.array([points[own == c].mean(0) if (own == c).any() else centroids[c] for c in range(len(centroids))])
+    return centroids.tolist(), distances("euclidean", points, centroids).argmin(1).tolist()

@@ -2,12 +2,12 @@
 
 A table is a list of parts (scans over files in the shared folder). INSERT adds a part; UPDATE and DELETE rewrite only the parts that hold
 affected rows. A statement checks everything before it publishes, so it happens as a whole or not at all; a transaction keeps
-the part lists it started from.
+a private copy of the part lists.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 
 from quern.errors import SQLError, of_spark
 from quern.operators import recursive as rec
+from quern.operators import vectors
+from quern.operators.indexes import running
 from quern.plans import syntax as S
 from quern.plans.binder import INTEGERS, Binder, Column, Expr, Scope, Table, family, q, spark_type
 from quern.sources.tables import cut
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 @dataclass
 class Stored:
     """A table's definition and its current parts."""
@@ -35,10 +44,7 @@ class Stored:
     def frame(self, spark: SparkSession) -> DataFrame:
         if not self.parts:
             return spark.createDataFrame([], ", ".join(f"{q(n)} {spark_type(k)}" for n, k, _ in self.columns))
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.union(p)
-        return out
+        return union(self.parts)
 
 
 @dataclass
@@ -46,23 +52,69 @@ class Schema:
     template: str
     tables: dict[str, Stored]
     indexes: list[dict] = field(default_factory=list)
+    views: dict[str, S.Query] = field(default_factory=dict)
+    functions: dict[str, dict] = field(default_factory=dict)
+
+
+@dataclass
+class Catalog:
+    """What sessions share: databases with their schemas, and schema templates."""
+
+    databases: dict[str, dict[str, Schema]] = field(default_factory=lambda: {"/": {"S": Schema("", {})}})
+    templates: dict[str, dict] = field(default_factory=dict)
+
+    def copy(self) -> tuple[Catalog, dict[int, tuple[Stored, Stored]]]:
+        """A private copy for a transaction, and (shared, private) of every table by the private one's identity."""
+        own: dict[int, Stored] = {}
+
+        def table(t: Stored) -> Stored:  # a table that stands in two schemas stays one
+            if id(t) not in own:
+                own[id(t)] = replace(t, parts=list(t.parts))
+            return own[id(t)]
+
+        shared = {id(t): t for ss in self.databases.values() for x in ss.values() for t in x.tables.values()}
+        databases = {d: {s: replace(x, tables={n: table(t) for n, t in x.tables.items()}, indexes=list(x.indexes), views=dict(x.views), functions=dict(x.functions)) for s, x in ss.items()} for d, ss in self.databases.items()}
+        return Catalog(databases, dict(self.templates)), {id(mine): (shared[k], mine) for k, mine in own.items()}
 
 
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 KINDS = {"timestamp": "timestamp_ntz"}
 
 
+#: Parts of at most so many rows are merged once a table has more than MANY of them.
+SMALL, MANY = 1_000_000, 8
+
+
 class Engine:
-    """One session: ``query`` for SELECT, ``execute`` for the rest, ``rows`` for results with the dialect's errors."""
+    """One session: ``query`` for SELECT and EXPLAIN, ``execute`` for the rest, ``rows`` for results with the dialect's errors.
 
-    def __init__(self, spark: SparkSession, strict: bool = True):
+    Sessions made by ``session`` share a catalog. A transaction works on a private copy of it; COMMIT publishes the tables
+    it has changed, and fails with 40001 if another session has changed one of them meanwhile.
+    """
+
+    def __init__(self, spark: SparkSession, strict: bool = True, catalog: Catalog | None = None):
         self.spark, self.strict = spark, strict
-        spark.conf.set("spark.sql.ansi.enabled", "true")
-        self.databases: dict[str, dict[str, Schema]] = {"/": {"S": Schema("", {})}}
-        self.templates: dict[str, dict] = {}
+        if spark.conf.get("spark.sql.ansi.enabled") != "true":  # Spark's default; the dialect's errors rest on it
+            spark.conf.set("spark.sql.ansi.enabled", "true")
+        self.shared = catalog or Catalog()
+        self.private: Catalog | None = None
+        self.copies: dict[int, tuple[Stored, Stored]] = {}
+        self.began: dict[int, int] = {}
         self.at = ("/", "S")
-        self.before: dict | None = None
         self.last_returning: DataFrame | None = None
+        self.built: dict[tuple, tuple] = {}
+
+    def session(self) -> Engine:
+        """Another session over the same catalog."""
+        return Engine(self.spark, self.strict, self.shared)
+
+    @property
+    def databases(self) -> dict[str, dict[str, Schema]]:
+        return (self.private or self.shared).databases
+
+    @property
+    def templates(self) -> dict[str, dict]:
+        return (self.private or self.shared).templates
 
     # catalog
 
@@ -96,6 +148,11 @@ class Engine:
     def lookup(self, path: list[str]) -> Table | None:
         if path[0] == "INFORMATION_SCHEMA":
             return self.system(path[-1])
+        view = self.schema.views.get(path[-1])
+        if view is not None and len(path) <= 2:
+            binder = self.binder()
+            sql, columns = binder.query(view)
+            return Table(f"({binder.relabel(sql, columns)})", columns)
         t = self.schema.tables.get(path[-1])
         if t is None or len(path) > 2:
             return None
@@ -127,7 +184,7 @@ class Engine:
     # queries
 
     def binder(self) -> Binder:
-        return Binder(self.lookup, self.strict, self.recursion)
+        return Binder(self.lookup, self.strict, self.recursion, self.schema.functions)
 
     def sql_of(self, text: str, args: list | None = None) -> str:
         """The Spark SQL that a query of the dialect becomes."""
@@ -150,9 +207,20 @@ class Engine:
         return "SELECT * FROM quern_show", [(column, "string", False)]
 
     def query(self, text: str, args: list | None = None) -> DataFrame:
+        parsed = S.parse(S.substitute(text, args or []))
+        if len(parsed) == 1 and not isinstance(parsed[0], S.Query) and parsed[0].kind == "explain":
+            return self._frame("EXPLAIN FORMATTED " + self.binder().query(parsed[0].parts["query"])[0]).toDF("PLAN")
         sql, columns = self._bound(text, args)
         return self._frame(sql)
 
+    def explain(self, text: str, args: list | None = None) -> str:
+        """The physical plan of a query, without running it."""
+        return self.query("EXPLAIN " + text, args).first()[0]
+
+    def plan_hash(self, text: str, args: list | None = None) -> int:
+        """A fingerprint of the analysed plan: equal for queries that differ in spelling alone."""
+        return self.query(text, args).semanticHash()
+
     def _frame(self, sql: str) -> DataFrame:
         try:
             return self.spark.sql(sql)
@@ -208,7 +276,8 @@ class Engine:
 
         try:
             if deep:
-                start = numbered(start, []).withColumn("_PATH", F.array("_n")).drop("_n")
+                start = running(start, F.struct(*[q(n) for n, _, _ in columns]).asc(), F.lit(1).cast("long"), "_n")
+                start = start.select(*listed, F.array(F.col("_n") + 1).alias("_PATH"))
                 reached = rec.level_order(start, round_)
                 key = F.col("_PATH") if order == "pre_order" else F.concat("_PATH", F.array(F.lit(2**62)))
                 found = reached.orderBy(key).drop("_PATH")
@@ -236,7 +305,9 @@ class Engine:
         """Run statements one after another; the number of rows they affected in all."""
         total = 0
         for s in S.parse(S.substitute(text, args or [])):
-            if isinstance(s, S.Query) or s.kind == "show":
+            if args and not isinstance(s, S.Query) and s.kind in ("create_view", "create_function", "create_template"):
+                raise SQLError("42601", "a definition takes no parameters")
+            if isinstance(s, S.Query) or s.kind in ("show", "explain"):
                 raise SQLError("0A000", "execute() takes no query")
             try:
                 total += getattr(self, f"do_{s.kind}")(**s.parts) or 0
@@ -245,19 +316,60 @@ class Engine:
         return total
 
     def do_begin(self):
-        if self.before is not None:
+        if self.private is not None:
             raise SQLError("0A000", "a transaction is open")
-        self.before = {(d, s, t): (list(x.parts), x.version) for d, ss in self.databases.items() for s, sc in ss.items() for t, x in sc.tables.items()}
+        self.private, self.copies = self.shared.copy()
+        self.began = {k: shared.version for k, (shared, _) in self.copies.items()}
+        self.names = {(d, s) for d, ss in self.shared.databases.items() for s in ss}, set(self.shared.databases), dict(self.shared.templates)
 
     def do_commit(self):
-        self.before = None
+        if self.private is None:
+            return
+        changed = [(shared, mine, self.began[k]) for k, (shared, mine) in self.copies.items() if mine.version != self.began[k]]
+        if any(shared.version != version for shared, _, version in changed):
+            self.private = None
+            raise SQLError("40001", "another session has changed the table")
+        for shared, mine, _ in changed:
+            shared.parts, shared.version = mine.parts, mine.version
+        schemas, databases, templates = self.names
+        mine, ours = self.private, self.shared
+        for d in set(mine.databases) - databases:
+            ours.databases.setdefault(d, {})
+        for d, s in {(d, s) for d, ss in mine.databases.items() for s in ss} - schemas:
+            ours.databases[d][s] = mine.databases[d][s]
+        for d, s in schemas - {(d, s) for d, ss in mine.databases.items() for s in ss}:
+            ours.databases.get(d, {}).pop(s, None)
+        for d in databases - set(mine.databases):
+            ours.databases.pop(d, None)
+        for d, s in schemas:
+            if s in mine.databases.get(d, {}) and s in ours.databases.get(d, {}):
+                ours.databases[d][s].views, ours.databases[d][s].functions = mine.databases[d][s].views, mine.databases[d][s].functions
+        for n in templates.keys() - mine.templates.keys():
+            ours.templates.pop(n, None)
+        ours.templates.update({n: x for n, x in mine.templates.items() if templates.get(n) is not x})
+        self.private = None
 
     def do_rollback(self):
-        for (d, s, t), (parts, version) in (self.before or {}).items():
-            stored = self.databases[d][s].tables[t]
-            if stored.version != version:
-                stored.parts, stored.version = parts, stored.version + 1
-        self.before = None
+        self.private = None
+
+    def do_create_view(self, name, body):
+        if name in self.schema.views or name in self.schema.tables:
+            raise SQLError("42F07", name)
+        self.binder().query(body)  # names and types must hold now
+        self.schema.views[name] = body
+
+    def do_drop_view(self, name):
+        if self.schema.views.pop(name, None) is None:
+            raise SQLError("42F01", name)
+
+    def do_create_function(self, name, body):
+        if name in self.schema.functions:
+            raise SQLError("42723", name)
+        self.schema.functions[name] = body
+
+    def do_drop_function(self, name):
+        if self.schema.functions.pop(name, None) is None:
+            raise SQLError("42883", name)
 
     def do_create_database(self, path):
         if path in self.databases:
@@ -268,11 +380,11 @@ class Engine:
         if self.databases.pop(path, None) is None:
             raise SQLError("42F01", path)
 
-    def do_create_template(self, name, tables, indexes):
+    def do_create_template(self, name, tables, indexes, views, functions):
         for i in indexes:
             if "table" in i and i["table"] not in tables:
                 raise SQLError("42F01", i["table"])
-        self.templates[name] = {"tables": tables, "indexes": indexes}
+        self.templates[name] = {"tables": tables, "indexes": indexes, "views": views, "functions": functions}
 
     def do_drop_template(self, name):
         if self.templates.pop(name, None) is None:
@@ -295,7 +407,7 @@ class Engine:
                 raise SQLError("42703", ", ".join(unknown))
             unique = [i["columns"] for i in t["indexes"] if i.get("table") == n and i["unique"]]
             tables[n] = Stored(n, [(c, k, null and c not in pk) for c, k, null in x["columns"]], x["pk"], unique)
-        self.databases[database][name] = Schema(template, tables, t["indexes"])
+        self.databases[database][name] = Schema(template, tables, t["indexes"], dict(t["views"]), dict(t["functions"]))
 
     def do_drop_schema(self, path):
         database, _, name = path.rpartition("/")
@@ -340,13 +452,25 @@ class Engine:
             full = new.select(*[q(k) for k in keys]).dropna()
             if not full.groupBy(*[q(k) for k in keys]).count().where("count > 1").isEmpty():
                 raise SQLError("23505", f"{t.name}({', '.join(keys)})")
-            for p in others:
-                if not p.join(full, keys, "left_semi").isEmpty():
-                    raise SQLError("23505", f"{t.name}({', '.join(keys)})")
+            if others and not union(others).join(full, keys, "left_semi").isEmpty():
+                raise SQLError("23505", f"{t.name}({', '.join(keys)})")
 
-    def _publish(self, t: Stored, parts: list[DataFrame], returning: DataFrame | None) -> None:
+    def _publish(self, t: Stored, parts: list[DataFrame], affected: DataFrame | None, items: list | None) -> None:
+        """The table's new parts, small ones merged when there are many; what RETURNING asks for of the affected rows."""
+        small = [p for p in parts if getattr(p, "quern_rows", SMALL + 1) <= SMALL]
+        if len(small) > MANY:
+            n = sum(p.quern_rows for p in small)
+            merged = cut(union(small).coalesce(-(-n // SMALL) or 1), "merged")
+            merged.quern_rows = n
+            parts = [*[p for p in parts if not any(p is x for x in small)], merged]
         t.parts, t.version = parts, t.version + 1
-        self.last_returning = returning
+        self.last_returning = affected
+        if items is not None and affected is not None:
+            view = f"quern_{id(self)}_{t.name}_affected"
+            affected.createOrReplaceTempView(q(view))
+            own = lambda path: Table(q(view), t.columns) if path == [t.name] else self.lookup(path)
+            sql, _, _ = Binder(own, self.strict, self.recursion, self.schema.functions).select(S.Select(items, ("table", [t.name], None, None)), None, [])
+            self.last_returning = self._frame(sql)
 
     def do_insert(self, table, columns, rows=None, query=None, returning=None, dry=False, ctes=()):
         t, binder = self.table(table), self._with(self.binder(), list(ctes))
@@ -379,7 +503,8 @@ class Engine:
         self._check(t, new, t.parts)
         n = new.count()
         if not dry:
-            self._publish(t, [*t.parts, new], new)
+            new.quern_rows = n
+            self._publish(t, [*t.parts, new], new, returning)
         return n
 
     def _touched(self, t: Stored, alias: str | None, where, binder: Binder):
@@ -391,6 +516,13 @@ class Engine:
             cond = binder.boolean(where, scope, aggregates=False).sql if where is not None else "TRUE"
             yield part, q(view), scope, cond
 
+    def _kept(self, part: DataFrame, view: str, cond: str, n: int) -> DataFrame:
+        """What a change leaves of a part."""
+        out = cut(self._frame(f"SELECT * FROM {view} AS _r WHERE NOT coalesce({cond}, FALSE)"), "kept")
+        if hasattr(part, "quern_rows"):
+            out.quern_rows = part.quern_rows - n
+        return out
+
     def do_update(self, table, alias, sets, where, returning=None, dry=False, ctes=()):
         t, binder = self.table(table), self._with(self.binder(), list(ctes))
         kinds = {n: (n, k, null) for n, k, null in t.columns}
@@ -412,14 +544,13 @@ class Engine:
                 continue
             total += n
             changed.append(hit)
-            parts += [cut(self._frame(f"SELECT * FROM {view} AS _r WHERE NOT coalesce({cond}, FALSE)"), "kept"), hit]
+            parts += [self._kept(part, view, cond, n), hit]
+            hit.quern_rows = n
         if changed:
-            new = changed[0]
-            for c in changed[1:]:
-                new = new.union(c)
+            new = union(changed)
             self._check(t, new, [p for p in parts if not any(p is c for c in changed)])
         if not dry:
-            self._publish(t, parts, None if not changed else new)
+            self._publish(t, parts, None if not changed else new, returning)
         return total
 
     def do_delete(self, table, alias, where, returning=None, dry=False, ctes=()):
@@ -434,9 +565,9 @@ class Engine:
             total += n
             gone.append(hit)
             if where is not None:
-                parts.append(cut(self._frame(f"SELECT * FROM {view} AS _r WHERE NOT coalesce({cond}, FALSE)"), "kept"))
+                parts.append(self._kept(part, view, cond, n))
         if not dry:
-            self._publish(t, parts, gone[0] if gone else None)
+            self._publish(t, parts, union(gone) if gone else None, returning)
         return total
 
     # indexes
@@ -456,10 +587,23 @@ class Engine:
             if c not in [n for n, _, _ in t.columns]:
                 raise SQLError("42703", c)
         rows = t.frame(self.spark)
+        if i["vector"]:
+            return self.vector_index(name).table
         if i["unique"]:
             check_unique(rows, i["columns"])
         return value_index(rows, i["columns"] + i.get("partition", []), t.pk).orderBy(*i["columns"])
 
+    def vector_index(self, name: str) -> vectors.Clustered:
+        """A vector index of this schema, built over its table as it is now and kept until the table changes."""
+        i = next((i for i in self.schema.indexes if i["name"] == name.upper() and i["vector"]), None)
+        if i is None:
+            raise SQLError("42F01", name)
+        t = self.table([i["table"]])
+        key = (name.upper(), id(t))
+        if key not in self.built or self.built[key][0] != t.version:
+            self.built[key] = (t.version, vectors.Clustered.build(t.frame(self.spark).select(t.pk[0], *i.get("partition", []), i["columns"][0]), i["columns"][0], t.pk[0]))
+        return self.built[key][1]
+
     # functions
 
     def function(self, name: str, run, kind: str) -> None:

@@ -72,14 +72,14 @@ def index_version_feed(t: Tables) -> DataFrame:
     return I.version_feed(t.events.select("event_id", "user_id"), "event_id", 100, 60)
 
 
-@query("SELECT event_type, user_id, max(value) AS value FROM events GROUP BY 1, 2 ORDER BY event_type, value, user_id LIMIT 100")
+@query("SELECT event_type, user_id, max(value) AS value FROM events GROUP BY 1, 2")
 def index_permuted_max(t: Tables) -> DataFrame:
-    return I.permuted(t.events, ["event_type"], ["user_id"], "value", largest=True).select("event_type", "user_id", "value").limit(100)
+    return I.permuted(t.events, ["event_type"], ["user_id"], "value", largest=True).select("event_type", "user_id", "value")
 
 
-@query("SELECT event_type, user_id, min(value) AS value FROM events GROUP BY 1, 2 ORDER BY event_type, value, user_id LIMIT 100")
+@query("SELECT event_type, user_id, min(value) AS value FROM events GROUP BY 1, 2")
 def index_permuted_min(t: Tables) -> DataFrame:
-    return I.permuted(t.events, ["event_type"], ["user_id"], "value", largest=False).select("event_type", "user_id", "value").limit(100)
+    return I.permuted(t.events, ["event_type"], ["user_id"], "value", largest=False).select("event_type", "user_id", "value")
 
 
 @query("SELECT s_suppkey, s_nationkey, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) - 1 AS rank FROM supplier")
@@ -192,3 +192,14 @@ def text_phrase(t: Tables) -> DataFrame:
 @query(f"WITH {TOKENS} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND abs(b.pos - a.pos) < 4 WHERE a.token = 'with' AND b.token = 'from'")
 def text_within(t: Tables) -> DataFrame:
     return X.all_within(index(t), "doc_id", ["with", "from"], 4)
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1")
+def index_count_distinct(t: Tables) -> DataFrame:
+    return I.counts_distinct(t.orders, ["o_custkey"], "o_orderstatus")
+
+
+@query("SELECT n_nationkey AS c_nationkey, max(CASE WHEN r = 20 THEN c_acctbal END) AS c_acctbal FROM (SELECT c_nationkey AS n_nationkey, c_acctbal, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) - 1 AS r FROM customer) GROUP BY 1")
+def score_for_rank_else_skip(t: Tables) -> DataFrame:
+    """The score at rank 20 of every group; null where it has fewer."""
+    return I.score_for_rank_else_skip(t.customer, ["c_nationkey"], "c_acctbal", 20, high_first=True)

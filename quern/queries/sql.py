@@ -33,11 +33,11 @@ dialect("is_distinct", "orders", "SELECT COUNT(*) AS \"n\" FROM orders WHERE CAS
 dialect("count_constant", "orders", 'SELECT COUNT(NULL) AS "n", COUNT(*) AS "m", COUNT(1) AS "o" FROM orders', "SELECT count(*) AS n, count(*) AS m, count(*) AS o FROM orders")
 dialect("functions", "part", "SELECT p_partkey AS \"k\", CONCAT(UPPER(p_brand), NULL, '-', p_size) AS \"c\", LENGTH(p_name) AS \"n\", SUBSTRING(p_type, 2, 3) AS \"t\", CAST(p_retailprice AS BIGINT) AS \"i\", GREATEST(p_size, 25) AS \"g\" FROM part", "SELECT p_partkey AS k, concat(upper(p_brand), '-', p_size) AS c, CAST(length(p_name) AS BIGINT) AS n, substring(p_type, 2, 3) AS t, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS i, CAST(greatest(p_size, 25) AS BIGINT) AS g FROM part")
 dialect("full_join", "nation region", 'SELECT n.n_name AS "n", r.r_name AS "r" FROM (SELECT * FROM nation WHERE n_regionkey > 1) n FULL OUTER JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey', "SELECT n.n_name AS n, r.r_name AS r FROM (SELECT * FROM nation WHERE n_regionkey > 1) n FULL OUTER JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey")
-dialect("recursive_level", "part", 'WITH RECURSIVE r AS (SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, r.depth + 1 FROM part p JOIN r ON p.p_partkey / 2 = r.id WHERE p.p_partkey <= 60) SELECT id AS "id", depth AS "depth" FROM r', "WITH RECURSIVE r AS (SELECT p_partkey AS id, CAST(0 AS BIGINT) AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, r.depth + 1 FROM part p JOIN r ON p.p_partkey // 2 = r.id WHERE p.p_partkey <= 60) SELECT id, depth FROM r")
+dialect("recursive_level", "part", 'WITH RECURSIVE r AS (SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, r.depth + 1 FROM part p JOIN r ON p.p_partkey / 2 = r.id) SELECT id AS "id", depth AS "depth" FROM r', "WITH RECURSIVE r AS (SELECT p_partkey AS id, CAST(0 AS BIGINT) AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, r.depth + 1 FROM part p JOIN r ON p.p_partkey // 2 = r.id) SELECT id, depth FROM r")
 dialect("recursive_distinct", "nation", 'WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 2 UNION SELECT (n.n_nationkey * 3 + 1) % 25 FROM nation n JOIN r ON n.n_nationkey = r.k) SELECT k AS "k" FROM r', "WITH RECURSIVE r AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey = 2 UNION SELECT (n.n_nationkey * 3 + 1) % 25 FROM nation n JOIN r ON n.n_nationkey = r.k) SELECT k FROM r")
 dialect("qualify_knn", "embeddings", f'SELECT vec_id AS "id", label AS "label" FROM embeddings QUALIFY ROW_NUMBER() OVER (PARTITION BY label ORDER BY euclidean_distance(embedding, [{", ".join(["0.5"] * 64)}])) <= 2', f"SELECT id, label FROM (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY list_distance(CAST(embedding AS DOUBLE[]), [{', '.join(['0.5'] * 64)}]::DOUBLE[])) AS r FROM embeddings) WHERE r <= 2")
 dialect("text_plus_and_ieee", "region", "SELECT r_name + '!' AS \"n\", CASE WHEN 1.0 / (r_regionkey - r_regionkey) > 1000.0 THEN 'inf' END AS \"x\" FROM region", "SELECT r_name || '!' AS n, 'inf' AS x FROM region")
-TREE_SQL = "WITH RECURSIVE r AS (SELECT p_partkey AS id, [p_partkey] AS path FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, list_append(r.path, p.p_partkey) FROM part p JOIN r ON p.p_partkey // 2 = r.id WHERE p.p_partkey <= 60)"
-TREE = "WITH RECURSIVE r AS (SELECT p_partkey AS id FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey FROM part p JOIN r ON p.p_partkey / 2 = r.id WHERE p.p_partkey <= 60) TRAVERSAL ORDER"
-dialect("recursive_pre_order", "part", TREE + ' pre_order SELECT id AS "id" FROM r LIMIT 9', TREE_SQL + " SELECT id FROM r ORDER BY path LIMIT 9")
-dialect("recursive_post_order", "part", TREE + ' post_order SELECT id AS "id" FROM r LIMIT 9', TREE_SQL + " SELECT id FROM r ORDER BY list_append(path, 999999) LIMIT 9")
+TREE_SQL = "WITH RECURSIVE r AS (SELECT p_partkey AS id, [p_partkey] AS path FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, list_append(r.path, p.p_partkey) FROM part p JOIN r ON p.p_partkey // 2 = r.id)"
+TREE = "WITH RECURSIVE r AS (SELECT p_partkey AS id FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey FROM part p JOIN r ON p.p_partkey / 2 = r.id) TRAVERSAL ORDER"
+dialect("recursive_pre_order", "part", TREE + ' pre_order SELECT id AS "id" FROM r', TREE_SQL + " SELECT id FROM r ORDER BY path")
+dialect("recursive_post_order", "part", TREE + ' post_order SELECT id AS "id" FROM r', TREE_SQL + " SELECT id FROM r ORDER BY list_append(path, 99999999999)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import recursive as rec
 from quern.operators import relational as R
+from quern.plans.engine import Engine
 from quern.queries.registry import Tables, query
 
 
@@ -67,12 +68,12 @@ def chained_cte(t: Tables) -> DataFrame:
 
 
 def hierarchy(t: Tables) -> DataFrame:
-    """Parts 1 to 200 as a binary tree: the parent of k is floor(k / 2), 1 is the root."""
+    """All parts as a binary tree: the parent of k is floor(k / 2), 1 is the root."""
     k = F.col("p_partkey")
-    return t.part.where("p_partkey BETWEEN 1 AND 200").select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).cast("long").alias("parent"))
+    return t.part.select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).cast("long").alias("parent"))
 
 
-TREE = "h AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part WHERE p_partkey BETWEEN 1 AND 200)"
+TREE = "h AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part)"
 
 
 @query(f"WITH RECURSIVE {TREE}, r AS (SELECT id, parent, 0 AS depth FROM h WHERE parent IS NULL UNION ALL SELECT h.id, h.parent, r.depth + 1 FROM h JOIN r ON h.parent = r.id) SELECT id, parent, CAST(depth AS INTEGER) AS depth FROM r")
@@ -98,7 +99,8 @@ def rcte_distinct_cycle(t: Tables) -> DataFrame:
     return rec.distinct_fixpoint(seed, lambda f: f.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")))
 
 
-@query("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 150) SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM r")
+@query("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 40) SELECT n_name AS name, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM r JOIN nation ON n_nationkey = n % 25 GROUP BY 1")
 def rcte_count(t: Tables) -> DataFrame:
-    t.spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
-    return t.spark.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 150) SELECT count(*) AS n, sum(n) AS total FROM r")
+    """The engine's own recursion, level by level, aggregated and joined with a table afterwards."""
+    e = Engine(t.spark).register_folder(t.sf_dir, "region", "nation")
+    return e.query('WITH RECURSIVE r AS (SELECT n_nationkey + 1 AS n FROM nation WHERE n_nationkey = 0 UNION ALL SELECT r.n + 1 FROM r WHERE r.n < 40) SELECT x.n_name AS "name", COUNT(*) AS "n", SUM(r.n) AS "total" FROM r JOIN nation x ON x.n_nationkey = r.n % 25 GROUP BY x.n_name')

@@ -64,7 +64,7 @@ def plan_comparator(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.lit(0 if R.same_rows(a, b) else 1).alias("differences"))
 
 
-@query("SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderkey <= 300 GROUP BY 1")
+@query("SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY 1")
 def index_aggregate_view(t: Tables) -> DataFrame:
     """An index defined by a grouped query."""
     e = Engine(t.spark).register_folder(t.sf_dir, "orders")
@@ -74,7 +74,7 @@ def index_aggregate_view(t: Tables) -> DataFrame:
     rows = e.schema.tables["ORDERS"]
     e.use("/d", "s")
     e.schema.tables["ORDERS"] = rows
-    e.execute("INSERT INTO o SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey <= 300")
+    e.execute("INSERT INTO o SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
     return e.index("by_c").select(F.col("C").alias("k"), F.col("N").alias("n"), F.round("S", 2).alias("s"))
 
 
@@ -94,3 +94,48 @@ def ext_as_of_join(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", kind, "event_id").rowsBetween(Window.unboundedPreceding, 0)
     both = t.events.where("event_type IN ('purchase', 'click')").withColumn("b", F.last(click, ignorenulls=True).over(w))
     return both.where("event_type = 'purchase'").select("event_id", F.col("b.event_id").alias("before"))
+
+
+@query("SELECT 'scan filter' AS what, true AS holds UNION ALL SELECT 'same plan', true UNION ALL SELECT 'other plan', false")
+def explain_and_plan_hash(t: Tables) -> DataFrame:
+    """EXPLAIN names the scan and the pushed filter; the fingerprint of a plan does not depend on spelling, but on the question."""
+    e = Engine(t.spark).register_folder(t.sf_dir, "orders")
+    plan = e.rows("EXPLAIN SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")[0][0]
+    a, b, c = (e.plan_hash(x) for x in ("SELECT o_orderkey FROM orders WHERE o_totalprice > 1", "select O_ORDERKEY from ORDERS where (o_totalprice) > 1", "SELECT o_orderkey FROM orders WHERE o_totalprice > 2"))
+    return t.spark.createDataFrame([("scan filter", "PushedFilters" in plan and "GreaterThan(o_totalprice" in plan), ("same plan", a == b), ("other plan", a == c)], "what string, holds boolean")
+
+
+@query("SELECT o_custkey AS k, count(*) AS n, CAST(max(floor(o_totalprice / 1000)) AS DOUBLE) AS top FROM orders WHERE o_totalprice > 50000 GROUP BY 1")
+def sql_view_and_function(t: Tables) -> DataFrame:
+    e = Engine(t.spark).register_folder(t.sf_dir, "orders")
+    e.execute("CREATE VIEW dear AS SELECT o_custkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 50000; CREATE FUNCTION thousands (IN x DOUBLE) RETURNS DOUBLE AS FLOOR(x / 1000.0)")
+    return e.query('SELECT k AS "k", COUNT(*) AS "n", MAX(thousands(p)) AS "top" FROM dear GROUP BY k')
+
+
+@query("SELECT c_custkey AS k, o_orderkey AS o FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000")
+def sql_table_function(t: Tables) -> DataFrame:
+    e = Engine(t.spark).register_folder(t.sf_dir, "orders", "customer")
+    e.execute("CREATE FUNCTION above (IN low DOUBLE) AS SELECT o_custkey AS who, o_orderkey AS o FROM orders WHERE o_totalprice > low")
+    return e.query('SELECT c_custkey AS "k", a.o AS "o" FROM customer, above(100000.0) a WHERE a.who = c_custkey')
+
+
+@query("SELECT p_partkey AS k, p_type LIKE '%' || substr(p_brand, 1, 1) || '%' AS a, p_name || '_x%' LIKE replace(replace(p_name, '%', ''), '_', '') || '!_x!%' ESCAPE '!' AS b FROM part")
+def sql_like_of_columns(t: Tables) -> DataFrame:
+    """Patterns that are computed, with and without an escape."""
+    e = Engine(t.spark).register_folder(t.sf_dir, "part")
+    return e.query("SELECT p_partkey AS \"k\", p_type LIKE CONCAT('%', SUBSTRING(p_brand, 1, 1), '%') AS \"a\", p_name + '_x%' LIKE p_name + '!_x!%' ESCAPE '!' AS \"b\" FROM part")
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_regionkey = 0 THEN 'nan' ELSE CAST(CAST(n_nationkey % n_regionkey AS DOUBLE) AS VARCHAR) END AS m FROM nation")
+def sql_mod_by_zero(t: Tables) -> DataFrame:
+    """MOD of doubles by zero is not a number, as % is."""
+    e = Engine(t.spark).register_folder(t.sf_dir, "nation")
+    out = e.query("SELECT n_nationkey AS k, MOD(CAST(n_nationkey AS DOUBLE), CAST(n_regionkey AS DOUBLE)) AS m FROM nation")
+    return out.select(F.col("K").alias("k"), F.when(F.isnan("M"), "nan").otherwise(F.col("M").cast("string")).alias("m"))
+
+
+@query("SELECT vec_id AS id FROM (SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN vec_id % 7 END AS d FROM embeddings) ORDER BY d DESC NULLS FIRST, vec_id LIMIT 5")
+def sql_qualify_null_order(t: Tables) -> DataFrame:
+    """QUALIFY without groups: the first rows in an explicit order of nulls."""
+    e = Engine(t.spark).register_folder(t.sf_dir, "embeddings")
+    return e.query('SELECT vec_id AS "id" FROM (SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN vec_id % 7 END AS d FROM embeddings) x QUALIFY ROW_NUMBER() OVER (ORDER BY d DESC NULLS FIRST, vec_id) <= 5')

@@ -49,3 +49,29 @@ def knn_inverted_file(t: Tables) -> DataFrame:
     ivf = V.InvertedFile.build(t.embeddings.select("vec_id", "embedding"), "embedding", "vec_id", 16)
     queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("target"))
     return ivf.search_many(queries, "query_id", 10, 4)
+
+
+@query(f"SELECT vec_id, CAST(1.0 AS DOUBLE) AS distance FROM embeddings")
+def knn_cosine_of_zeros(t: Tables) -> DataFrame:
+    """A vector of zeros is at distance 1 from all."""
+    return t.embeddings.select("vec_id", V.distance("cosine", "embedding", V.vector([0.0] * 64)).alias("distance"))
+
+
+def twentieth(t: Tables) -> DataFrame:
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("target"))
+
+
+@query(f"SELECT query_id, vec_id, row_number FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id) AS row_number FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE row_number <= 10")
+def knn_exact_many(t: Tables) -> DataFrame:
+    """The ten neighbours of every twentieth vector against all, in blocks."""
+    return V.exact_many(t.embeddings, "embedding", "vec_id", twentieth(t), "query_id", 10).select("query_id", "vec_id", "row_number")
+
+
+@query("SELECT true AS recall_of_nine_tenths")
+def knn_clustered(t: Tables) -> DataFrame:
+    """The two-level index finds nine of ten true neighbours of every twentieth vector."""
+    index = V.Clustered.build(t.embeddings.select("vec_id", "embedding"), "embedding", "vec_id")
+    found = index.search_many(twentieth(t), "query_id", 10, probes=16)
+    true = V.exact_many(t.embeddings, "embedding", "vec_id", twentieth(t), "query_id", 10)
+    hits = true.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_of_nine_tenths"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,27 +37,64 @@ def windowed(events: DataFrame, ts: str, size: str, slide: str, late: str, by: l
     return best.select(F.col("_w.start").cast("timestamp_ntz").alias("start"), F.col("_w.end").cast("timestamp_ntz").alias("end"), *by, "best")
 
 
-def run(stream: DataFrame, mode: str, name: str, sink: Callable[[DataFrame, int], None]) -> None:
-    """Process everything that is there now; state and offsets are kept in the shared folder."""
-    spark = stream.sparkSession
-    import uuid
+def run(stream: DataFrame, mode: str, name: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
+    """Process everything that is there now.
 
-    where = f"{shared_dir(spark)}/quern/stream-{name}-{uuid.uuid4().hex}"
+    State and offsets are kept in ``checkpoint``: a later run with the same one goes on where this one ends. Without one
+    they go to a new folder of the shared one, for a run of its own.
+    """
+    where = checkpoint or f"{shared_dir(stream.sparkSession)}/quern/stream-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", where).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 class Latest:
-    """A sink that keeps the newest row of each key: what a maintained aggregate index holds."""
-
-    def __init__(self, keys: list[str]):
-        self.keys, self.rows, self.last = keys, None, -1
+    """A sink that keeps the newest row of each key: what a maintained aggregate index holds.
+
+    Rows lie in buckets by the hash of their key. A batch rewrites the buckets that it touches, in a folder of its own
+    (``epoch=n/bucket=b``); a bucket's newest folder counts. So a batch costs what its keys' buckets hold, one that is delivered again or
+    was cut off leaves no trace, and a new object over the same path goes on where the last one ended.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], path: str | None = None, buckets: int = 32):
+        self.spark, self.keys, self.buckets = spark, keys, buckets
+        self.path = path or f"{shared_dir(spark)}/quern/latest-{uuid.uuid4().hex}"
+
+    def _folders(self, path: str) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _epochs(self) -> list[int]:
+        """Epochs that were written to their end, oldest first."""
+        names = [f for f in self._folders(self.path) if f.startswith("epoch=")]
+        return sorted(int(f[6:]) for f in names if "_SUCCESS" in self._folders(f"{self.path}/{f}"))
+
+    def _newest(self) -> dict[int, str]:
+        out = {}
+        for e in self._epochs():
+            out |= {int(b[7:]): f"{self.path}/epoch={e}/{b}" for b in self._folders(f"{self.path}/epoch={e}") if b.startswith("bucket=")}
+        return out
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        if epoch <= self.last:  # a batch that is delivered again
+        done = self._epochs()
+        if done and epoch <= done[-1]:  # a batch that is delivered again
             return
-        new = batch if self.rows is None else self.rows.join(batch, self.keys, "left_anti").unionByName(batch)
-        self.rows, self.last = cut(new, "latest"), epoch
+        new = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")), "batch")
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}
+        old = [path for b, path in self._newest().items() if b in touched]
+        if old:
+            kept = self.spark.read.schema(batch.schema).parquet(*old).alias("o")
+            same = F.lit(True)
+            for k in self.keys:
+                same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
+            stay = kept.join(new.select(*self.keys).alias("n"), same, "left_anti")
+            new = stay.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")).unionByName(new)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/epoch={epoch}")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(*self._newest().values())
 
 
 class Append:

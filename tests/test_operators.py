@@ -130,3 +130,65 @@ def test_aggregate_join_consistency(spark):
     semi = R.exists(c, o, [("c_custkey", "o_custkey")]).select("c_custkey")
     joined = c.join(o, c["c_custkey"] == o["o_custkey"]).select("c_custkey").distinct()
     assert R.same_rows(semi, joined)
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    from quern.streaming import events as E
+
+    folder, state, marks = (f"file://{tmp_path}/{n}" for n in ("in", "state", "marks"))
+    for rows in ([("a", 1.0), ("b", 2.0), (None, 5.0)], [("a", 3.0), ("c", 4.0), (None, 1.0)]):
+        spark.createDataFrame(rows, "kind string, value double").coalesce(1).write.mode("append").parquet(folder)
+        E.run(E.counts(E.source(spark, folder), ["kind"]), "update", "t", E.Latest(spark, ["kind"], state), marks)
+    got = {r["kind"]: (r["n"], r["total"]) for r in E.Latest(spark, ["kind"], state).rows.collect()}
+    assert got == {"a": (2, 4.0), "b": (1, 2.0), "c": (1, 4.0), None: (2, 6.0)}
+    again = E.Latest(spark, ["kind"], state)
+    again(spark.createDataFrame([("a", 9, 9.0)], "kind string, n long, total double"), 0)  # delivered again: nothing changes
+    assert {r["kind"]: r["n"] for r in again.rows.collect()}["a"] == 2
+
+
+def test_words_in_a_span_of_a_long_text(spark):
+    from quern.operators import text as T
+
+    rows = [(1, "a x x b x c"), (2, "a b x x x x c"), (3, "c b a"), (4, "a " * 5000 + "b " * 5000), (5, "a a b"), (6, "b")]
+    index = T.tokens(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    for words, distance in ((["a", "b", "c"], 3), (["a", "b", "c"], 6), (["a", "b"], 2), (["a"], 1), (["a", "a", "b"], 2)):
+        def fits(t):
+            w = t.split()
+            return any(set(words) <= set(w[i : i + distance]) for i in range(len(w)))
+
+        assert {r["k"] for r in T.all_within(index, "k", words, distance).collect()} == {k for k, t in rows if fits(t)}
+
+
+def test_clustered_vectors(spark):
+    import numpy as np
+
+    from quern.operators import vectors as V
+
+    g = np.random.default_rng(3)
+    x = g.normal(size=(3000, 16))
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(5000, None, 0), (5001, [0.0] * 16, 1)], "id long, v array<double>, zone int")
+    queries = rows.where("id % 20 = 0 and v is not null").selectExpr("id as q", "v as target")
+    for metric in ("euclidean", "cosine"):
+        true = {(r["q"], r["id"]) for r in V.exact_many(rows, "v", "id", queries, "q", 10, metric).collect()}
+        at = x[40]
+        if metric == "euclidean":
+            want = np.argsort(((x - at) ** 2).sum(1), kind="stable")[:10]
+            assert {i for q, i in true if q == 40} == set(want.tolist())
+        index = V.Clustered.build(rows, "v", "id", metric=metric)
+        found = {(r["q"], r["id"]) for r in index.search_many(queries, "q", 10, probes=20, epsilon=2.0).collect()}
+        assert len(found) == len(true) and len(found & true) >= 0.9 * len(true)
+    one = index.search(x[40].tolist(), 5, probes=20).collect()
+    assert one[0]["id"] == 40 or 40 in {r["id"] for r in one}
+    assert all(i % 3 == 1 for i in (r["id"] for r in V.Clustered.build(rows, "v", "id").search(x[1].tolist(), 4, where=F.col("zone") == 1).collect() if r["id"] < 3000))
+    assert V.Clustered.build(rows.limit(0), "v", "id").search([0.0] * 16, 3).count() == 0
+
+
+def test_distance_to_a_vector_of_zeros(spark):
+    from quern.operators import vectors as V
+    from quern.plans.engine import Engine
+
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
+    assert {r["id"]: r["d"] for r in rows.select("id", V.distance("cosine", "v", V.vector([3.0, 0.0])).alias("d")).collect()} == {1: 1.0, 2: 0.0}
+    e = Engine(spark)
+    e.register("z", rows)
+    assert sorted(e.rows("SELECT id, cosine_distance(v, [3.0, 0.0]) FROM z")) == [(1, 1.0), (2, 0.0)]

@@ -34,7 +34,7 @@ def one(db, expr, where="id = 1"):
         ("TRUE XOR TRUE", False), ("TRUE OR TRUE AND FALSE", False), ("NOT FALSE AND TRUE", True), ("'a' + 'b'", "ab"), ("CONCAT('a', NULL, 'b')", "ab"), ("GREATEST(1, NULL, 3)", None), ("LEAST(3, 1, 2)", 1),
         ("CAST(2.5 AS BIGINT)", 3), ("CAST(-2.5 AS BIGINT)", -2), ("CAST(' 12 ' AS BIGINT)", 12), ("CAST('true' AS BOOLEAN)", True), ("CAST(1 AS BOOLEAN)", True), ("COALESCE(NULL, 5)", 5), ("REPLACE('abc', 'b', NULL)", "ac"),
         ("SUBSTRING('hello', 2, 3)", "ell"), ("POSITION('l', 'hello')", 3), ("LENGTH('é')", 1), ("OCTET_LENGTH('é')", 2), ("ROUND(2.5)", 3.0), ("ROUND(125, -1)", 130), ("FLOOR(-1.5)", -2.0), ("LOG(2, 8)", 3.0), ("CARDINALITY([1, 2])", 2), ("[5, 6][2]", 6),
-        ("CASE a WHEN 6 THEN 'six' ELSE 'no' END", "six"), ("CASE WHEN a > 100 THEN 1 ELSE 2.5 END", 2.5), ("a = 6 AND s LIKE 'x%'", True), ("s LIKE 'x!%y' ESCAPE '!'", True), ("'x.y' LIKE 'x_y'", True), ("'xzy' LIKE 'x.y'", False), ("5 BETWEEN 9 AND 1", False), ("a IS DISTINCT FROM NULL", True),
+        ("CASE a WHEN 6 THEN 'six' ELSE 'no' END", "six"), ("CASE WHEN a > 100 THEN 1 ELSE 2.5 END", 2.5), ("a = 6 AND s LIKE 'x%'", True), ("s LIKE 'x!%y' ESCAPE '!'", True), ("'x.y' LIKE 'x_y'", True), ("'xzy' LIKE 'x.y'", False), ("'a%b' LIKE CONCAT('a', '!%', 'b') ESCAPE '!'", True), ("'axb' LIKE CONCAT('a', '!%', 'b') ESCAPE '!'", False), ("'a!b' LIKE CONCAT('a!!', 'b') ESCAPE '!'", True), ("'a' + s LIKE 'a' + s", True), ("CONCAT('a', '%') LIKE CONCAT('a', '|%') ESCAPE '|'", True), ("'x' LIKE CONCAT('!', 'x') ESCAPE '!'", True), ("MOD(7, 3)", 1), ("MOD(7.5, 2)", 1.5), ("5 BETWEEN 9 AND 1", False), ("a IS DISTINCT FROM NULL", True),
     ],
 )
 def test_expressions(db, expr, want):
@@ -44,6 +44,7 @@ def test_expressions(db, expr, want):
 
 def test_ieee_division(db):
     assert math.isinf(one(db, "1.0 / 0.0")) and math.isnan(one(db, "0.0 / 0.0"))
+    assert math.isnan(one(db, "MOD(5.0, 0.0)")) and math.isnan(one(db, "5.0 % 0.0")) and math.isinf(one(db, "LOG(1, 8)"))
 
 
 # The codes that the dialect's own tests pin.
@@ -55,7 +56,7 @@ def test_ieee_division(db):
         ("SELECT a, COUNT(*) FROM t", "42803"), ("SELECT a, b FROM t GROUP BY a", "42803"), ("SELECT COUNT(DISTINCT a) FROM t", "0A000"), ("SELECT MAX(s) FROM t", "42804"), ("SELECT SUM(SUM(a)) FROM t", "0A000"), ("SELECT ROW_NUMBER() OVER (ORDER BY a) FROM t", "42883"), ("SELECT a FROM t UNION SELECT b FROM t", "0AF00"),
         ("SELECT a FROM t UNION ALL SELECT a, b FROM t", "42F64"), ("SELECT a FROM t UNION ALL SELECT s FROM t", "42F65"), ("SELECT a FROM t INTERSECT SELECT b FROM t", "42601"), ("SELECT a FROM t ORDER BY 3", "22023"), ("SELECT a FROM t ORDER BY a, a", "42701"), ("SELECT a FROM t LIMIT -1", "42601"), ("SELECT a AS x FROM t GROUP BY x", "42703"),
         ("SELECT SQRT(a - 100) FROM t WHERE id = 1", "22023"), ("SELECT a / b FROM t WHERE id = 2", "22012"), ("SELECT 9223372036854775807 + 1 FROM t", "22003"), ("SELECT CAST('x' AS BIGINT) FROM t", "22F3H"), ("SELECT CAST('yes' AS BOOLEAN) FROM t", "22F3H"), ("SELECT NULLIF(a, b) FROM t", "42883"), ("SELECT id FROM t WHERE a ILIKE 'x'", "42601"),
-        ("SELECT id FROM t WHERE a = (SELECT a FROM t)", "21000"), ("SELECT (SELECT a, b FROM t) FROM t", "42601"), ("SELECT id FROM t WHERE a IS UNKNOWN", "42601"), ("WITH RECURSIVE r AS (SELECT id FROM t) SELECT * FROM r", "0A000"), ("SELECT TRIM(BOTH 'x' FROM s) FROM t", "0AF00"), ("SELECT id FROM t GROUP BY 7", "22023"), ("SELECT id FROM t OFFSET 2", "42601"), ("SELECT wrong.* FROM t", "42F01"), ("SELECT x'0' FROM t", "22F03"), ("SELECT COUNT(*) FROM t GROUP BY a AS x, b AS x", "42702"), ("SELECT id WHERE id = 2 FROM t", "42601"), ("SELECT 1e400 FROM t", "22003"), ("WITH c (x, y) AS (SELECT id FROM t) SELECT x FROM c", "42F10"), ("WITH c AS (SELECT id FROM t), c AS (SELECT a FROM t) SELECT * FROM c", "42712"),
+        ("SELECT id FROM t WHERE a = (SELECT a FROM t)", "21000"), ("SELECT (SELECT a, b FROM t) FROM t", "42601"), ("SELECT id FROM t WHERE a IS UNKNOWN", "42601"), ("WITH RECURSIVE r AS (SELECT id FROM t) SELECT * FROM r", "0A000"), ("SELECT TRIM(BOTH 'x' FROM s) FROM t", "0AF00"), ("SELECT id FROM t GROUP BY 7", "22023"), ("SELECT id FROM t OFFSET 2", "42601"), ("SELECT wrong.* FROM t", "42F01"), ("SELECT x'0' FROM t", "22F03"), ("SELECT COUNT(*) FROM t GROUP BY a AS x, b AS x", "42702"), ("SELECT id WHERE id = 2 FROM t", "42601"), ("SELECT 1e400 FROM t", "22003"), ("SELECT id FROM t WHERE s LIKE CONCAT('x', '!') ESCAPE '!'", "22023"), ("SELECT MOD(a, 0) FROM t", "22012"), ("EXPLAIN SELECT nope FROM t", "42703"), ("WITH c (x, y) AS (SELECT id FROM t) SELECT x FROM c", "42F10"), ("WITH c AS (SELECT id FROM t), c AS (SELECT a FROM t) SELECT * FROM c", "42712"),
     ],
 )
 def test_errors(db, sql, state):
@@ -139,3 +140,78 @@ def test_unnest(spark):
     e = Engine(spark)
     e.register("o", spark.createDataFrame([(1, [7, 8]), (2, [])], "id long, items array<long>"))
     assert sorted(e.rows("SELECT o.id, x, i FROM o, o.items AS x AT i")) == [(1, 7, 1), (1, 8, 2)]
+
+
+def test_views_and_functions(db):
+    db.execute("CREATE VIEW v AS SELECT id AS k, a + 1 AS x FROM t WHERE a > 0; CREATE FUNCTION twice (IN n BIGINT) RETURNS BIGINT AS n * 2; CREATE FUNCTION from_id (low BIGINT) AS SELECT id, s FROM t WHERE id >= low")
+    assert sorted(db.rows("SELECT k, twice(x) FROM v")) == [(1, 14), (2, 10)]
+    assert sorted(db.rows("SELECT f.id FROM from_id(2) f")) == [(2,), (3,)] and db.rows("SELECT id FROM t WHERE twice(id) = 4") == [(2,)]
+    for sql, state in [("CREATE VIEW v AS SELECT id FROM t", "42F07"), ("CREATE VIEW w AS SELECT nope FROM t", "42703"), ("CREATE FUNCTION twice (n BIGINT) RETURNS BIGINT AS n", "42723"), ("CREATE FUNCTION @@@", "42601"), ("DROP VIEW w", "42F01")]:
+        with pytest.raises(SQLError) as e:
+            db.execute(sql)
+        assert e.value.state == state, sql
+    for sql, state in [("SELECT twice(1, 2) FROM t", "42601"), ("SELECT twice('x') FROM t", "42804")]:
+        with pytest.raises(SQLError) as e:
+            db.rows(sql)
+        assert e.value.state == state, sql
+    with pytest.raises(SQLError) as e:
+        db.execute("CREATE VIEW p AS SELECT id FROM t WHERE id = ?", [1])
+    assert e.value.state == "42601"
+    db.execute("DROP VIEW v; DROP FUNCTION twice; DROP FUNCTION from_id")
+    with pytest.raises(SQLError):
+        db.rows("SELECT k FROM v")
+
+
+def test_explain_and_fingerprints(db):
+    assert "Scan" in db.explain("SELECT id FROM t WHERE a > 1") and db.query("EXPLAIN SELECT id FROM t").columns == ["PLAN"]
+    assert db.plan_hash("SELECT id FROM t WHERE a > 1") == db.plan_hash("select ID from T where (a > 1)") != db.plan_hash("SELECT id FROM t WHERE a > 2")
+
+
+def test_sessions_and_definitions_in_transactions(spark):
+    a = Engine(spark)
+    a.execute("CREATE DATABASE /x; CREATE SCHEMA TEMPLATE m CREATE TABLE t (id BIGINT NOT NULL, PRIMARY KEY (id)) CREATE VIEW big AS SELECT id FROM t WHERE id > 1; CREATE SCHEMA /x/s WITH TEMPLATE m")
+    a.use("/x", "s")
+    b = a.session().use("/x", "s")
+    a.execute("INSERT INTO t VALUES (1), (2)")
+    a.execute("START TRANSACTION; DROP SCHEMA /x/s; CREATE SCHEMA /x/other WITH TEMPLATE m")
+    assert b.rows("SELECT COUNT(*) FROM t") == [(2,)] and b.rows("SELECT id FROM big") == [(2,)]
+    a.execute("ROLLBACK")
+    assert a.rows("SELECT COUNT(*) FROM t") == [(2,)] and set(a.databases["/X"]) == {"S"}
+    a.execute("START TRANSACTION; CREATE SCHEMA /x/other WITH TEMPLATE m; DELETE FROM t WHERE id = 1")
+    assert b.rows("SELECT COUNT(*) FROM t") == [(2,)]
+    a.execute("COMMIT")
+    assert b.rows("SELECT id FROM t") == [(2,)] and set(b.databases["/X"]) == {"S", "OTHER"}
+    a.execute("START TRANSACTION; DELETE FROM t")
+    b.execute("INSERT INTO t VALUES (7)")
+    with pytest.raises(SQLError) as e:
+        a.execute("COMMIT")
+    assert e.value.state == "40001" and sorted(a.rows("SELECT id FROM t")) == [(2,), (7,)]
+
+
+def test_returning_and_many_parts(spark):
+    e = Engine(spark)
+    e.execute("CREATE DATABASE /r; CREATE SCHEMA TEMPLATE m CREATE TABLE t (id BIGINT NOT NULL, n BIGINT, PRIMARY KEY (id)); CREATE SCHEMA /r/s WITH TEMPLATE m")
+    e.use("/r", "s")
+    for i in range(12):
+        e.execute(f"INSERT INTO t VALUES ({i}, {i * 10}) RETURNING id")
+        assert [tuple(r) for r in e.last_returning.collect()] == [(i,)]
+    assert len(e.schema.tables["T"].parts) < 12 and e.rows("SELECT COUNT(*), SUM(n) FROM t") == [(12, 660)]
+    e.execute("UPDATE t SET n = n + 1 WHERE id >= 9 RETURNING id, n + 1 AS m")
+    assert sorted(map(tuple, e.last_returning.collect())) == [(9, 92), (10, 102), (11, 112)]
+    assert e.execute("DELETE FROM t WHERE id % 2 = 0 RETURNING n") == 6
+    assert sorted(r[0] for r in e.last_returning.collect()) == [0, 20, 40, 60, 80, 101]
+    with pytest.raises(SQLError) as x:
+        e.execute("INSERT INTO t VALUES (3, 1)")
+    assert x.value.state == "23505"
+
+
+def test_vector_index(spark):
+    e = Engine(spark)
+    e.execute("CREATE DATABASE /v; CREATE SCHEMA TEMPLATE m CREATE TABLE d (id BIGINT NOT NULL, v DOUBLE ARRAY, PRIMARY KEY (id)) CREATE VECTOR INDEX near USING HNSW ON d (v); CREATE SCHEMA /v/s WITH TEMPLATE m")
+    e.use("/v", "s")
+    e.execute("INSERT INTO d VALUES (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, [5.0, 5.0])")
+    first = e.vector_index("near")
+    assert [r["id" if "id" in r else "ID"] for r in first.search([1.0, 0.0], 2, probes=8, epsilon=9.0).orderBy("row_number").collect()] == [1, 3]
+    assert e.vector_index("near") is first
+    e.execute("INSERT INTO d VALUES (5, [1.0, 0.01])")
+    assert [r["ID"] for r in e.vector_index("near").search([1.0, 0.0], 2, probes=8, epsilon=9.0).orderBy("row_number").collect()] == [1, 5]
