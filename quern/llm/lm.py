@@ -153,14 +153,14 @@ class Block:
         self.counts = np.concatenate([blocks.unpack(c[1], np.int64) for _, c in cells])
 
     def pairs(self, total: int, n: int) -> None:
-        """Distinct (history, word) pairs by target bucket, then by history; ``inverse``: the pair of each token."""
+        """Distinct (history, word) pairs by target bucket, then by the history's and the word's id; ``inverse``: the pair of each token."""
         history, v = np.r_[self.end, self.seq[:-1]], len(self.ids)
         code, inverse = np.unique(history * v + self.seq, return_inverse=True)
         one, two = code // v, code % v
         spread = np.maximum(1, -(-self.counts[one] * n // max(total, 1)))
         shift = ((self.ids[two].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % spread
         target = (self.ids[one] + shift) % n
-        order = np.argsort(target.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")  # a radix sort for 16 bits
+        order = np.lexsort((self.ids[two], self.ids[one], target))
         self.one, self.two, self.target = one[order], two[order], target[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -231,6 +231,23 @@ def _block_of(pdf: pd.DataFrame) -> Block:
     return Block(blocks.split(pdf.loc[pdf["kind"] == "tokens", "data"].iloc[0]), words)
 
 
+def pack_pairs(bucket: int, n: int, history: np.ndarray, of_history: np.ndarray, runs: np.ndarray, two: np.ndarray, of_two: np.ndarray, c: np.ndarray) -> bytes:
+    """A cell of sorted pairs: ids as differences, histories in steps of the buckets (which most of a bucket's are apart)."""
+    step = two.copy()
+    step[1:] -= two[:-1]
+    starts = np.cumsum(runs) - runs
+    step[starts] = two[starts]
+    return blocks.join([blocks.pack(x) for x in (np.diff(history // n, prepend=0), (history - bucket) % n, of_history, runs, step, of_two, c)])
+
+
+def unpack_pairs(bucket: int, n: int, data: bytes) -> tuple[np.ndarray, ...]:
+    quotient, rest, of_history, runs, step, of_two, c = (blocks.unpack(x, np.int64) for x in blocks.split(data))
+    starts = np.cumsum(runs) - runs
+    total = np.cumsum(step)
+    two = total - np.repeat(total[starts] - step[starts], runs)
+    return np.cumsum(quotient) * n + (rest + bucket) % n, of_history, runs, two, of_two, c
+
+
 def scan_pairs(tokens: DataFrame, words: DataFrame, total: int, n: int) -> DataFrame:
     """Cells of the distinct pairs of each block, with their training counts."""
 
@@ -242,21 +259,20 @@ def scan_pairs(tokens: DataFrame, words: DataFrame, total: int, n: int) -> DataF
         out = []
         for b, a, z in slices(own.target):
             starts = np.flatnonzero(np.r_[True, np.diff(own.one[a:z]) != 0])
-            first = own.one[a:z][starts]
-            two = own.two[a:z]
-            out.append(("pairs", pdf["block"].iloc[0], b, blocks.join([blocks.pack(own.ids[first]), blocks.pack(own.counts[first]), blocks.pack(np.diff(np.r_[starts, z - a])), blocks.pack(own.ids[two]), blocks.pack(own.counts[two]), blocks.pack(counts[a:z])])))
+            first, two = own.one[a:z][starts], own.two[a:z]
+            out.append(("pairs", pdf["block"].iloc[0], b, pack_pairs(b, n, own.ids[first], own.counts[first], np.diff(np.r_[starts, z - a]), own.ids[two], own.counts[two], counts[a:z])))
         return rows_frame(out)
 
     both = tokens.unionByName(words.where("kind = 'word'"))
     return both.groupBy("block").applyInPandas(grouped(run), CELL)
 
 
-def count_pairs(cells: DataFrame) -> DataFrame:
+def count_pairs(cells: DataFrame, n: int) -> DataFrame:
     """kind pair: the counts for each cell; kind model: histories, their counts, runs, words, their counts, pair counts; kind stats."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
-        got = [[blocks.unpack(x, np.int64) for x in blocks.split(d)] for d in pdf["data"]]
+        got = [unpack_pairs(bucket, n, d) for d in pdf["data"]]
         one = np.concatenate([np.repeat(g[0], g[2]) for g in got])
         of_one = np.concatenate([np.repeat(g[1], g[2]) for g in got])
         two, of_two, c = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
@@ -272,7 +288,7 @@ def count_pairs(cells: DataFrame) -> DataFrame:
         keep = order[new][total > 0]
         total = total[total > 0]
         histories, starts = np.unique(one[keep], return_index=True)
-        out.append(("model", None, bucket, blocks.join([blocks.pack(histories), blocks.pack(of_one[keep][starts]), blocks.pack(np.diff(np.r_[starts, len(keep)]).astype(np.int64)), blocks.pack(two[keep]), blocks.pack(of_two[keep]), blocks.pack(total)])))
+        out.append(("model", None, bucket, pack_pairs(bucket, n, histories, of_one[keep][starts], np.diff(np.r_[starts, len(keep)]).astype(np.int64), two[keep], of_two[keep], total)))
         out.append(("stats", None, bucket, pickle.dumps((counts_of_counts(total), int(total.sum()), len(total)))))
         return rows_frame(out)
 
@@ -294,7 +310,7 @@ def backoff(pairs: DataFrame, unigrams: Unigrams, d: np.ndarray, total: int, n:
         for batch in batches:
             out = []
             for bucket, data in zip(batch["bucket"], batch["data"], strict=True):
-                one, of_one, runs, _, of_two, c = (blocks.unpack(x, np.int64) for x in blocks.split(data))
+                one, of_one, runs, _, of_two, c = unpack_pairs(bucket, n, data)
                 at = np.repeat(np.arange(len(one)), runs)
                 seen = np.bincount(at, discounted(c, own), len(one))
                 lower = np.bincount(at, words.p(of_two), len(one))
@@ -364,7 +380,7 @@ def fit(documents: DataFrame) -> Fitted:
     d = discounts(counts)
     mass = total - sum(counts[r] * r * (1 - d[r]) for r in range(1, K + 1))
     unigrams = Unigrams(counts, total, distinct, mass)
-    pairs = cut(count_pairs(scan_pairs(tokens, words, total, n)), "lm-pairs", ["kind"])
+    pairs = cut(count_pairs(scan_pairs(tokens, words, total, n), n), "lm-pairs", ["kind"])
     release(spark)
     d2 = discounts(gathered(pairs)[0])
     weights = cut(backoff(pairs, unigrams, d2, total, n), "lm-weights", ["kind"])

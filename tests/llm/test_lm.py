@@ -94,7 +94,7 @@ def test_written_tables_are_normalised(spark):
     assert sum(p.values()) + model.unigrams.unknown == pytest.approx(1, abs=1e-12)
     seen, of = {}, {}
     for r in model.pairs.where("kind = 'model'").collect():
-        one, of_one, runs, two, _, c = (lm.blocks.unpack(x, lm.np.int64).tolist() for x in lm.blocks.split(r["data"]))
+        one, of_one, runs, two, _, c = (x.tolist() for x in lm.unpack_pairs(r["bucket"], model.n, r["data"]))
         at = 0
         for h, n, k in zip(one, of_one, runs, strict=True):
             of[h] = n
@@ -112,6 +112,17 @@ def test_written_tables_are_normalised(spark):
         assert total == pytest.approx(1, abs=1e-9)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 50), st.integers(0, 2**40)), max_size=40), st.integers(1, 9), st.integers(0, 8))
+def test_cells_of_pairs_round_trip(rows, n, bucket):
+    bucket %= n
+    rows = sorted({(a, b): c for a, b, c in rows}.items())
+    one, two, c = (lm.np.array(x, lm.np.int64) for x in ([a for (a, _), _ in rows], [b for (_, b), _ in rows], [c for _, c in rows]))
+    history, runs = lm.np.unique(one, return_counts=True)
+    cell = (history, history * 7, runs, two, two * 3, c)
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(lm.unpack_pairs(bucket, n, lm.pack_pairs(bucket, n, *cell)), cell, strict=True))
+
+
 def test_probabilities_add_up():
     _, prob, uni, after = brute(corpus(random.Random(2)))
     for a in [*after, b"never seen"]:
