@@ -59,7 +59,8 @@ class Words:
 
     def __init__(self, content: str):
         self.content = content
-        special = sorted((t["content"] for t in json.loads(content).get("added_tokens", [])), key=len, reverse=True)
+        self.special_ids = {t["content"]: t["id"] for t in json.loads(content).get("added_tokens", [])}
+        special = sorted(self.special_ids, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     @cached_property
@@ -85,13 +86,25 @@ class Words:
             return [w for k, part in enumerate(self.special.split(text)) for w in ([part] if k % 2 else self._plain(part))]
         return self._plain(text)
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word by itself; a text's ids are those of its words in order."""
-        out: list[list[int]] = []
-        for i in range(0, len(words), 20_000):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+    def packed(self, words: list[str]) -> list[bytes]:
+        """The ids of each word by itself, as 32-bit numbers; a text's ids are those of its words in order.
+
+        Words are pre-tokens already, so their bytes' letters go straight to the library's model; special tokens have their own ids.
+        """
+        merge, own = self.tokenizer.model.tokenize, self.special_ids
+        letters = {b: c for c, b in byte_of_letter().items()}
+        out = []
+        for w in words:
+            if w in own:
+                ids = [own[w]]
+            else:
+                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]
+            out.append(np.array(ids, np.uint32).tobytes())
         return out
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, np.uint32).tolist() for b in self.packed(words)]
+
 
 def byte_of_letter() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
@@ -170,7 +183,7 @@ def encode(documents: DataFrame, content: str, with_text: bool = False) -> DataF
                 if len(known) > KNOWN:
                     known.clear()
                 new = [w for w in cell if w not in known]
-                known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in words.encode([w.decode() for w in new])), strict=True))
+                known.update(zip(new, words.packed([w.decode() for w in new]), strict=True))
                 ids = [known[w] for w in cell]
                 lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
                 out.append(blocks.join([blocks.pack(lengths), blocks.pack_small(np.frombuffer(b"".join(ids), np.uint32))]))

@@ -28,7 +28,7 @@ from quern.llm.bpe import Words
 from quern.llm.common import cut, ready, streaming
 
 #: An encoder forgets its words' ids beyond so many.
-KNOWN = 300_000
+KNOWN = 600_000
 #: A segment (one frequency table) is closed at the first document end after so many ids.
 SEGMENT_IDS = 2 << 20
 
@@ -48,7 +48,7 @@ class Encoder:
             self.known.clear()
             new = set().union(*parts)
         new = sorted(new)
-        self.known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in self.words.encode(new)), strict=True))
+        self.known.update(zip(new, self.words.packed(new), strict=True))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.uint32) for p in parts]
 
 

@@ -75,3 +75,10 @@ def test_word_table(spark):
 @pytest.mark.parametrize("words", [[], [b"", b"a", b"\x00b"], [b"x" * 1000]])
 def test_packing(words):
     assert blocks.unpack_words(blocks.pack_words(words)) == words
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab'sdl 1\n\t!<|>endoftx²éß\x1c\x85\xa0\u2003͸՘中", max_size=12), max_size=12))
+def test_words_are_encoded_as_texts_of_their_own(texts):
+    words = sorted({w for t in texts for w in WORDS.split(t)})
+    assert WORDS.encode(words) == [TOKENIZER.encode(w, add_special_tokens=False).ids for w in words]
