@@ -38,6 +38,10 @@ from quern.llm.common import grouped, ready, streaming
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same over ASCII, for the faster engine.
 ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: The same over Latin letters up to U+024F, whose classes are written out, for the faster engine.
+SPACE, LETTERS, NUMBERS = "\t-\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+NARROW = re.compile("[\x00-ɏ]*")
 #: Characters whose classes are the same in every Unicode version in use; texts with others are split by the tokenizer itself.
 SETTLED = re.compile("[\x00-ͷ΄-ԧ‐-⁣←-⏳぀-ゖ一-鿋]*")
 
@@ -77,6 +81,8 @@ class Words:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return ASCII.findall(text)
+        if NARROW.fullmatch(text):
+            return LATIN.findall(text)
         if SETTLED.fullmatch(text):
             return PATTERN.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]

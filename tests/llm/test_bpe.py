@@ -82,3 +82,16 @@ def test_packing(words):
 def test_words_are_encoded_as_texts_of_their_own(texts):
     words = sorted({w for t in texts for w in WORDS.split(t)})
     assert WORDS.encode(words) == [TOKENIZER.encode(w, add_special_tokens=False).ids for w in words]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=40))
+def test_latin_texts_are_split_as_the_library_does(text):
+    assert bpe.LATIN.findall(text) == bpe.PATTERN.findall(text)
+    assert [i for ids in WORDS.encode(WORDS.split(text)) for i in ids] == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_every_latin_character_is_split_as_by_its_class():
+    for c in map(chr, range(0x250)):
+        for text in (f"a{c}b", f" {c}1", f"{c}{c} {c}", f"1{c}", f"!{c} "):
+            assert bpe.LATIN.findall(text) == bpe.PATTERN.findall(text), (c, text)
