@@ -39,7 +39,7 @@ MOST = 256
 CLASSES, PERIOD = 64, 4096
 SEED = 20240229
 #: Characters of texts that walk in lockstep.
-LOCKSTEP = 8 << 20
+LOCKSTEP = 4 << 20
 #: So few texts walk one by one.
 ALONE = 24
 #: Bands of BAND_STEPS symbols each are drawn from the first multiple of RANGE symbols, for the two largest multiples that a fingerprint has.
@@ -115,9 +115,12 @@ def walk(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         rank[order] = np.arange(len(order))
         active = len(texts) - np.searchsorted(np.sort(own), np.arange(together), side="right")  # texts longer than i
         begin = np.cumsum(active) - active
-        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        source, place = np.repeat(starts, own) + at, begin[at] + np.repeat(rank, own)
+        index = np.int32 if len(flat) < 1 << 31 else np.int64
+        at = np.arange(own.sum(), dtype=index) - np.repeat((np.cumsum(own) - own).astype(index), own)
+        source = at + np.repeat(starts.astype(index), own)
+        place = begin.astype(index)[at] + np.repeat(rank.astype(index), own)
         dealt, steps_of = np.empty(len(at), np.int32), np.empty(len(at), np.int32)
+        del at
         dealt[place] = turned[source]
         table, mask, j = stays(), np.int32(PERIOD - 1), np.zeros(len(texts), np.int32)
         for b, n in zip(begin.tolist(), active.tolist(), strict=True):
