@@ -395,7 +395,8 @@ def group(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         drop(t)
     tested = together.where("strong").select("a", "b")
     involved = members.select("node").distinct()
-    texts = cut(documents.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(involved, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    distinct = documents.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["node"])  # copies go before the shuffle
+    texts = cut(distinct.join(involved, "node", "left_semi"), "texts")
     edges = cut(verify(tested, texts), "edges")
     labels, families = components(edges), components(together)
     more = _remaining(families, labels, texts, n_buckets)
@@ -420,7 +421,10 @@ def classes(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each class: the one with the least doc_id (null first, ties by the text's hash)."""
     _, nodes = group(documents)
-    stay = cut(nodes.groupBy("label").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("node"), F.col("best.first").alias("first")), "kept")
-    rows = packed(documents).withColumn("node", node_of(F.col("row.text")))
-    kept = rows.join(stay, "node").where(F.col("row.doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
+    own = lambda doc_id: (F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), doc_id.isNull().alias("none"))
+    best = nodes.groupBy("label").agg(F.min(F.struct("first", "node")).alias("best"))
+    stay = cut(best.select(F.col("best.node").alias("node"), *own(F.col("best.first"))), "kept")
+    rows = packed(documents).select("row", node_of(F.col("row.text")).alias("node"), *own(F.col("row.doc_id")))
+    # Dealt by text and id, so that the copies of a text are spread; rows that agree in both are one before the shuffle.
+    kept = rows.dropDuplicates(["node", "id", "none"]).join(stay, ["node", "id", "none"])
     return unpacked(kept, documents)
