@@ -419,7 +419,7 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each class: the one with the least doc_id (null first, ties by the text's hash)."""
+    """``documents`` with one row of each class: of each text the least doc_id that is not null, of these the least (null first, ties by the text's hash)."""
     _, nodes = group(documents)
     own = lambda doc_id: (F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), doc_id.isNull().alias("none"))
     best = nodes.groupBy("label").agg(F.min(F.struct("first", "node")).alias("best"))

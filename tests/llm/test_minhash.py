@@ -126,3 +126,13 @@ def test_keep_one(spark):
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in out.collect()) == sorted({c for _, c in brute_components(rows)})
     assert mh.keep_one(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+def test_copies_of_one_text(spark):
+    """Many copies under ids of their own, under one id and without any leave one row, whatever the id's type."""
+    rows = [(i, "a b c d e f g") for i in range(7, 60)] + [(7, "a b c d e f g")] * 40 + [(1, "h i j k l m n")] * 5 + [(2, None)] * 3
+    for kind in ("int", "long"):
+        out = mh.keep_one(frame(spark, rows, f"doc_id {kind}, text string").repartition(4))
+        assert sorted(map(tuple, out.collect())) == [(1, "h i j k l m n"), (2, None), (7, "a b c d e f g")]
+    out = mh.keep_one(frame(spark, [*rows, (None, rows[0][1]), (None, rows[0][1])], "doc_id int, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 7]
