@@ -13,7 +13,7 @@ over the chunks' most central texts) gives as many edges as texts. All edges tog
 texts of a bucket of several chunks are one family. In a family of several components, every text outside the largest one is then compared
 with all others, by exact overlaps of bags in memory, which give links only. So a link is lost only to the signature's error: where no band holds the
 pair, or where a bucket's estimates leave its texts in different families.
-Components come from label propagation over written tables; nothing of it goes to the driver.
+Components come from rounds of contraction over written tables; nothing of it goes to the driver.
 
 Exact copies share one node (md5 of the text), so a group of any number of copies is one row from the first shuffle on.
 
@@ -260,21 +260,32 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node that each node of the edges is linked with, by label propagation with pointer jumping."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    """node, label: the least node that each node of the edges is linked with, by contraction.
+
+    In each round every node goes over to the least of itself and its neighbours, and only edges between what is left are
+    kept, each once. So all rounds together join about as many rows as there are edges, not as many in every round.
+    """
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = cut(edges.select(*ordered("a", "b")).where("a != b").distinct(), "links")
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = labels.join(near, "node").join(jump, "label", "left").select("node", F.least("label", "seen", F.coalesce("further", "label")).alias("new"), "label")
-        moved = cut(new, "labels")
-        done = moved.where("new != label").isEmpty()
-        drop(labels)
-        labels = moved.select("node", F.col("new").alias("label"))
-        labels.quern_path = moved.quern_path
-        if done:
-            drop(both)
-            return labels
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "steps")
+        rounds.append(step)
+        over = lambda end: step.select(F.col("node").alias(end), F.col("label").alias(f"over_{end}"))  # noqa: B023, E731
+        left = cut(links.join(over("a"), "a").join(over("b"), "b").select(*ordered("over_a", "over_b")).where("a != b").distinct(), "links")
+        drop(links)
+        links = left
+        if links.isEmpty():
+            break
+    labels = rounds[-1]
+    for step in rounds[-2::-1]:  # a node's label is that of the node it went over to
+        last = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = step.join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    labels = cut(labels, "labels")
+    for t in (links, *rounds):
+        drop(t)
+    return labels
 
 
 def elements(text: str) -> np.ndarray:

@@ -93,6 +93,31 @@ def test_classes_against_brute_force(spark, monkeypatch):
         assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["class_id"] if r["class_id"] is not None else -1) for r in got) == brute_components(rows)
 
 
+def test_components_join_an_edge_in_few_rounds(spark, monkeypatch):
+    """A round joins only the edges that are left, however long or dense the components are."""
+    g = random.Random(23)
+    names = [g.randbytes(16) for _ in range(700)]
+    pairs = [(i, i + 1) for i in range(299)]  # a chain
+    pairs += [(300, i) for i in range(301, 400)] + [g.sample(range(400, 640), 2) for _ in range(4000)]  # a star, a dense group
+    pairs += [(i, i + 1) for i in range(640, 700, 2)]
+    label = list(range(700))
+    for _ in range(700):
+        before = label[:]
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    want = {names[i]: min(names[j] for j in range(700) if label[j] == label[i]) for i in range(700)}
+    written, cut = [], mh.cut
+    monkeypatch.setattr(mh, "cut", lambda df, name, *more: written.append((name, out := cut(df, name, *more), out.count())) or out)
+    edges = frame(spark, [(names[a], names[b]) for a, b in pairs], "a binary, b binary")
+    got = {bytes(r["node"]): bytes(r["label"]) for r in mh.components(edges).collect()}
+    assert got == want
+    sizes = [n for name, _, n in written if name == "links"]
+    assert len(sizes) > 1 and sizes[-1] == 0 and sum(sizes) < 1.5 * sizes[0]
+    assert mh.components(edges.limit(0)).count() == 0
+
+
 def family(g, n, clusters):
     """Texts around one template that are about 0.75 alike, and close copies of some of them."""
     base = prose(g, 200)
