@@ -21,7 +21,8 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import count
+from itertools import count, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import ans, blocks
-from quern.llm.common import grouped, ready, streaming
+from quern.llm.common import ready, streaming
 
 # Fixed value: the pre-token expression of byte-level BPE (as in the public GPT-2 tokenizer).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -56,6 +57,8 @@ def load(path: str) -> str:
 KNOWN = 500_000
 #: Characters of a block: larger ones repeat fewer distinct words in the shuffle.
 BLOCK_CHARS = 8 << 20
+#: Ids of a batch of results (about 2 MB with their text): a whole block's would be a batch of tens of MB, held several times over in the worker and the JVM.
+OUT_IDS = 1 << 18
 
 
 class Words:
@@ -156,6 +159,39 @@ def numbered(words: Words, texts: list[str], n: int) -> tuple[np.ndarray, np.nda
     return flat, np.fromiter(map(len, numbers), np.uint32, len(numbers)), [names[i] for i in order], bucket[order]
 
 
+def assembled(block: list[bytes], content: str, with_text: bool, most: int) -> Iterator[pd.DataFrame]:
+    """The rows of one block (its numbers, then its cells by bucket), ``most`` ids at a time or one longer text."""
+    first, *cells = map(blocks.split, block)
+    doc_ids, lengths = blocks.unpack_ids(first[0]), blocks.unpack(first[1], np.uint32)
+    seq = np.empty(0, np.uint32)
+    if cells:
+        coded = pickle.loads(first[2])
+        seq = ans.unpack_segment(coded["symbols"], coded["frequencies"], coded["blocks"])
+    counts = np.concatenate([blocks.unpack(c[0], np.uint32) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
+    flat = np.concatenate([blocks.unpack_small(c[1]) for c in cells]).astype(np.int32) if cells else np.empty(0, np.int32)
+    starts = np.cumsum(counts) - counts
+    pieces = piece_array(content) if with_text else None
+    docs, out, held, at = [], [], 0, 0
+
+    def close() -> pd.DataFrame:
+        frame = pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "ids": out})
+        return frame.assign(text=pd.Series([text_of(i, pieces) for i in out], dtype=object)) if with_text else frame
+
+    for doc, k in zip(doc_ids, lengths.tolist(), strict=True):
+        s = seq[at : at + k]
+        at += k
+        c = counts[s]
+        shift = np.repeat(starts[s] - (np.cumsum(c) - c), c)
+        if docs and held + len(shift) > most:
+            yield close()
+            docs, out, held = [], [], 0
+        docs.append(doc)
+        out.append(flat[shift + np.arange(len(shift))])
+        held += len(shift) + 16
+    if docs:
+        yield close()
+
+
 def encode(documents: DataFrame, content: str, with_text: bool = False) -> DataFrame:
     """doc_id, ids: array of int, of every row; the texts are read and split once. ``with_text``: also the text decoded from the ids.
 
@@ -195,33 +231,15 @@ def encode(documents: DataFrame, content: str, with_text: bool = False) -> DataF
                 out.append(blocks.join([blocks.pack(lengths), blocks.pack_small(np.frombuffer(b"".join(ids), np.uint32))]))
             yield pd.DataFrame({"block": batch["block"], "bucket": batch["bucket"], "data": out})
 
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        first, *cells = [blocks.split(d) for d in pdf["data"]]
-        doc_ids, lengths = blocks.unpack_ids(first[0]), blocks.unpack(first[1], np.uint32)
-        seq = np.empty(0, np.uint32)
-        if cells:
-            coded = pickle.loads(first[2])
-            seq = ans.unpack_segment(coded["symbols"], coded["frequencies"], coded["blocks"])
-        counts = np.concatenate([blocks.unpack(c[0], np.uint32) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
-        flat = np.concatenate([blocks.unpack_small(c[1]) for c in cells]).astype(np.int32) if cells else np.empty(0, np.int32)
-        starts = np.cumsum(counts) - counts
-        pieces = piece_array(content) if with_text else None
-        out, texts, at = [], [], 0
-        for k in lengths.tolist():
-            s = seq[at : at + k]
-            at += k
-            c = counts[s]
-            shift = np.repeat(starts[s] - (np.cumsum(c) - c), c)
-            out.append(flat[shift + np.arange(len(shift))])
-            if with_text:
-                texts.append(text_of(out[-1], pieces))
-        frame = pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "ids": out})
-        return frame.assign(text=pd.Series(texts, dtype=object)) if with_text else frame
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in zip(batch["block"], batch["data"], strict=True))
+        for _, block in groupby(rows, itemgetter(0)):
+            yield from assembled([data for _, data in block], content, with_text, OUT_IDS)
 
     leaving = blocks.text_rows(documents).mapInPandas(streaming(distinct), "target int, bucket int, data binary, block string")
     back = leaving.repartition(n, "target").mapInPandas(streaming(encoded), "block string, bucket int, data binary")
-    return back.groupBy("block").applyInPandas(grouped(assemble), "doc_id long, ids array<int>" + ", text string" * with_text)
+    together = back.repartition("block").sortWithinPartitions("block", "bucket")
+    return together.mapInPandas(streaming(assemble), "doc_id long, ids array<int>" + ", text string" * with_text)
 
 
 def word_table(documents: DataFrame, content: str) -> DataFrame:

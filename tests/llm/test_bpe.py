@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.accumulators import AccumulatorParam
 from tokenizers import Tokenizer
 
 from quern.llm import blocks, bpe
@@ -43,6 +44,14 @@ def test_text_in_one_pass(spark):
     assert {r["doc_id"]: r["text"] for r in bpe.encode(docs, CONTENT, with_text=True).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+class Sizes(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
 def bpe_input(spark, docs):
     from quern.llm.common import cut
 
@@ -56,6 +65,27 @@ def test_many_blocks(spark, monkeypatch):
     assert got == {i: TOKENIZER.encode(f"word{i % 7} and more{i} text").ids for i in range(200)}
 
 
+def test_results_of_a_block_leave_in_small_batches(spark, monkeypatch):
+    """A block's rows are not handed to Spark at once, whatever the order its cells come in."""
+    sizes, streaming = spark.sparkContext.accumulator([], Sizes()), bpe.streaming
+    docs = frame(spark, [(i, f"word{i % 7} and more{i} text") for i in range(200)] + [(200, "a b " * 300), (201, None)], "doc_id long, text string")
+
+    def watched(run):
+        def seen(batches):
+            for out in run(batches):
+                if "ids" in out:
+                    sizes.add([(len(out), int(sum(map(len, out["ids"]))))])
+                yield out
+
+        return streaming(seen)
+
+    monkeypatch.setattr(bpe, "streaming", watched)
+    monkeypatch.setattr(bpe, "OUT_IDS", 100, raising=False)
+    got = {r["doc_id"]: r["text"] for r in bpe.encode(docs.coalesce(1), CONTENT, with_text=True).collect()}
+    assert got == {i: f"word{i % 7} and more{i} text" for i in range(200)} | {200: "a b " * 300, 201: ""}
+    assert sum(n for n, _ in sizes.value) == 202 and all(ids <= 100 or n == 1 for n, ids in sizes.value)
+
+
 def test_text_of_very_many_distinct_words(spark):
     """More distinct words in one text than a frequency table has room for."""
     letters = "abcdefghijklmnopqrstuvwxyz"
