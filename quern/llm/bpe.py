@@ -17,9 +17,10 @@ import json
 import os
 import pickle
 import re
+import sys
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 from itertools import count, groupby
 from operator import itemgetter
@@ -95,21 +96,25 @@ class Words:
             return [w for k, part in enumerate(self.special.split(text)) for w in ([part] if k % 2 else self._plain(part))]
         return self._plain(text)
 
-    def packed(self, words: list[str]) -> list[bytes]:
-        """The ids of each word by itself, as 32-bit numbers; a text's ids are those of its words in order.
+    @cached_property
+    def packer(self) -> Callable[[str], bytes]:
+        """The ids of a word by itself, as 32-bit numbers; a text's ids are those of its words in order.
 
         Words are pre-tokens already, so their bytes' letters go straight to the library's model; special tokens have their own ids.
         """
         merge, own = self.tokenizer.model.tokenize, self.special_ids
         letters = {b: c for c, b in byte_of_letter().items()}
-        out = []
-        for w in words:
-            if w in own:
-                ids = [own[w]]
-            else:
-                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]
-            out.append(np.array(ids, np.uint32).tobytes())
-        return out
+        number = [i.to_bytes(4, sys.byteorder) for i in range(1 + max(self.tokenizer.get_vocab().values(), default=-1))]
+
+        def pack(word: str) -> bytes:
+            if word in own:
+                return number[own[word]]
+            return b"".join([number[t.id] for t in merge(word.encode().decode("latin-1").translate(letters))])
+
+        return pack
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        return list(map(self.packer, words))
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [np.frombuffer(b, np.uint32).tolist() for b in self.packed(words)]

@@ -14,7 +14,7 @@ order of their texts' hash. An empty table gives no segment and an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,21 +35,30 @@ SEGMENT_IDS = 2 << 20
 SCHEMA = "range int, segment int, first long, n_ids long, doc_ids binary, lengths binary, symbols binary, frequencies binary, blocks array<struct<n: int, states: binary, words: binary, crc32: long>>"
 
 
+class Known(dict):
+    """The ids of words as 32-bit numbers; a word is encoded where it is first looked up."""
+
+    def __init__(self, pack: Callable[[str], bytes]):
+        super().__init__()
+        self.pack = pack
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN:
+            self.clear()
+        ids = self[word] = self.pack(word)
+        return ids
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library: a text's ids are those of its words in order, and each word is encoded once for as long as it is remembered."""
 
     def __init__(self, content: str):
-        self.words, self.known = Words(content), {}
+        self.words = Words(content)
+        self.known = Known(self.words.packer)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.words.split(t) for t in texts]
-        new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = set().union(*parts)
-        new = sorted(new)
-        self.known.update(zip(new, self.words.packed(new), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.uint32) for p in parts]
+        look_up, split = self.known.__getitem__, self.words.split
+        return [np.frombuffer(b"".join(map(look_up, split(t))), np.uint32) for t in texts]  # a text's words are looked up while they are at hand
 
 
 ENCODERS: dict[int, Encoder] = {}

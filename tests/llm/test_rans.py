@@ -60,6 +60,17 @@ def test_ids_are_the_librarys(text):
     assert ENCODER([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_looked_up_once(monkeypatch):
+    """A text's words are gone through once, and each distinct word is encoded once."""
+    texts = ["the cat and the dog", "", "the dog's 12 cats<|endoftext|>the", "é² the"]
+    encoder, packed = rans.Encoder(CONTENT), []
+    split, pack = encoder.words.split, encoder.words.packed
+    monkeypatch.setattr(encoder.words, "split", lambda t: iter(split(t)))
+    monkeypatch.setattr(encoder.known, "pack", lambda w: (packed.append(w), pack([w])[0])[1], raising=False)
+    assert [a.tolist() for a in encoder(texts + texts)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts + texts]
+    assert sorted(packed) == sorted({w for t in texts for w in split(t)})
+
+
 def test_an_encoder_forgets_and_encodes_again(monkeypatch):
     monkeypatch.setattr(rans, "KNOWN", 5)
     encoder = rans.Encoder(CONTENT)
