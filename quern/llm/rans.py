@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,18 +62,19 @@ class Encoder:
         return [np.frombuffer(b"".join(map(look_up, split(t))), np.uint32) for t in texts]  # a text's words are looked up while they are at hand
 
 
-ENCODERS: dict[int, Encoder] = {}
+@lru_cache(1)
+def encoder_of(content: str) -> Encoder:
+    """Kept while the worker lives; tasks reach it by this function's name, as a table that they refer to would travel with each, empty."""
+    return Encoder(content)
 
 
 def write(documents: DataFrame, content: str, end: int) -> DataFrame:
     """Encode every text, append ``end``, and write the files in ascending doc_id order; returns the written table."""
     spark = ready(documents.sparkSession)
     n = blocks.buckets(spark)
-    key = zlib.crc32(content.encode())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ENCODERS.setdefault(key, None) or Encoder(content)
-        ENCODERS[key] = encoder  # kept while the worker lives
+        encoder = encoder_of(content)
         part = TaskContext.get().partitionId()
         ids, docs, held, segment, first = [], [], 0, 0, 0
 

@@ -1,10 +1,13 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from quern.llm import ans, bpe, rans
@@ -71,6 +74,20 @@ def test_words_are_looked_up_once(monkeypatch):
     assert sorted(packed) == sorted({w for t in texts for w in split(t)})
 
 
+def test_tasks_of_a_worker_share_an_encoder(spark, monkeypatch):
+    """What is remembered is found by name in the worker; it does not travel, empty, with each task."""
+    sent, made, begin, streaming = [], [], rans.Encoder.__init__, rans.streaming
+    monkeypatch.setattr(rans, "streaming", lambda run: streaming(sent.append(run) or run))
+    rans.write(frame(spark, [(1, "some words")], "doc_id long, text string"), CONTENT, 2)
+    monkeypatch.setattr(rans.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(rans.Encoder, "__init__", lambda self, content: (made.append(1), begin(self, content))[1])
+    for text in ("some words", "more words"):
+        task = cloudpickle.loads(cloudpickle.dumps(sent[0]))
+        (out,) = task(iter([pd.DataFrame({"doc_id": [1], "text": [text]})]))
+        assert out["n_ids"].tolist() == [1 + len(TOKENIZER.encode(text).ids)]
+    assert len(made) == 1
+
+
 def test_an_encoder_forgets_and_encodes_again(monkeypatch):
     monkeypatch.setattr(rans, "KNOWN", 5)
     encoder = rans.Encoder(CONTENT)
