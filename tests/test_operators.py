@@ -192,3 +192,57 @@ def test_distance_to_a_vector_of_zeros(spark):
     e = Engine(spark)
     e.register("z", rows)
     assert sorted(e.rows("SELECT id, cosine_distance(v, [3.0, 0.0]) FROM z")) == [(1, 1.0), (2, 0.0)]
+
+
+def moved(spark) -> int:
+    """Bytes that executors have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    all_of = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(all_of.apply(i).totalShuffleWrite() for i in range(all_of.size()))
+
+
+def planted(spark, n=3000, copies=400):
+    """Vectors without clusters, one of them many times over."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(n, 16)).astype(np.float32).astype(float)
+    x[g.choice(n, copies, replace=False)] = x[0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(n, None)], "id long, v array<double>")
+    return x, rows, rows.where("id % 20 = 0").selectExpr("id as q", "v as target")
+
+
+def brute(x, k, metric="euclidean"):
+    """(query, place, row) with ties by row."""
+    out = set()
+    for q in range(0, len(x), 20):
+        far = {"euclidean": lambda: np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1]), "dot_product": lambda: -np.cumsum(x * x[q], axis=1)[:, -1]}[metric]()
+        out |= {(q, p + 1, int(i)) for p, i in enumerate(np.lexsort((np.arange(len(x)), far))[:k])}
+    return out
+
+
+def test_inverted_file_moves_no_pairs(spark):
+    """Neighbours are found where rows are read: what is shuffled doesn't grow with queries times rows, and copies tie by key."""
+    x, rows, queries = planted(spark)
+    rows = rows.repartition(3).localCheckpoint()
+    ivf = V.InvertedFile.build(rows, "v", "id", 16)
+    before = moved(spark)
+    some = {(r["q"], r["row_number"], r["id"]) for r in ivf.search_many(queries, "q", 10, 4).collect()}
+    assert moved(spark) - before < x.nbytes
+    want = brute(x, 10)
+    assert len({(q, i) for q, _, i in some} & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
+    assert {(r["q"], r["row_number"], r["id"]) for r in ivf.search_many(queries, "q", 10, 16).collect()} == want
+    apart = V.InvertedFile.build(rows, "v", "id", 16, spread=1.0)
+    cell = {r["id"]: set(r["c"]) for r in rows.where("v is not null").select("id", V._cells(V.doubles("v"), apart.centroids, 1.0).alias("c")).collect()}
+    own = apart.search_many(queries, "q", 10, 1).collect()
+    assert own and all(cell[r["q"]] & cell[r["id"]] for r in own)
+
+
+def test_exact_neighbours_in_any_batches(spark, monkeypatch):
+    x, rows, queries = planted(spark)
+    monkeypatch.setattr(V, "BLOCK_QUERIES", 64)
+    for metric in ("euclidean", "dot_product"):
+        for parts in (1, 5):
+            got = V.exact_many(rows.repartition(parts), "v", "id", queries, "q", 10, metric).collect()
+            assert {(r["q"], r["row_number"], r["id"]) for r in got} == brute(x, 10, metric)
+    named = rows.selectExpr("concat('n', lpad(id, 5, '0')) as id", "v")
+    got = V.exact_many(named, "v", "id", queries.selectExpr("concat('n', q) as q", "target"), "q", 10).collect()
+    assert {(int(r["q"][1:]), r["row_number"], int(r["id"][1:])) for r in got} == brute(x, 10)
