@@ -328,15 +328,17 @@ class Clustered:
 
     A query ranks the coarse centroids, the fine centroids of the nearest ones, and the codes of the nearest fine cells; a cell whose
     centroid is more than ``1 + epsilon`` times as far as the nearest one's is pruned. The nearest RERANK * k codes are
-    ranked again by their exact vectors. Rows lie in files by cell, so a query reads the cells that it probes.
+    ranked again by their exact vectors. A row lies once, in the files of its nearest cell; the cells nearly as near that it is
+    also in are found where it is read. ``radius``: how far the rows of a cell are from its centroid at most; a query reads the
+    cells that can hold a row of one that it probes.
     """
 
     RERANK = 4
     #: Rows that the cells are learnt from, for each cell.
     SAMPLE = 256
 
-    def __init__(self, table: DataFrame, fine: list, coarse: list, of: list[int], embedding: str, key: str, metric: str):
-        self.table, self.fine, self.coarse, self.of, self.embedding, self.key, self.metric = table, fine, coarse, of, embedding, key, metric
+    def __init__(self, table: DataFrame, fine: list, coarse: list, of: list[int], radius: dict[int, float], spread: float, embedding: str, key: str, metric: str):
+        self.table, self.fine, self.coarse, self.of, self.radius, self.spread, self.embedding, self.key, self.metric = table, fine, coarse, of, radius, spread, embedding, key, metric
 
     @classmethod
     def build(cls, rows: DataFrame, embedding: str, key: str, n_cells: int | None = None, metric: str = "euclidean", seed: int = 7, spread: float = 1.15) -> Clustered:
@@ -353,78 +355,70 @@ class Clustered:
         sample = rows.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(array_to_vector(doubles(embedding)).alias("v"))
         fine = [[float(x) for x in c] for c in KMeans(k=n_cells, seed=seed, featuresCol="v", maxIter=15).fit(sample).clusterCenters()] if n else []
         coarse, of = _grouped(np.array(fine), max(1, int(len(fine) ** 0.5)), seed) if fine else ([], [])
+        centroids = np.array(fine)
 
         def quantise(batch: pd.Series) -> pd.DataFrame:
-            x = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.zeros((0, 1))
+            x = _points(batch)
             scale = np.maximum(np.abs(x).max(axis=1, initial=0), 1e-30) / 127
-            return pd.DataFrame({"code": [c.tobytes() for c in np.round(x / scale[:, None]).astype(np.int8)], "scale": scale})
+            far = distances("euclidean", x, centroids) if len(x) else np.zeros((0, 1))
+            return pd.DataFrame({"code": [c.tobytes() for c in np.round(x / scale[:, None]).astype(np.int8)], "scale": scale, "cell": far.argmin(1).astype(np.int32), "away": far.min(1)})
 
         from pyspark.sql.functions import pandas_udf
 
         quantise.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
-        coded = rows.withColumn("_q", pandas_udf(quantise, "code binary, scale double")(doubles(embedding)))
-        celled = coded.withColumn("cell", F.explode(_cells(doubles(embedding), fine, spread))).withColumns({"code": F.col("_q.code"), "scale": F.col("_q.scale")}).drop("_q")
-        return cls(cut(celled.repartition("cell"), "vectors", ["cell"]), fine, coarse, of, embedding, key, metric)
+        coded = rows.withColumn("_q", pandas_udf(quantise, "code binary, scale double, cell int, away double")(doubles(embedding)))
+        celled = coded.withColumns({c: F.col(f"_q.{c}") for c in ("cell", "code", "scale", "away")}).drop("_q")
+        table = cut(celled.repartition("cell"), "vectors", ["cell"])
+        radius = {r["cell"]: r["far"] for r in table.groupBy("cell").agg(F.max("away").alias("far")).collect()}
+        return cls(table, fine, coarse, of, radius, spread, embedding, key, metric)
+
+    def asked(self, targets, probes: int, epsilon: float):
+        """Targets by fine cells: of the nearest coarse cells, the nearest fine ones that are not pruned."""
+        import numpy as np
 
-    def probed(self, target, probes: int, epsilon: float) -> list[int]:
-        """The fine cells that a query reads: of the nearest coarse cells, the nearest fine ones that are not pruned."""
+        asks = np.zeros((len(targets), len(self.fine)), bool)
+        if not self.fine or probes < 1:
+            return asks
+        near = np.argsort(distances("euclidean", targets, np.array(self.coarse)), axis=1, kind="stable")[:, :probes]
+        held = np.zeros((len(targets), len(self.coarse)), bool)
+        np.put_along_axis(held, near, True, axis=1)
+        far = np.where(held[:, self.of], distances("euclidean", targets, np.array(self.fine)), np.inf)
+        order = np.argsort(far, axis=1, kind="stable")[:, :probes]
+        found = np.take_along_axis(far, order, axis=1)
+        np.put_along_axis(asks, order, (found <= found[:, :1] * (1 + epsilon) + 1e-12) & (found < np.inf), axis=1)
+        return asks
+
+    def homes(self, cells) -> list[int]:
+        """The cells whose files can hold rows of the given ones: a row is at most ``spread`` times as far from them as from its own."""
         import numpy as np
 
-        if not self.fine:
-            return [0]
-        t = np.array([target], float)
-        near = np.argsort(distances("euclidean", t, np.array(self.coarse))[0], kind="stable")[: max(1, probes)]
-        held = [i for i, c in enumerate(self.of) if c in set(near.tolist())]
-        far = distances("euclidean", t, np.array(self.fine)[held])[0]
-        order = np.argsort(far, kind="stable")[:probes]
-        return [held[i] for i in order if far[i] <= far[order[0]] * (1 + epsilon) + 1e-12]
+        if not len(cells):
+            return []
+        fine = np.array(self.fine)
+        apart, room = distances("euclidean", fine[cells], fine).min(0), 1e-6 * (1 + np.abs(fine).max())
+        return [h for h, far in self.radius.items() if not apart[h] > (1 + self.spread) * far + room]  # a radius that is no number rules nothing out
 
     def search(self, target: list[float], k: int, probes: int = 8, epsilon: float = 1.0, where: Column | None = None) -> DataFrame:
-        """The k nearest rows of one target; only the probed cells are read."""
+        """The k nearest rows of one target; only files that can hold rows of the probed cells are read."""
         queries = self.table.sparkSession.createDataFrame([(0, [float(x) for x in target])], "query_id long, target array<double>")
-        cells = self.probed(target, probes, epsilon)
-        found = self._ranked(self.table.where(F.col("cell").isin(*cells)) if where is None else self.table.where(F.col("cell").isin(*cells)).where(where), queries.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in cells]))), "query_id", k)
-        return found.drop("query_id")
+        return self._ranked(self.table if where is None else self.table.where(where), queries, "query_id", k, probes, epsilon).drop("query_id")
 
     def search_many(self, queries: DataFrame, query_key: str, k: int, probes: int = 8, epsilon: float = 1.0) -> DataFrame:
-        """query_key, key, distance, row_number of a table of queries (column ``target``), by an equi-join on the probed cells."""
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
-        def cells(batch: pd.Series) -> pd.Series:
-            return pd.Series([self_probed(t) for t in batch])
-
-        light = Clustered(None, self.fine, self.coarse, self.of, self.embedding, self.key, self.metric)
-        self_probed = lambda t: light.probed(t, probes, epsilon)
-        cells.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-        return self._ranked(self.table, queries.withColumn("cell", F.explode(pandas_udf(cells, "array<int>")(doubles("target")))), query_key, k)
+        """query_key, key, distance, row_number of a stated query set (column ``target``), in blocks that travel to the rows."""
+        return self._ranked(self.table, queries, query_key, k, probes, epsilon)
 
-    def _ranked(self, table: DataFrame, probed: DataFrame, query_key: str, k: int) -> DataFrame:
+    def _ranked(self, table: DataFrame, queries: DataFrame, query_key: str, k: int, probes: int, epsilon: float) -> DataFrame:
         import numpy as np
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
 
-        metric, key = self.metric, self.key
-
-        def about(target: pd.Series, code: pd.Series, scale: pd.Series) -> pd.Series:
-            if not len(code):
-                return pd.Series([], dtype=float)
-            x = np.frombuffer(b"".join(code), np.int8).reshape(len(code), -1) * scale.to_numpy()[:, None]
-            t = np.stack(target.to_numpy()).astype(float)
-            dots = (t * x).sum(1)
-            if metric == "dot_product":
-                return pd.Series(-dots)
-            if metric == "cosine":
-                return pd.Series(1 - dots / np.maximum(np.sqrt((t * t).sum(1) * (x * x).sum(1)), 1e-300))
-            return pd.Series(((t - x) ** 2).sum(1))
-
-        about.__annotations__ = {"target": pd.Series, "code": pd.Series, "scale": pd.Series, "return": pd.Series}
-        pairs = probed.select(query_key, "target", "cell").join(table.select("cell", key, "code", "scale", self.embedding), "cell")
-        rough = pairs.withColumn("about", pandas_udf(about, "double")(doubles("target"), "code", "scale"))
-        once = rough.groupBy(query_key, key).agg(F.min("about").alias("about"), F.first("target").alias("target"), F.first(self.embedding).alias(self.embedding))
-        kept = once.withColumn("r", F.row_number().over(Window.partitionBy(query_key).orderBy("about", key))).where(F.col("r") <= self.RERANK * k)
-        far = kept.withColumn("distance", distance(metric, self.embedding, "target"))
-        return far.withColumn("row_number", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key)).cast("long")).where(F.col("row_number") <= k).select(query_key, key, "distance", "row_number")
+        def reads(rows: DataFrame, asks) -> DataFrame:
+            homes = self.homes(np.flatnonzero(asks.any(0)))
+            return rows if len(homes) == len(self.radius) else rows.where(F.col("cell").isin(*homes))
+
+        cells = _Cells(np.array(self.fine), self.spread, lambda targets: self.asked(targets, probes, epsilon), reads)
+        rough = _in_blocks(table, self.embedding, self.key, queries, query_key, self.RERANK * k, self.metric, cells, code=True)
+        once = rough.repartition(query_key).groupBy(query_key, self.key).agg(F.min(F.struct("about", "distance")).alias("_m")).select(query_key, self.key, "_m.*")
+        kept = once.withColumn("r", F.row_number().over(Window.partitionBy(query_key).orderBy("about", self.key))).where(F.col("r") <= self.RERANK * k)
+        return kept.withColumn("row_number", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", self.key)).cast("long")).where(F.col("row_number") <= k).select(query_key, self.key, "distance", "row_number")
 
 
 def _grouped(points, k: int, seed: int, rounds: int = 20) -> tuple[list, list[int]]:

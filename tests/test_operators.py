@@ -246,3 +246,35 @@ def test_exact_neighbours_in_any_batches(spark, monkeypatch):
     named = rows.selectExpr("concat('n', lpad(id, 5, '0')) as id", "v")
     got = V.exact_many(named, "v", "id", queries.selectExpr("concat('n', q) as q", "target"), "q", 10).collect()
     assert {(int(r["q"][1:]), r["row_number"], int(r["id"][1:])) for r in got} == brute(x, 10)
+
+
+def test_clustered_index_keeps_a_row_once(spark):
+    """Neither the index nor a search grows with cells times rows or queries times rows; its candidates are those of all cells a row is in."""
+    x, rows, queries = planted(spark)
+    rows = rows.repartition(3).localCheckpoint()
+    before = moved(spark)
+    index = V.Clustered.build(rows, "v", "id", 32)
+    assert index.table.count() == index.table.select("id").distinct().count() == len(x)
+    found = {(r["q"], r["row_number"], r["id"]) for r in index.search_many(queries, "q", 10, probes=32, epsilon=9.0).collect()}
+    assert moved(spark) - before < 4 * x.nbytes
+    want = brute(x, 10)
+    assert len({(q, i) for q, _, i in found} & {(q, i) for q, _, i in want}) >= 0.99 * len(want)
+    copies = {q for q in range(0, len(x), 20) if (x[q] == x[0]).all()}
+    assert {t for t in found if t[0] in copies} == {t for t in want if t[0] in copies}
+
+
+def test_clustered_search_reads_what_cells_can_hold(spark):
+    """Of vectors in clusters a search reads few cells' files, and finds what it finds in all of them."""
+    g = np.random.default_rng(2)
+    x = g.normal(size=(20, 8))[g.integers(0, 20, 2000)] * 20 + g.normal(size=(2000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    index = V.Clustered.build(rows, "v", "id", 20)
+    members = V._members(x, np.array(index.fine), index.spread)
+    home = {r["id"]: r["cell"] for r in index.table.select("id", "cell").collect()}
+    for q in (1, 7, 90):
+        probed = np.flatnonzero(index.asked(x[q : q + 1], 3, 1.0)[0])
+        homes = index.homes(probed)
+        assert {home[i] for i in np.flatnonzero(members[:, probed].any(1)).tolist()} <= set(homes) and len(homes) < 20
+        inside = np.flatnonzero(members[:, probed].any(1))
+        want = inside[np.argsort(((x[inside] - x[q]) ** 2).sum(1), kind="stable")[:5]]
+        assert [r["id"] for r in index.search(x[q].tolist(), 5, probes=3).orderBy("row_number").collect()] == want.tolist()
